@@ -107,27 +107,32 @@ def key_in_net(key: Column, cidr: str) -> Column:
     return F.lit(False) if bounds is None else _total(key.between(*bounds))
 
 
-def _number_ranges(networks) -> list[tuple[int, int]]:
-    return [(int(n.network_address), int(n.broadcast_address)) for n in networks]
+def _v4_pattern(network: ipaddress.IPv4Network) -> str:
+    """Regular expression of the dotted addresses inside a network."""
+    octets = str(network.network_address).split(".")
+    whole, bits = divmod(network.prefixlen, 8)
+    parts = octets[:whole]
+    if bits:
+        first = int(octets[whole])
+        parts.append("(?:" + "|".join(str(n) for n in range(first, first + 2 ** (8 - bits))) + ")")
+    parts += [_OCTET] * (4 - len(parts))
+    return r"\.".join(parts)
 
 
 def _in_any(ip: Column, cidrs) -> Column:
-    """Membership in any of the networks; the address is parsed once."""
+    """Membership in any of the networks: one compiled pattern for IPv4, key ranges for IPv6."""
     networks = [ipaddress.ip_network(c, strict=False) for c in cidrs]
-    v4 = _number_ranges(n for n in networks if n.version == 4)
-    v6 = [(f"{low:032x}", f"{high:032x}") for low, high in _number_ranges(n for n in networks if n.version == 6)]
+    v4 = [_v4_pattern(n) for n in networks if n.version == 4]
+    v6 = [(int(n.network_address), int(n.broadcast_address)) for n in networks if n.version == 6]
 
-    def within(ranges):
-        def test(x: Column) -> Column:
-            out = F.lit(False)
-            for low, high in ranges:
-                out = out | x.between(low, high)
-            return out
+    def within(key: Column) -> Column:
+        out = F.lit(False)
+        for low, high in v6:
+            out = out | key.between(f"{low:032x}", f"{high:032x}")
+        return out
 
-        return test
-
-    four = _let(ipv4_number(ip), within(v4)) if v4 else F.lit(False)
-    six = _let(_v6_hex(ip), within(v6)) if v6 else F.lit(False)
+    four = ip.rlike("^(?:" + "|".join(v4) + ")$") if v4 else F.lit(False)
+    six = _let(_v6_hex(ip), within) if v6 else F.lit(False)
     return _total(F.when(ip.contains(":"), six).otherwise(four))
 
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 _STEP = "array<struct<start:double,last:double>>"
 _KEY, _BLOCK = "__key", "__block"
@@ -170,8 +170,7 @@ def cooldown(
     """Rows of ``candidates`` that fire.  Equal times: the row with the lowest ``seq`` fires.
 
     ``keys`` may hold nulls (a null key is a key).  ``seconds`` of zero means no suppression.
-    The candidates are needed twice (for the chain and for the rows), so they are written
-    once to the checkpoint folder.
+    The candidates are needed twice (for the chain and for the rows), so they are written once.
     """
     if seconds <= 0:
         return candidates
@@ -180,17 +179,14 @@ def cooldown(
         raise ValueError("a block must be at least one cooldown long")
     names = candidates.columns
     others = [c for c in names if c not in keys and c not in (ts, seq)]
-    ensure_checkpoint_dir(candidates.sparkSession)
-    # One row per key and instant first; partial aggregation keeps a burst at one instant small.
     # The key is one struct: struct equality treats null fields as equal.
-    distinct = (
+    rows = materialize(
         candidates.select(F.struct(*keys).alias(_KEY), F.col(ts).alias("__ts"),
                           F.struct(F.col(seq).alias("seq"), *others).alias("row"))
-        .groupBy(_KEY, "__ts").agg(F.min("row").alias("row"))
-        .checkpoint()
     )
     block = F.floor(F.col("__ts") / F.lit(length)).cast("long")
-    blocks = distinct.groupBy(_KEY, block.alias(_BLOCK)).agg(F.collect_list("__ts").alias("times"))
+    # A set, combined on the map side: a burst at one instant counts once.
+    blocks = rows.groupBy(_KEY, block.alias(_BLOCK)).agg(F.collect_set("__ts").alias("times"))
     steps = blocks.select(
         _KEY, _BLOCK, _reduce_times(seconds)("times", F.col(_BLOCK) * F.lit(length)).alias("steps")
     )
@@ -198,7 +194,7 @@ def cooldown(
     fired = blocks.join(entry, [_KEY, _BLOCK]).select(
         _KEY, F.explode(_fired_times(seconds)("times", "previous")).alias("__ts")
     )
-    rows = distinct.join(fired, [_KEY, "__ts"], "left_semi")
+    rows = rows.join(fired, [_KEY, "__ts"], "left_semi").groupBy(_KEY, "__ts").agg(F.min("row").alias("row"))
 
     def restored(name: str) -> Column:
         if name in keys:

@@ -52,6 +52,27 @@ SELECT p_partkey AS service_id, concat('192.168.', CAST(p_partkey%8 AS STRING),
        WHEN 9 THEN '+OK Dovecot ready' WHEN 10 THEN NULL ELSE 'gibberish' END AS banner FROM part"""),
     "blocklist": ("", """
 SELECT * FROM (VALUES ('203.0.113.2','feedA'),('198.51.100.3','feedA'),('10.0.0.4','feedB')) AS t(ip, source)"""),
+    # Sample vulnerability records.
+    "cves": ("", """
+SELECT * FROM (VALUES
+  ('openssh', 0, 'CVE-2018-15473', 5.3, '<7.7', '7.7'),
+  ('openssh', 1, 'CVE-2016-6210', 5.9, '<7.3', '7.3'),
+  ('openssh', 2, 'CVE-2020-14145', 5.9, '>=5.7 <8.4', '8.4'),
+  ('apache httpd', 0, 'CVE-2021-41773', 7.5, '==2.4.49', '2.4.50'),
+  ('apache httpd', 1, 'CVE-2021-42013', 9.8, '>=2.4.49 <=2.4.50', '2.4.51'),
+  ('apache httpd', 2, 'CVE-2019-0211', 7.8, '>=2.4.17 <2.4.39', '2.4.39'),
+  ('nginx', 0, 'CVE-2013-2028', 7.5, '>=1.3.9 <=1.4.0', '1.4.1'),
+  ('nginx', 1, 'CVE-2019-20372', 5.3, '<1.17.7', '1.17.7'),
+  ('vsftpd', 0, 'CVE-2011-2523', 9.8, '==2.3.4', '2.3.5'),
+  ('proftpd', 0, 'CVE-2015-3306', 10.0, '>=1.3.5 <1.3.5a', '1.3.5a'),
+  ('exim', 0, 'CVE-2019-15846', 9.8, '<4.92.2', '4.92.2'),
+  ('exim', 1, 'CVE-2019-10149', 9.8, '>=4.87 <=4.91', '4.92'),
+  ('samba', 0, 'CVE-2017-7494', 9.8, '>=3.5.0 <4.6.4', '4.6.4'),
+  ('openssl', 0, 'CVE-2014-0160', 7.5, '>=1.0.1 <1.0.1g', '1.0.1g'),
+  ('microsoft-iis', 0, 'CVE-2017-7269', 9.8, '==6.0', '7.0'),
+  ('redis', 0, 'CVE-2022-0543', 10.0, '<7.0.0', '7.0.0'),
+  ('memcached', 0, 'CVE-2018-1000115', 7.5, '<1.5.6', '1.5.6')
+) AS t(product, position, cve_id, cvss, affected, fixed_version)"""),
     "score_events": ("auth_events", """
 SELECT src_ip AS ip, ts*1 AS ts, CAST(event_id%4 AS INT) AS seq,
   CAST(CASE event_id%4 WHEN 0 THEN 40 WHEN 1 THEN 50 WHEN 2 THEN 20 ELSE 60 END AS INT) AS points,

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "packetloom") -> SparkSession:
@@ -23,11 +24,21 @@ def local_session(cores: str = "8", app: str = "packetloom") -> SparkSession:
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; make one only where unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
-        configured = tempfile.mkdtemp(prefix="packetloom-ckpt-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+        configured = tempfile.mkdtemp(prefix="packetloom-")
+        spark.conf.set("spark.checkpoint.dir", configured)
     return configured
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once to the shared folder and read it back.
+
+    For results that are read several times.  Lineage ends there, so a lost executor costs a
+    re-read and not a recomputation, and later steps still prune columns.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
