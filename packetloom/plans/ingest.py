@@ -1 +1,151 @@
-"""Queries."""
+"""Queries that build frames from the views, decode them and compare with the view's columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import rules, stats
+from ..session import materialize
+from ..sources import decode
+from .registry import greedy, query
+from .traffic import FLAG_TEXT, QTYPE_NAME, http, icmp, packets
+
+
+ETHERNET = "aabbccddee02aabbccddee010800"
+
+
+def _hex(column, digits):
+    return F.lpad(F.hex(column.cast("long")), digits, "0")
+
+
+def _ip_hex(ip):
+    return F.array_join(F.transform(F.split(ip, r"\."), lambda o: F.lpad(F.hex(o.cast("int")), 2, "0")), "")
+
+
+def _ip_packet(proto, src, dst, body):
+    """Hex of an IPv4 packet around a body in hex."""
+    total = F.length(body) / 2 + 20
+    return F.concat(F.lit("4500"), _hex(total, 4), F.lit("004d000040"), _hex(proto, 2), F.lit("0000"),
+                    _ip_hex(src), _ip_hex(dst), body)
+
+
+def _tcp(sport, dport, seq, flags, payload):
+    return F.concat(_hex(sport, 4), _hex(dport, 4), _hex(seq, 8), F.lit("00000007"), F.lit("50"), _hex(flags, 2),
+                    F.lit("0200beef0000"), payload)
+
+
+def _frames(df, hexed, linktype):
+    """Frames as a stored table, the way an ingest job leaves them."""
+    return materialize(df.select(
+        "pkt_id", "ts", F.unhex(hexed).alias("raw"), F.col("length").cast("long").alias("wire_length"),
+        linktype.cast("long").alias("linktype")))
+
+
+def packet_frames(spark, sf_dir):
+    """TCP rows as Ethernet frames (some with a VLAN tag), UDP rows as raw IP with a DNS query."""
+    p = packets(spark, sf_dir)
+    labels = F.array_join(F.transform(
+        F.split("qname", r"\."), lambda x: F.concat(F.lpad(F.hex(F.length(x)), 2, "0"), F.hex(x))), "")
+    question = F.concat(F.lit("000101000001000000000000"), labels, F.lit("00"), _hex(F.col("qtype"), 4), F.lit("0001"))
+    udp = F.concat(_hex(F.col("src_port"), 4), _hex(F.col("dst_port"), 4), _hex(F.length(question) / 2 + 8, 4), F.lit("0000"), question)
+    tcp = _tcp(F.col("src_port"), F.col("dst_port"), F.col("pkt_id") % F.lit(2**32), F.col("tcp_flags"), F.lit(""))
+    is_tcp = F.col("transport") == "TCP"
+    vlan = F.when(F.col("src_port") % 3 == 0, F.lit("aabbccddee02aabbccddee018100006408" + "00")).otherwise(F.lit(ETHERNET))
+    hexed = F.when(is_tcp, F.concat(vlan, _ip_packet(F.lit(6), F.col("src_ip"), F.col("dst_ip"), tcp))).otherwise(
+        _ip_packet(F.lit(17), F.col("src_ip"), F.col("dst_ip"), udp))
+    return _frames(p, hexed, F.when(is_tcp, 1).otherwise(101))
+
+
+def decoded_packets(spark, sf_dir):
+    return decode.flatten(decode.decode(packet_frames(spark, sf_dir)))
+
+
+def http_frames(spark, sf_dir):
+    h = http(spark, sf_dir).withColumn("length", F.length("payload"))
+    body = _tcp(F.col("src_port"), F.col("dst_port"), F.col("pkt_id"), F.col("tcp_flags"), F.hex("payload"))
+    return _frames(h, F.concat(F.lit(ETHERNET), _ip_packet(F.lit(6), F.col("src_ip"), F.col("dst_ip"), body)), F.lit(1))
+
+
+def icmp_frames(spark, sf_dir):
+    i = icmp(spark, sf_dir)
+    body = F.concat(_hex(F.col("icmp_type"), 2), F.lit("00"), F.lit("1234"), _hex(F.col("pkt_id") % 65536, 4), F.lit("0007"), F.col("payload_hex"))
+    return _frames(i, F.concat(F.lit(ETHERNET), _ip_packet(F.lit(1), F.col("src_ip"), F.col("dst_ip"), body)), F.lit(1))
+
+
+@query("decode_packets", "packets", sql="""
+SELECT pkt_id, ts, CAST(length AS BIGINT) AS length, src_ip, dst_ip, src_port, dst_port, protocol AS transport,
+  CASE protocol WHEN 'TCP' THEN 'TCP' ELSE 'DNS' END AS protocol, tcp_flags, qname, qtype,
+  CASE WHEN protocol = 'TCP' THEN pkt_id % 4294967296 END AS seq,
+  CAST(CASE WHEN protocol = 'TCP' AND src_port % 3 = 0 THEN 100 END AS INT) AS vlan FROM packets""")
+def decode_packets(spark, sf_dir):
+    question = F.get(F.col("dns.questions"), F.lit(0))
+    return decoded_packets(spark, sf_dir).select(
+        "pkt_id", "ts", "length", "src_ip", "dst_ip", "src_port", "dst_port", "transport", "protocol", "tcp_flags",
+        question["name"].alias("qname"), question["qtype"].alias("qtype"), F.col("tcp.seq").alias("seq"),
+        F.col("eth.vlan").alias("vlan"))
+
+
+@query("decode_http", "http_messages", sql="""
+SELECT pkt_id, method, path, 'HTTP/1.1' AS version, http_host AS host, "authorization", CAST(length(body) AS INT) AS body_length, body AS body_preview
+FROM http_messages""")
+def decode_http(spark, sf_dir):
+    rows = decode.decode(http_frames(spark, sf_dir))
+    headers = F.col("http.headers")
+    return rows.select("pkt_id", "http.method", "http.path", "http.version", headers["host"].alias("host"),
+                       headers["authorization"].alias("authorization"), "http.body_length", "http.body_preview")
+
+
+@query("decode_icmp", "icmp_packets", sql="""
+SELECT pkt_id, icmp_type AS type, CAST(pkt_id % 65536 AS INT) AS ident, CAST(7 AS INT) AS seq,
+  CAST(length(payload_hex) // 2 AS INT) AS payload_length, upper(payload_hex) AS payload FROM icmp_packets""")
+def decode_icmp(spark, sf_dir):
+    rows = decode.decode(icmp_frames(spark, sf_dir))
+    return rows.select("pkt_id", "icmp.type", "icmp.ident", "icmp.seq", "icmp.payload_length", F.hex("payload").alias("payload"))
+
+
+@query("stats_ethertype", "packets", sql="""
+SELECT '0x0800' AS ethertype, count(*) AS packets FROM packets WHERE protocol = 'TCP'""")
+def stats_ethertype(spark, sf_dir):
+    return stats.by_ethertype(decoded_packets(spark, sf_dir)).drop("first_seen")
+
+
+SUMMARY = f"""CASE protocol WHEN 'TCP' THEN src_ip || ':' || src_port || ' > ' || dst_ip || ':' || dst_port || ' TCP [' || {FLAG_TEXT} || '] seq=' || (pkt_id % 4294967296) || ' win=512 len=0'
+  ELSE src_ip || ':' || src_port || ' > ' || dst_ip || ':' || dst_port || ' DNS query ' || {QTYPE_NAME} || ' ' || qname END"""
+
+
+@query("packet_summary", "packets", sql=f"SELECT pkt_id, ts, {SUMMARY} AS summary FROM packets")
+def packet_summary(spark, sf_dir):
+    return decoded_packets(spark, sf_dir).select("pkt_id", "ts", decode.summary().alias("summary"))
+
+
+@query("packet_records", "packets", sql=f"""
+SELECT ts, CASE protocol WHEN 'TCP' THEN 'TCP' ELSE 'DNS' END AS protocol, CAST(length AS BIGINT) AS length, src_ip AS src, dst_ip AS dst,
+  src_port AS sport, dst_port AS dport, CASE WHEN tcp_flags IS NOT NULL THEN {FLAG_TEXT} END AS tcp_flags,
+  CASE protocol WHEN 'UDP' THEN 'DNS query ' || {QTYPE_NAME} || ' ' || qname END AS dns, CAST(NULL AS VARCHAR) AS http FROM packets""")
+def packet_records(spark, sf_dir):
+    return decode.records(decoded_packets(spark, sf_dir))
+
+
+@query("monitor_rows", "packets", sql=f"""
+SELECT ts, src_ip, dst_ip, src_port, dst_port, protocol, CAST(CASE protocol WHEN 'TCP' THEN 40
+  ELSE 20 + 8 + 12 + length(qname) + 2 + 4 END AS INT) AS length, CASE WHEN tcp_flags IS NOT NULL THEN {FLAG_TEXT} END AS flags FROM packets""")
+def monitor_rows(spark, sf_dir):
+    return decode.monitor_rows(decode.decode(packet_frames(spark, sf_dir)))
+
+
+@query("rule_stealth_decoded", "packets", sql=greedy(30, f"""
+SELECT src_ip || ':' || CASE tcp_flags & 63 WHEN 0 THEN 'N' WHEN 1 THEN 'F' WHEN 41 THEN 'X' ELSE 'S' END AS k, ts, pkt_id,
+  src_ip, dst_ip, {FLAG_TEXT} AS flags FROM packets
+WHERE (tcp_flags & 63) IN (0, 1, 41, 32, 33) OR (tcp_flags & 3) = 3""", "ts, src_ip AS src, dst_ip AS dst, flags"))
+def rule_stealth_decoded(spark, sf_dir):
+    """The whole path: frames, decode, rule, cooldown."""
+    alerts = rules.stealth_scan(decoded_packets(spark, sf_dir))
+    return alerts.select("ts", "src", "dst", F.col("evidence")["flags"].alias("flags"))
+
+
+@query("stats_decoded_http", "http_messages", sql="""
+SELECT http_host AS host, method, count(*) AS packets FROM http_messages GROUP BY 1, 2""")
+def stats_decoded_http(spark, sf_dir):
+    flat = decode.flatten(decode.decode(http_frames(spark, sf_dir)))
+    return flat.filter(F.col("http.kind") == "request").groupBy(
+        F.col("http.headers")["host"].alias("host"), F.col("http.method").alias("method")).agg(F.count("*").alias("packets"))

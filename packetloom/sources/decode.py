@@ -34,6 +34,15 @@ _EMPTY = "CAST('' AS BINARY)"
 NO_MAC = "00:00:00:00:00:00"
 
 
+def _bind(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once.
+
+    Later layers use it many times and filters will test it.  A plain projection would be
+    copied into each use; a one-element ``inline`` is a step the optimizer leaves in place.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.inline(F.array(F.struct(value.alias(name)))))
+
+
 def _cut(data: Column, at, size) -> Column:
     at = F.lit(at) if isinstance(at, int) else at
     size = F.lit(size) if isinstance(size, int) else size
@@ -65,7 +74,7 @@ def _link(frames: DataFrame) -> DataFrame:
         F.hex(_rest(raw, 12)), "^((?:(?:" + "|".join(f"{t:04X}" for t in VLAN_TAGS) + ")[0-9A-F]{4}(?=[0-9A-F]{4}))*)", 1)
     depth = F.when(first_type.isin(*VLAN_TAGS), (F.length(tags) / 8).cast("int")).otherwise(0)
     family = sum((_number(raw, i, 1) * 256**i for i in range(1, 4)), _number(raw, 0, 1))
-    frames = frames.withColumn("__tags", F.when((kind == LINK_ETHERNET) & (size >= 14), depth).otherwise(0))
+    frames = frames.transform(_bind, "__tags", F.when((kind == LINK_ETHERNET) & (size >= 14), depth).otherwise(0))
     tags_seen = F.col("__tags")
     address = _cut(raw, 6, F.least(_number(raw, 4, 2), F.lit(8)))
 
@@ -92,7 +101,7 @@ def _link(frames: DataFrame) -> DataFrame:
                F.concat(F.lit("unsupported linktype "), kind.cast("string")))
         .when((kind != LINK_RAW) & F.col("eth").isNull(), F.lit("truncated link header"))
     )
-    linked = frames.withColumn("eth", layer).withColumn("__error", error).withColumn(
+    linked = frames.transform(_bind, "eth", layer).transform(_bind, "__error", error).transform(_bind, 
         "__data", F.when(F.col("__error").isNull(), _rest(raw, offset)))
     data = F.col("__data")
     is_arp = F.coalesce(F.col("eth.ethertype") == ETHERTYPE_ARP, F.lit(False))
@@ -103,9 +112,9 @@ def _link(frames: DataFrame) -> DataFrame:
                  _ipv4(data, 24).alias("target_ip")))
     is_ip = (kind == LINK_RAW) | F.coalesce(F.col("eth.ethertype").isin(ETHERTYPE_IP, ETHERTYPE_IPV6), F.lit(False))
     return (
-        linked.withColumn("arp", arp)
-        .withColumn("__net", F.when(is_ip & (F.length(data) > 0), data))
-        .withColumn("__left", F.when(~is_ip & ~is_arp, data))
+        linked.transform(_bind, "arp", arp)
+        .transform(_bind, "__net", F.when(is_ip & (F.length(data) > 0), data))
+        .transform(_bind, "__left", F.when(~is_ip & ~is_arp, data))
         .drop("__data", "__tags")
     )
 
@@ -149,7 +158,7 @@ def _network(frames: DataFrame) -> DataFrame:
                   _int(data, 4, 2), F.floor(frag / 8192), (frag % 8192) * 8, _int(data, 1, 1))
     six = header(6, ipv6_text(_cut(data, 8, 16)), ipv6_text(_cut(data, 24, 16)), ext["proto"], _int(data, 7, 1),
                  _int(data, 4, 2) + 40, ext["offset"], zero, zero, zero, zero)
-    rows = frames.withColumn("__ext", F.when(v6_ok, _after_extensions(data))).withColumn(
+    rows = frames.transform(_bind, "__ext", F.when(v6_ok, _after_extensions(data))).transform(_bind, 
         "ip", F.when(v4_ok, four).when(v6_ok, six))
     ip = F.col("ip")
     total = ip["total_length"]
@@ -158,12 +167,12 @@ def _network(frames: DataFrame) -> DataFrame:
     fragment = F.coalesce((ip["version"] == 4) & (ip["frag_offset"] > 0), F.lit(False))
     other = data.isNotNull() & ~version.isin(4, 6)
     return (
-        rows.withColumn("__body", F.when(ip.isNotNull(), body))
-        .withColumn("__error", F.coalesce(
+        rows.transform(_bind, "__body", F.when(ip.isNotNull(), body))
+        .transform(_bind, "__error", F.coalesce(
             "__error", F.when(data.isNotNull() & ip.isNull() & ~other, F.lit("truncated IP header")),
             F.when(fragment, F.lit("non-initial fragment"))))
-        .withColumn("__left", F.coalesce("__left", F.when(other, data), F.when(fragment, F.col("__body"))))
-        .withColumn("__body", F.when(~fragment, F.col("__body")))
+        .transform(_bind, "__left", F.coalesce("__left", F.when(other, data), F.when(fragment, F.col("__body"))))
+        .transform(_bind, "__body", F.when(~fragment, F.col("__body")))
         .drop("__net", "__ext")
     )
 
@@ -218,7 +227,7 @@ def _transport(frames: DataFrame) -> DataFrame:
         kind.alias("type"), _int(data, 1, 1).alias("code"), _int(data, 2, 2).alias("checksum"),
         F.when(with_ident, _int(data, 4, 2)).alias("ident"), F.when(with_ident, _int(data, 6, 2)).alias("seq"),
         (size - F.when(with_ident, 8).otherwise(4)).alias("payload_length")))
-    rows = frames.withColumn("tcp", tcp).withColumn("udp", udp).withColumn("icmp", icmp)
+    rows = frames.transform(_bind, "tcp", tcp).transform(_bind, "udp", udp).transform(_bind, "icmp", icmp)
     payload = (
         F.when(F.col("tcp").isNotNull(), _rest(data, F.col("tcp.header_length")))
         .when(F.col("udp").isNotNull(), _cut(data, 8, F.col("udp.payload_length")))
@@ -231,7 +240,7 @@ def _transport(frames: DataFrame) -> DataFrame:
         .when(is_icmp & F.col("icmp").isNull(), F.lit("truncated ICMP header"))
     )
     error = F.coalesce("__error", F.when(data.isNotNull(), failed))
-    return rows.withColumn("payload", payload).withColumn(
+    return rows.transform(_bind, "payload", payload).transform(_bind, 
         "errors", F.filter(F.array(error), lambda e: e.isNotNull())).drop("__left", "__body", "__error")
 
 
@@ -398,11 +407,11 @@ def decode(frames: DataFrame) -> DataFrame:
     has_payload = F.length("payload") > 0
     on_dns_port = F.coalesce(sport.isin(*DNS_PORTS), F.lit(False)) | F.coalesce(dport.isin(*DNS_PORTS), F.lit(False))
     message = F.when(F.col("tcp").isNotNull() & (F.length("payload") > 2), _rest(F.col("payload"), 2)).otherwise(F.col("payload"))
-    rows = rows.withColumn("__dns", F.when(on_dns_port & has_payload, message))
-    rows = rows.withColumn("dns", _parse_dns()(F.col("__dns"))).drop("__dns")
-    rows = rows.withColumn("dns", F.when(F.col("dns.ident").isNotNull(), F.col("dns")))
+    rows = rows.transform(_bind, "__dns", F.when(on_dns_port & has_payload, message))
+    rows = rows.transform(_bind, "dns", _parse_dns()(F.col("__dns"))).drop("__dns")
+    rows = rows.transform(_bind, "dns", F.when(F.col("dns.ident").isNotNull(), F.col("dns")))
     http = F.when(F.col("tcp").isNotNull() & F.col("dns").isNull(), _http(F.col("payload")))
-    return rows.withColumn("http", http)
+    return rows.transform(_bind, "http", http)
 
 
 # ---- derived columns and projections ----------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 LISTED = r"^(?:\d{1,3}\.){3}\d{1,3}(?:/\d{1,2})?$"
 ANYWHERE = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 COMMENT_MARKS = ("#", ";", "//")
+_LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
 def _payload_line(line: Column) -> Column:
@@ -21,8 +22,33 @@ def _payload_line(line: Column) -> Column:
 
 
 def _listed_ip(text: Column) -> Column:
-    token = F.trim(F.split(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"))).withColumnsRenamed(
-        {"pos": "line_no", "col": "value"})
+    token = F.trim(F.split(F.split(text, r"\s+")[0], ";")[0])
+    return F.when(token.rlike(LISTED), F.substring_index(token, "/", 1))
+
+
+def _valid(ip: Column) -> Column:
+    return F.forall(F.split(ip, r"\."), lambda octet: octet.cast("int") <= 255)
+
+
+def parse_listed(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Strict form: the first token of a line must be an address or network (prefix length dropped)."""
+    others = [c for c in lines.columns if c != line]
+    return lines.select(*others, _listed_ip(_payload_line(F.col(line))).alias("ip")).filter("ip IS NOT NULL")
+
+
+def parse_any(lines: DataFrame, line: str = "value") -> DataFrame:
+    """Default form: else any address in the line; octets are checked."""
+    others = [c for c in lines.columns if c != line]
+    text = _payload_line(F.col(line))
+    found = F.nullif(F.regexp_extract(text, ANYWHERE, 0), F.lit(""))
+    ips = lines.select(*others, F.coalesce(_listed_ip(text), found).alias("ip")).filter("ip IS NOT NULL")
+    return ips.filter(_valid(F.col("ip")))
+
+
+def lines_of(df: DataFrame, text: str) -> DataFrame:
+    """Explode a text column into its lines, ``value`` with the line number ``line_no``."""
+    others = [c for c in df.columns if c != text]
+    return df.select(*others, F.posexplode(F.split(text, _LINE_BREAK)).alias("line_no", "value"))
 
 
 def page_text(html: Column) -> Column:
