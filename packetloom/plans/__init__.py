@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("traffic", "monitoring", "vulnerability", "ingest")
+MODULES = ("traffic", "monitoring", "vulnerability", "ingest", "streams")
 
 
 def load_all() -> None:
