@@ -20,7 +20,8 @@ def _sliced(df: DataFrame, ts: str, span: float, slice_seconds: float | None) ->
     if length < span:
         raise ValueError("a slice must be at least one span long")
     home = F.floor(F.col(ts) / length)
-    leaves = F.floor((F.col(ts) + F.lit(float(span))) / length)
+    # A hair longer than the span: a copy too many is harmless, rounding must not lose one.
+    leaves = F.floor((F.col(ts) + F.lit(span + 1e-3)) / length)
     return (
         df.withColumn("__home", home)
         .withColumn("__slice", F.explode(F.sequence(home, leaves)))
@@ -28,17 +29,24 @@ def _sliced(df: DataFrame, ts: str, span: float, slice_seconds: float | None) ->
 
 
 def _events(df: DataFrame, ts: str, span: float, arriving: Column, leaving: Column) -> DataFrame:
-    """One row per arrival and one per departure; departures sort after arrivals of that time."""
-    arrival = F.struct(F.col(ts).alias("at"), F.lit(0).alias("kind"), arriving.alias("delta"))
+    """One row per arrival and one per departure, on the axis ``ts - span``.
+
+    A value from t counts for a row at ts while ``t >= ts - span``.  With arrivals placed at
+    ``ts - span`` and departures at t, that comparison decides the order, so edges come out
+    as written whatever the rounding.
+    """
+    arrival = F.struct(
+        (F.col(ts) - F.lit(float(span))).alias("at"), F.lit(0).alias("kind"), F.col(ts).alias("tie"), arriving.alias("delta"))
     departure = F.struct(
-        (F.col(ts) + F.lit(float(span))).alias("at"), F.lit(1).alias("kind"), leaving.alias("delta")
-    )
+        F.col(ts).alias("at"), F.lit(1).alias("kind"), F.lit(0.0).alias("tie"), leaving.alias("delta"))
     exploded = df.withColumn("__event", F.explode(F.array(arrival, departure)))
     return exploded.filter((F.col("__event.kind") == 0) | (F.col("__event.delta") != 0))
 
 
 def _answers(events: DataFrame, keys: list[str], out: str) -> DataFrame:
-    running = Window.partitionBy(*keys, "__slice").orderBy("__event.at", "__event.kind").rangeBetween(
+    running = Window.partitionBy(*keys, "__slice").orderBy(
+        "__event.at", "__event.kind", "__event.tie"
+    ).rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     return (
