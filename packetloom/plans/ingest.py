@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rules, stats
-from ..session import materialize
+from ..session import materialize, spread
 from ..sources import decode
 from .registry import greedy, query
 from .traffic import FLAG_TEXT, QTYPE_NAME, http, icmp, packets
@@ -36,7 +36,7 @@ def _tcp(sport, dport, seq, flags, payload):
 
 def _frames(df, hexed, linktype):
     """Frames as a stored table, the way an ingest job leaves them."""
-    return materialize(df.select(
+    return materialize(spread(df).select(
         "pkt_id", "ts", F.unhex(hexed).alias("raw"), F.col("length").cast("long").alias("wire_length"),
         linktype.cast("long").alias("linktype")))
 

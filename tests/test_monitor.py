@@ -39,7 +39,7 @@ def test_cycle_and_tables(spark, tmp_path):
     again = {(r.kind, r.src_ip) for r in live.run_cycle(spark, root, blocklist, NOW + 15).collect()}
     assert again <= {("suspicious_ip", "45.0.0.9")}
     scores = {r.ip: r.score for r in live.reputation_now(spark, root, NOW + 15).collect()}
-    assert scores["185.0.0.7"] == 100 and scores["45.0.0.9"] == 80
+    assert scores["185.0.0.7"] == 100 and scores["45.0.0.9"] == 40 and scores["91.0.0.3"] == 100
 
     old = packets.limit(10).withColumn("ts", F.lit(NOW - 8 * 86400))
     tables.append(old, root, "packets")
