@@ -146,7 +146,7 @@ def traffic_spikes(packets: DataFrame, window: float = 60, history: int = 10, mu
         F.sum("n").alias("packets"),
         F.max(F.struct(F.col("n").alias("n"), F.col("src_ip").alias("src_ip"))).alias("top"),
     )
-    first = per_window.agg(F.min("w").alias("first")).scalar()
+    first = packets.agg(F.floor((F.min("ts") - start) / float(window)).alias("first")).scalar()
     role = F.array(
         F.struct(F.col("w").alias("at"), F.col("packets").alias("current"), F.col("top.src_ip").alias("talker"),
                  F.lit(None).cast("long").alias("before")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import dns_type_name, flag_text, hex4, icmp_type_name
@@ -34,9 +34,9 @@ def top(counted: DataFrame, value: str, n: int) -> DataFrame:
 
 
 def by_protocol(packets: DataFrame, seq: str = "pkt_id") -> DataFrame:
-    """Packets per protocol label and their share.  The share uses the few label rows, not the packets."""
+    """Packets per protocol label and their share; the total is taken over the few label rows."""
     counted = _counted(packets, F.col("protocol"), "protocol", F.count("*"), "packets", seq)
-    return counted.withColumn("share", F.col("packets") / counted.agg(F.sum("packets")).scalar())
+    return counted.withColumn("share", F.col("packets") / F.sum("packets").over(Window.partitionBy(F.lit(0))))
 
 
 def by_ethertype(packets: DataFrame, seq: str = "pkt_id") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.net import ipv4_number, ipv4_text
+from ..functions.net import ip_key, ipv4_number, ipv4_text, ipv6_text
 
 _CHUNK = 65536
 
@@ -14,33 +14,40 @@ def expand(specs: DataFrame, text: str = "spec", seq: str = "spec_id") -> DataFr
     """(target, seq, part, host) of every specification, first occurrence kept.
 
     Forms: ``a.b.c.d/n`` (without network and broadcast address where there are hosts in
-    between), ``a.b.c.d-e``, ``a.b.c.d-a.b.c.e`` (ends swapped if reversed), anything else as
-    it is.  Large networks are first cut into chunks, so one specification spreads over tasks.
+    between; IPv6 from /96), ``a.b.c.d-e``, ``a.b.c.d-a.b.c.e`` (ends swapped if reversed),
+    anything else as it is.  Large networks are first cut into chunks, so one specification spreads over tasks.
     """
     tokens = specs.select(
         F.col(seq).alias("seq"), F.posexplode(F.filter(F.split(F.translate(text, ",", " "), r"\s+"), lambda t: t != ""))
     ).toDF("seq", "part", "token")
     is_net = F.col("token").contains("/")
     is_range = ~is_net & F.col("token").rlike(r"^[0-9]+(?:\.[0-9]+){3}-")
-    bits = F.substring_index("token", "/", -1).cast("int")
-    address = ipv4_number(F.substring_index("token", "/", 1))
-    size = F.pow(F.lit(2.0), 32 - bits).cast("long")
+    bits = F.substring_index("token", "/", -1).try_cast("int")
+    head_text = F.substring_index("token", "/", 1)
+    is_v6 = is_net & F.col("token").contains(":") & bits.between(96, 128)
+    digits = F.substring(ip_key(head_text), 3, 32)
+    address = F.when(is_v6, F.conv(F.substring(digits, 25, 8), 16, 10).cast("long")).otherwise(ipv4_number(head_text))
+    size = F.pow(F.lit(2.0), F.when(is_v6, 128 - bits).otherwise(32 - bits)).cast("long")
     base = address - address % size
+    # IPv6 networks have no broadcast address.
+    inner = F.struct((base + 1).alias("low"), (base + size - F.when(is_v6, 1).otherwise(2)).alias("high"))
     first, last = F.substring_index("token", "-", 1), F.substring_index("token", "-", -1)
     last = F.when(last.contains("."), last).otherwise(
-        F.concat(F.substring_index(first, ".", 3), F.lit("."), last.cast("int").cast("string")))
+        F.concat(F.substring_index(first, ".", 3), F.lit("."), last.try_cast("int").cast("string")))
     low, high = ipv4_number(first), ipv4_number(last)
-    edges = F.when(is_net, F.when(size > 2, F.struct((base + 1).alias("low"), (base + size - 2).alias("high")))
+    edges = F.when(is_net, F.when(size > 2, inner)
                    .otherwise(F.struct(base.alias("low"), (base + size - 1).alias("high")))
                    ).when(is_range, F.struct(F.least(low, high).alias("low"), F.greatest(low, high).alias("high")))
-    ranged = tokens.withColumn("edges", edges)
+    ranged = tokens.withColumn("edges", edges).withColumn("head", F.when(is_v6, F.substring(digits, 1, 24)))
+    ranged = ranged.withColumn("edges", F.when(F.col("edges.low").isNotNull() & F.col("edges.high").isNotNull(), F.col("edges")))
 
     def numbers(df: DataFrame) -> DataFrame:
         starts = F.sequence(F.col("edges.low"), F.col("edges.high"), F.lit(_CHUNK).cast("long"))
-        chunks = df.filter("edges IS NOT NULL").withColumn("chunk", F.explode(starts)).repartition("chunk")
+        chunks = df.filter("edges IS NOT NULL").withColumn("chunk", F.explode(starts)).repartition("seq", "chunk")
         upto = F.least(F.col("chunk") + _CHUNK - 1, F.col("edges.high"))
+        v6 = ipv6_text(F.unhex(F.concat("head", F.lpad(F.hex("host"), 8, "0"))))
         return chunks.withColumn("host", F.explode(F.sequence("chunk", upto))).select(
-            ipv4_text(F.col("host")).alias("target"), "seq", "part", "host")
+            F.when(F.col("head").isNotNull(), v6).otherwise(ipv4_text(F.col("host"))).alias("target"), "seq", "part", "host")
 
     names = ranged.filter("edges IS NULL").select(
         F.col("token").alias("target"), "seq", "part", F.lit(0).cast("long").alias("host"))

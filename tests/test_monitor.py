@@ -128,6 +128,8 @@ def test_targets(spark):
     got = [r.target for r in targets.expand(specs).orderBy("seq", "part", "host").collect()]
     assert got == ["192.168.1.1", "192.168.1.2", "10.0.0.5", "10.0.0.6", "10.0.0.7", "10.0.0.8", "name-x", "10.0.0.9", "10.0.1.4",
                    "10.0.1.5", "my-host"]
+    six = targets.expand(spark.createDataFrame([(1, "2001:db8::f/126 ::1/128 bogus/77")], "spec_id int, spec string"))
+    assert [r.target for r in six.orderBy("part", "host").collect()] == ["2001:db8::d", "2001:db8::e", "2001:db8::f", "::1", "bogus/77"]
     assert targets.expand(spark.createDataFrame([(1, "10.0.0.0/14")], "spec_id int, spec string")).count() == 2**18 - 2
 
 
