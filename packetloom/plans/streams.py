@@ -52,3 +52,30 @@ def stream_port_scan(spark, sf_dir):
     rows = syn_only(packets(spark, sf_dir)).select("pkt_id", "ts", "src_ip", "dst_ip", "dst_port")
     out = replay(rows, lambda s: rules.trailing_distinct_alerts(s, ["src_ip", "dst_ip"], "dst_port", 10.0, 20, 30.0))
     return out.select("ts", "src_ip", "dst_ip", "n")
+
+
+@query("stream_suppress", "alerts", sql=greedy(300, """
+SELECT kind || '/' || coalesce(src_ip, '-') AS k, ts, id AS pkt_id, id, kind, src_ip FROM alerts""", "id, ts, kind, src_ip"))
+def stream_suppress(spark, sf_dir):
+    rows = view(spark, sf_dir, "alerts").select("id", "ts", "kind", "src_ip")
+    return replay(rows, lambda s: rules.cooldown(s, ["kind", "src_ip"], 300.0, seq="id"))
+
+
+@query("stream_port_scan_windows", "packets", sql="""
+, slots AS (SELECT p.*, unnest(range(CAST(floor(ts / 15) AS BIGINT) + 1, CAST(floor(ts / 15) AS BIGINT) + 5)) AS c FROM packets p)
+SELECT CAST(c * 15 AS DOUBLE) AS ts, src_ip, count(DISTINCT dst_port) AS ports, CAST(count(*) AS BIGINT) AS packets,
+  CAST(count(*) FILTER (tcp_flags IN (2, 3)) AS BIGINT) AS syns FROM slots
+WHERE c * 15 <= (SELECT max(ts) FROM packets) - 60 GROUP BY c, src_ip HAVING count(DISTINCT dst_port) >= 15""")
+def stream_port_scan_windows(spark, sf_dir):
+    rows = monitor_packets(spark, sf_dir).select("ts", "src_ip", "dst_port", "flags")
+    return replay(rows, windows.port_scan_windows)
+
+
+@query("stream_brute_force_windows", "auth_events", sql="""
+, slots AS (SELECT a.*, unnest(range(CAST(floor(ts / 15) AS BIGINT) + 1, CAST(floor(ts / 15) AS BIGINT) + 21)) AS c FROM auth_events a WHERE NOT success)
+SELECT CAST(c * 15 AS DOUBLE) AS ts, src_ip, CAST(count(*) AS BIGINT) AS failures, count(DISTINCT username) AS users FROM slots
+WHERE c * 15 <= (SELECT max(ts) FROM auth_events WHERE NOT success) - 60 GROUP BY c, src_ip HAVING count(*) >= 8""")
+def stream_brute_force_windows(spark, sf_dir):
+    # The watermark follows the failures: Spark filters before it takes the newest time.
+    rows = view(spark, sf_dir, "auth_events").select("ts", "src_ip", "username", "success")
+    return replay(rows, windows.brute_force_windows)

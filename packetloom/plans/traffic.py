@@ -203,6 +203,29 @@ def private_addresses(spark, sf_dir):
         "internal", fnet.is_private(F.col("addr")))
 
 
+@query("capture_first_packets", "packets", sql="""
+SELECT pkt_id, ts FROM packets WHERE dst_port = 53 ORDER BY ts, pkt_id LIMIT 100""")
+def capture_first_packets(spark, sf_dir):
+    """Stop after so many matching packets."""
+    return stats.packet_limit(packets(spark, sf_dir).filter(p.port(53, "dst")), 100).select("pkt_id", "ts")
+
+
+@query("capture_first_seconds", "packets", sql="""
+SELECT protocol, count(*) AS packets FROM packets WHERE ts < (SELECT min(ts) FROM packets) + 120 GROUP BY protocol""")
+def capture_first_seconds(spark, sf_dir):
+    rows = p.first_seconds(packets(spark, sf_dir), 120)
+    return rows.groupBy("protocol").agg(F.count("*").alias("packets"))
+
+
+@query("pred_whitelist", "packets", "blocklist", sql="""
+SELECT src_ip, count(*) AS packets FROM packets WHERE src_ip NOT IN (SELECT ip FROM blocklist) AND ts >= (SELECT max(ts) FROM packets) - 300
+GROUP BY src_ip""")
+def pred_whitelist(spark, sf_dir):
+    rows = packets(spark, sf_dir)
+    recent = rows.filter(p.since(300, rows.agg(F.max("ts")).scalar()))
+    return p.not_whitelisted(recent, view(spark, sf_dir, "blocklist")).groupBy("src_ip").agg(F.count("*").alias("packets"))
+
+
 # ---- rules ------------------------------------------------------------------------------
 
 def _picked(alerts, *evidence, keep=("src", "dst")):

@@ -157,3 +157,15 @@ def test_stream_in_several_batches(spark, tmp_path):
             last = ts
             want.append((ts, n))
     assert got == want and len(want) > 5
+
+
+def test_alert_sinks(spark, tmp_path):
+    alerts = spark.createDataFrame(
+        [(2.0, "high", "port-scan", "m", "a", None, {"n": "3"})],
+        "ts double, severity string, rule string, message string, src string, dst string, evidence map<string,string>")
+    totals = spark.createDataFrame([(7, 900)], "packets long, bytes long")
+    document = tables.alert_document(totals, alerts, "file:x.pcap", None, 5.0).orderBy("part", "ts").collect()
+    assert json.loads(document[0].json) == {"source": "file:x.pcap", "generated_at": 5.0, "packets": 7, "bytes": 900}
+    assert json.loads(document[1].json)["evidence"] == {"n": "3"}
+    tables.write_alert_lines(alerts, str(tmp_path / "lines"))
+    assert spark.read.json(str(tmp_path / "lines")).first().timestamp == "1970-01-01T00:00:02Z"
