@@ -76,16 +76,21 @@ def latin1(data: Column) -> Column:
     return F.decode(data, "ISO-8859-1")
 
 
+def utc(stamp: Column) -> Column:
+    """A timestamp that shows its UTC fields whatever the session's time zone."""
+    return F.to_utc_timestamp(stamp, F.current_timezone())
+
+
 def clock_text(ts: Column) -> Column:
     """Epoch seconds → ``HH:MM:SS.mmm`` (milliseconds cut, not rounded)."""
     millis = F.floor(ts * 1000).cast("long")
-    return F.date_format(F.timestamp_millis(millis), "HH:mm:ss.SSS")
+    return F.date_format(utc(F.timestamp_millis(millis)), "HH:mm:ss.SSS")
 
 
 def iso_time(ts: Column) -> Column:
     """Epoch seconds → ISO-8601 in UTC; microseconds shown only when present."""
     micros = F.round(ts * 1000000).cast("long")
-    stamp = F.timestamp_micros(micros)
+    stamp = utc(F.timestamp_micros(micros))
     whole = F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")
     return F.concat(
         whole, F.when(micros % 1000000 != 0, F.date_format(stamp, ".SSSSSS")).otherwise(F.lit("")), F.lit("Z")

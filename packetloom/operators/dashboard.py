@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bucket_millis
+from ..functions.text import bucket_millis, utc
 
 
 def _at(as_of: Column | float) -> Column:
@@ -58,6 +58,6 @@ def volume_series(windows: DataFrame, edge: str = "window_start") -> DataFrame:
 
 
 def recent_alerts(alerts: DataFrame, n: int = 50) -> DataFrame:
-    stamp = F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd HH:mm:ss").alias("time")
+    stamp = F.date_format(utc(F.timestamp_seconds("ts")), "yyyy-MM-dd HH:mm:ss").alias("time")
     newest = alerts.orderBy(F.desc("ts"), F.desc("id")).limit(n)
     return newest.select(stamp, "severity", "kind", "src_ip", "title", "detail")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import iso_time
+from ..functions.text import iso_time, utc
 
 SCHEMAS = {
     "packets": "ts double, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, length int, flags string",
@@ -20,7 +20,7 @@ DATED = {"packets": "ts", "auth_events": "ts", "traffic_windows": "window_start"
 
 
 def day_of(ts: Column) -> Column:
-    return F.to_date(F.timestamp_seconds(ts))
+    return F.to_date(utc(F.timestamp_seconds(ts)))
 
 
 def append(df: DataFrame, root: str, table: str) -> None:
