@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, toxicity
+from . import packing, perplexity, quality, toxicity
 
 QUERIES = {}
 COMPARISON_SQL = {}
@@ -29,3 +29,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition counts and verdict of every document."""
+    return perplexity.rules(_table(spark, sf_dir, "documents"))
