@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, perplexity, quality, toxicity, warc
+from . import chat, packing, perplexity, quality, token_counts, toxicity, warc
 
 QUERIES = {}
 COMPARISON_SQL = {}
@@ -57,3 +57,9 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     return chat.format_turns(turns.unionByName(extra))
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files."""
+    return token_counts.count(_table(spark, sf_dir, "documents"))

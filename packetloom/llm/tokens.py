@@ -24,10 +24,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials_are_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(str(Path(path)))
+        self.tokenizer.encode_special_tokens = specials_are_text
         self.powers = ts.Powers()
         self._forget()
 
