@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, perplexity, quality, token_counts, toxicity, warc
+from . import chat, minhash, packing, perplexity, quality, token_counts, toxicity, warc
 
 QUERIES = {}
 COMPARISON_SQL = {}
@@ -63,3 +63,9 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted in flat token files."""
     return token_counts.count(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near copies of every document."""
+    return minhash.classes(_table(spark, sf_dir, "documents"))

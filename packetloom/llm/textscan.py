@@ -122,14 +122,15 @@ def repeats(text: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(again.astype(np.int64), minlength=n)
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with at most `limit` bytes of text (or one row)."""
+def pieces(batch: pa.RecordBatch, column: str | tuple = "text", limit: int = BLOCK_BYTES, rows: int = 4000) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most `rows` rows with at most `limit` bytes of text (or one row)."""
     if not batch.num_rows:
         return
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    columns = (column,) if isinstance(column, str) else column
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
     ends, first, total = np.cumsum(sizes), 0, 0
     while first < batch.num_rows:
-        last = max(first + 1, int(np.searchsorted(ends, total + limit, "right")))
+        last = min(first + rows, max(first + 1, int(np.searchsorted(ends, total + limit, "right"))))
         yield batch.slice(first, last - first)
         first, total = last, int(ends[min(last, batch.num_rows) - 1])
 
