@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, minhash, packing, perplexity, quality, token_counts, toxicity, warc
+from . import chat, decontaminate, licenses, minhash, packing, perplexity, quality, token_counts, toxicity, warc
 
 QUERIES = {}
 COMPARISON_SQL = {}
@@ -69,3 +69,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near copies of every document."""
     return minhash.classes(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain benchmark items, also with other numbers, names or units."""
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+COMPARISON_SQL["op3_decontaminate"] = decontaminate.comparison_sql()
+COMPARISON_SQL["op6_licenses"] = licenses.comparison_sql()
