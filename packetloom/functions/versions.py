@@ -1,6 +1,6 @@
 """Product identification, version order and version-range constraints.
 
-A version becomes an array of ``(kind, number, word)`` structs.  Spark orders arrays of
+A version becomes an array of ``(kind, length, text)`` structs.  Spark orders arrays of
 structs element by element and puts a prefix first, which is exactly the order needed, so
 comparisons are plain ``<``, ``=``, ``>`` on columns.
 """
@@ -68,15 +68,17 @@ def identify_product(banner: Column, specific_first: bool = False) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """Orderable key: digit runs compare as numbers and above letter runs."""
+    """Orderable key: digit runs compare as numbers of any length (without leading zeros: by length, then as
+    text) and above letter runs."""
     tokens = F.regexp_extract_all(F.lower(version), F.lit("([0-9]+|[a-z]+)"), F.lit(1))
 
     def element(token: Column) -> Column:
         digits = token.rlike("^[0-9]")
+        bare = F.ltrim(token, F.lit("0"))
         return F.struct(
             digits.cast("int").alias("kind"),
-            F.when(digits, token.cast("decimal(38,0)")).otherwise(F.lit(0)).cast("decimal(38,0)").alias("number"),
-            F.when(digits, F.lit("")).otherwise(token).alias("word"),
+            F.when(digits, F.length(bare)).otherwise(F.lit(0)).alias("length"),
+            F.when(digits, bare).otherwise(token).alias("text"),
         )
 
     return F.transform(tokens, element)

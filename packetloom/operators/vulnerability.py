@@ -160,12 +160,11 @@ def nested_hosts(matched: DataFrame) -> DataFrame:
 
 
 def report_rows(matched: DataFrame) -> DataFrame:
-    """Flat report rows: port, service, product text, note and vulnerability list."""
+    """Flat report rows: port, service, product text, note and vulnerability list, in full; cutting to a width is layout."""
     note = F.when(F.col("outdated"), F.concat(F.lit("outdated (latest "), "latest_version", F.lit(")"))).otherwise(F.lit(""))
     return matched.select(
         "host", F.concat_ws("/", F.col("port").cast("string"), F.lit("tcp")).alias("port"),
-        F.substring(F.coalesce("service", F.lit("-")), 1, 14).alias("service"),
-        F.substring("label", 1, 26).alias("product"), note.alias("note"),
+        F.coalesce("service", F.lit("-")).alias("service"), F.col("label").alias("product"), note.alias("note"),
         F.transform("vulnerabilities", lambda v: F.concat(
             F.lit("["), F.upper(v["severity"]), F.lit("] "), v["cve_id"], F.lit(" (CVSS "), v["cvss"].cast("string"), F.lit(")"),
             F.coalesce(F.concat(F.lit(" fixed in "), v["fixed_version"]), F.lit("")))).alias("vulnerabilities"),

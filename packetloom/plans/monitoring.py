@@ -182,7 +182,7 @@ def feed_pages(spark, sf_dir):
 
 
 @query("auth_parse", "auth_lines", "auth_events", sql="""
-SELECT l.event_id, l.ts, a.src_ip, a.username, 'sshd' AS service, CAST(CASE WHEN contains(line, ' port 50022') THEN 50022 ELSE 22 END AS INT) AS port,
+SELECT l.event_id, l.ts, a.src_ip, a.username, 'sshd' AS service, CASE WHEN contains(line, ' port ') THEN TRY_CAST(regexp_extract(line, ' port ([0-9]+)', 1) AS BIGINT) ELSE 22 END AS port,
   a.success FROM auth_lines l JOIN auth_events a USING (event_id)""")
 def auth_parse(spark, sf_dir):
     return authlog.parse_lines(view(spark, sf_dir, "auth_lines"))
@@ -197,10 +197,11 @@ latest AS (SELECT max(ts) + 100 AS t FROM score_events),
 reduced AS (SELECT ip, first_seen, last_seen, list_reduce(list_prepend({'ts': l[1].ts, 'points': 0::INT, 'score': 0::BIGINT}, l),
   lambda a, x: {'ts': x.ts, 'points': x.points, 'score': least(100, x.points + greatest(0, a.score
      - 5 * greatest(0, CAST(ceil(x.ts / 15) AS BIGINT) - 1 - CAST(floor((a.ts + 180) / 15) AS BIGINT))))}).score AS s FROM ordered),
+flags AS (SELECT ip, arg_max(blocklisted, ts * 4 + seq) FILTER (blocklisted IS NOT NULL) AS flag FROM score_events GROUP BY ip),
 notes AS (SELECT ip, string_agg(note, '; ' ORDER BY ts, seq) AS notes FROM (
   SELECT ip, note, ts, seq FROM score_events QUALIFY row_number() OVER (PARTITION BY ip, note ORDER BY ts, seq) = 1) GROUP BY ip),
 reputation AS (SELECT ip, CAST(greatest(0, s - 5 * greatest(0, CAST(floor(t / 15) AS BIGINT) - CAST(floor((last_seen + 180) / 15) AS BIGINT))) AS INT) AS score,
-  first_seen, last_seen, false AS blocklisted, notes FROM reduced JOIN notes USING (ip), latest)
+  first_seen, last_seen, coalesce(flag, false) AS blocklisted, notes FROM reduced JOIN notes USING (ip) JOIN flags USING (ip), latest)
 """
 
 
@@ -217,7 +218,7 @@ def reputation_fold(spark, sf_dir):
 
 @query("mon_suspicious_ip", "score_events", sql=FOLDED + """
 SELECT t AS ts, 'suspicious_ip' AS kind, CASE WHEN score >= 80 THEN 'critical' ELSE 'high' END AS severity, ip AS src_ip,
-  'Suspicious IP ' || ip || ' (score ' || score || ')' AS title, 'blocklisted=False reasons=' || notes AS detail, score
+  'Suspicious IP ' || ip || ' (score ' || score || ')' AS title, 'blocklisted=' || CASE WHEN blocklisted THEN 'True' ELSE 'False' END || ' reasons=' || notes AS detail, score
 FROM reputation, latest WHERE score >= 50 AND last_seen >= t - 900""")
 def mon_suspicious_ip(spark, sf_dir):
     end = view(spark, sf_dir, "score_events").agg((F.max("ts") + 100).alias("t")).scalar()

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators.rules import syn_only
-from ..session import checkpoint_dir, materialize
+from ..session import materialize, new_folder
 from ..streaming import rules, windows
 from .monitoring import packets as monitor_packets
 from .registry import greedy, query
@@ -18,7 +18,7 @@ from .views import view
 def replay(df, build):
     """Store rows as files, stream them through ``build`` into Parquet and return what arrived."""
     spark = df.sparkSession
-    root = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    root = new_folder(spark)
     materialized = materialize(df)
     source = materialized.inputFiles()[0].rsplit("/", 1)[0]
     stream = windows.with_event_time(spark.readStream.schema(df.schema).parquet(source))

@@ -8,7 +8,6 @@ from ..functions import net as fnet
 from ..functions.text import label_entropy
 from ..operators import predicates as p
 from ..operators import rules, stats
-from ..operators.rules import RuleConfig
 from .registry import greedy, query
 from .views import view
 
@@ -384,4 +383,4 @@ SELECT * FROM (SELECT src_ip || '>' || dst_ip AS k, ts, pkt_id, src_ip, dst_ip,
 FROM packets WHERE src_ip LIKE '10.%' AND dst_ip NOT LIKE '192.168.%') WHERE n >= 500000""",
     "ts, 'medium' AS severity, 'data-egress' AS rule, src_ip AS src, dst_ip AS dst, CAST(n AS BIGINT) AS bytes"))
 def rule_egress(spark, sf_dir):
-    return _picked(rules.data_egress(packets(spark, sf_dir), RuleConfig(exfil_bytes=500000)), ("bytes", "long"))
+    return _picked(rules.data_egress(packets(spark, sf_dir), limit=500000), ("bytes", "long"))

@@ -37,7 +37,8 @@ SELECT event_id, CAST(1700000000 AS DOUBLE) + event_id*2 AS ts,
   concat('u', CAST(user_id AS STRING)) AS username, 'sshd' AS service,
   CAST(22 AS INT) AS port, event_type <> 'error' AS success FROM events"""),
     "auth_lines": ("auth_events", """
-SELECT event_id, ts, CASE WHEN success THEN concat('Accepted password for ', username, ' from ', src_ip, ' port 50022 ssh2')
+SELECT event_id, ts, CASE WHEN success THEN concat('Accepted password for ', username, ' from ', src_ip, ' port ',
+    CASE event_id%50 WHEN 1 THEN '99999999999' WHEN 2 THEN repeat('9', 40) ELSE '50022' END, ' ssh2')
   WHEN event_id%3=0 THEN concat('Invalid user ', username, ' from ', src_ip)
   WHEN event_id%3=1 THEN concat('Failed password for invalid user ', username, ' from ', src_ip, ' port 50022 ssh2')
   ELSE concat('authentication failure; uid=0 rhost=', src_ip, ' user=', username) END AS line FROM auth_events"""),
@@ -49,7 +50,8 @@ SELECT p_partkey AS service_id, concat('192.168.', CAST(p_partkey%8 AS STRING),
        WHEN 1 THEN '220 (vsFTPd 2.3.4)' WHEN 2 THEN concat('Server: Apache/2.4.', CAST(p_size AS STRING), ' (Unix)')
        WHEN 3 THEN 'Server: nginx/1.4.0' WHEN 4 THEN '220 mail ESMTP Exim 4.89' WHEN 5 THEN 'Samba 4.6.3'
        WHEN 6 THEN 'redis_version:6.2.6' WHEN 7 THEN '220 ProFTPD 1.3.5 Server' WHEN 8 THEN 'Server: Microsoft-IIS/6.0'
-       WHEN 9 THEN '+OK Dovecot ready' WHEN 10 THEN NULL ELSE 'gibberish' END AS banner FROM part"""),
+       WHEN 9 THEN '+OK Dovecot ready' WHEN 10 THEN NULL
+       ELSE CASE WHEN p_size%5=0 THEN concat('SSH-2.0-OpenSSH_', repeat('9', 45), '.', CAST(p_size AS STRING)) ELSE 'gibberish' END END AS banner FROM part"""),
     "blocklist": ("", """
 SELECT * FROM (VALUES ('203.0.113.2','feedA'),('198.51.100.3','feedA'),('10.0.0.4','feedB')) AS t(ip, source)"""),
     # Sample vulnerability records.
@@ -74,10 +76,12 @@ SELECT * FROM (VALUES
   ('memcached', 0, 'CVE-2018-1000115', 7.5, '<1.5.6', '1.5.6')
 ) AS t(product, position, cve_id, cvss, affected, fixed_version)"""),
     "score_events": ("auth_events", """
-SELECT src_ip AS ip, ts*1 AS ts, CAST(event_id%4 AS INT) AS seq,
-  CAST(CASE event_id%4 WHEN 0 THEN 40 WHEN 1 THEN 50 WHEN 2 THEN 20 ELSE 60 END AS INT) AS points,
-  CASE event_id%4 WHEN 0 THEN 'port_scan' WHEN 1 THEN 'brute_force' WHEN 2 THEN 'traffic_spike' ELSE 'threat_feed' END AS note
-  FROM auth_events WHERE NOT success AND event_id%40 < 4"""),
+SELECT concat('198.51.100.', CAST(CAST(substr(username, 2) AS INT)%20+1 AS STRING)) AS ip, ts*1 AS ts, CAST(event_id%4 AS INT) AS seq,
+  CAST(CASE event_id%4 WHEN 0 THEN 14 WHEN 1 THEN 17 WHEN 2 THEN 9 ELSE 21 END AS INT) AS points,
+  CASE event_id%4 WHEN 0 THEN 'port_scan' WHEN 1 THEN 'brute_force' WHEN 2 THEN 'traffic_spike' ELSE 'threat_feed' END AS note,
+  CASE WHEN CAST(substr(username, 2) AS INT)%20 IN (3, 7) AND event_id%4=3 THEN true
+       WHEN CAST(substr(username, 2) AS INT)%20 = 7 AND event_id%4=0 THEN false END AS blocklisted
+  FROM auth_events WHERE NOT success"""),
     "icmp_packets": ("events", """
 SELECT event_id AS pkt_id, CAST(1700000000 AS DOUBLE) + CAST(event_id AS DOUBLE)/4 AS ts,
   concat('10.0.1.', CAST(user_id%3+1 AS STRING)) AS src_ip, concat('192.168.1.', CAST(event_id%30+1 AS STRING)) AS dst_ip,

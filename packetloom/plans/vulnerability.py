@@ -48,7 +48,7 @@ enriched AS (SELECT service_id, host, port, banner, coalesce(i.s, CASE port WHEN
   i.p AS product, i.v AS version FROM ident)"""
 
 
-KEY = "list_transform(regexp_extract_all(lower({0}), '[0-9]+|[a-z]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN {{'k': 1, 'n': CAST(t AS BIGINT), 'w': ''}} ELSE {{'k': 0, 'n': 0::BIGINT, 'w': t}} END)"
+KEY = "list_transform(regexp_extract_all(lower({0}), '[0-9]+|[a-z]+'), lambda t: CASE WHEN regexp_matches(t, '^[0-9]') THEN {{'k': 1, 'n': length(ltrim(t, '0')), 'w': ltrim(t, '0')}} ELSE {{'k': 0, 'n': 0::BIGINT, 'w': t}} END)"
 LATEST = """CASE lower(product) WHEN 'openssh' THEN '9.8p1' WHEN 'apache httpd' THEN '2.4.62' WHEN 'nginx' THEN '1.27.1'
   WHEN 'microsoft-iis' THEN '10.0' WHEN 'vsftpd' THEN '3.0.5' WHEN 'proftpd' THEN '1.3.8' WHEN 'exim' THEN '4.98' WHEN 'mysql' THEN '8.4.2'
   WHEN 'samba' THEN '4.20.2' WHEN 'redis' THEN '7.4.0' END"""
@@ -178,9 +178,10 @@ def host_report(spark, sf_dir):
 SELECT host, port || '/tcp' AS port, coalesce(service, '-') AS service,
   CASE WHEN product IS NOT NULL AND version IS NOT NULL THEN product || ' ' || version WHEN product IS NOT NULL THEN product ELSE coalesce(service, 'unknown') END AS product,
   CASE WHEN coalesce(version IS NOT NULL AND {KEY.format('version')} < {KEY.format('(' + LATEST + ')')}, false) THEN 'outdated (latest ' || {LATEST} || ')' ELSE '' END AS note,
-  CAST((SELECT count(*) FROM found f WHERE f.service_id = enriched.service_id) AS INT) AS vulnerabilities FROM enriched""")
+  coalesce((SELECT string_agg(t, ' ' ORDER BY t) FROM (SELECT '[' || upper(f.severity) || '] ' || f.cve_id || ' (CVSS ' || CAST(CAST(f.cvss AS DOUBLE) AS VARCHAR) || ')'
+    || coalesce(' fixed in ' || f.fixed_version, '') AS t FROM found f WHERE f.service_id = enriched.service_id)), '') AS vulnerabilities FROM enriched""")
 def report_rows(spark, sf_dir):
-    return vuln.report_rows(matched(spark, sf_dir)).withColumn("vulnerabilities", F.size("vulnerabilities"))
+    return vuln.report_rows(matched(spark, sf_dir)).withColumn("vulnerabilities", F.array_join(F.array_sort("vulnerabilities"), " "))
 
 
 @query("cpe_names", "services", sql=_identified(False) + """

@@ -16,6 +16,7 @@ def local_session(cores: str = "8", app: str = "packetloom") -> SparkSession:
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
@@ -24,13 +25,38 @@ def local_session(cores: str = "8", app: str = "packetloom") -> SparkSession:
     )
 
 
+_written: list[str] = []
+_own: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session that runs in one process may go without it: it gets a folder of its own, removed at exit.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        configured = tempfile.mkdtemp(prefix="packetloom-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    if configured is not None:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if "folder" not in _own:
+        folder = tempfile.TemporaryDirectory(prefix="packetloom-")  # goes with this process
+        _own["folder"], _own["keep"] = "file://" + folder.name, folder
+    return _own["folder"]
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A name for an intermediate table, known to `close`."""
+    _written.append(f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def close(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this process wrote."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -39,7 +65,7 @@ def materialize(df: DataFrame) -> DataFrame:
     For results that are read several times.  Lineage ends there, so a lost executor costs a
     re-read and not a recomputation, and later steps still prune columns.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

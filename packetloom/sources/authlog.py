@@ -19,13 +19,17 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
     The accept pattern is tried first, then the failure patterns in order.
     """
+    def number(text: Column) -> Column:
+        """The port as written, 22 where the line has none, null where it is no number a long can hold."""
+        return F.when(text == "", F.lit(22).cast("bigint")).otherwise(text.try_cast("bigint"))
+
     def event(pattern, success: bool) -> Column:
         regex, user, ip, port = pattern
         def group(i):
             return F.regexp_extract(line, regex, i) if i else F.lit("")
         return F.struct(
             group(ip).alias("src_ip"), F.coalesce(F.nullif(group(user), F.lit("")), F.lit("unknown")).alias("username"),
-            F.lit("sshd").alias("service"), F.coalesce(F.nullif(group(port), F.lit("")).cast("int"), F.lit(22)).alias("port"),
+            F.lit("sshd").alias("service"), number(group(port)).alias("port"),
             F.lit(success).alias("success"),
         )
 

@@ -125,11 +125,21 @@ def _read_splits(batch_rows: int = 4096):
     return run
 
 
+def _reasons(batches):
+    """Why a file is no classic capture; reads its first bytes only."""
+    schema = pa.schema([("file", pa.string()), ("reason", pa.string())])
+    for batch in batches:
+        paths, reasons = batch.column("path").to_pylist(), []
+        for path in paths:
+            with _open(path) as handle:
+                reasons.append(_file_format(handle.read(_FILE_HEADER))[0])
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(reasons, pa.string())], schema=schema)
+
+
 def _splits(spark: SparkSession, path: str, split_bytes: int) -> tuple[DataFrame, int]:
     files = spark.read.format("binaryFile").load(path).select("path", "length")  # content is not read
     total = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
-    tasks = max(min(total["n"], 10000), 1)
-    splits = files.repartition(tasks).mapInArrow(_split_files(split_bytes), SPLIT_SCHEMA)
+    splits = files.repartition(max(total["n"], 1)).mapInArrow(_split_files(split_bytes), SPLIT_SCHEMA)
     return splits, max(math.ceil(total["bytes"] / split_bytes), total["n"], 1)
 
 
@@ -142,5 +152,5 @@ def read_frames(spark: SparkSession, path: str, split_bytes: int = 64 << 20) ->
 
 def rejected_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, reason) of the files that are not classic pcap."""
-    splits, _ = _splits(spark, path, 1 << 40)
-    return splits.filter("reason IS NOT NULL").select("file", "reason")
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.mapInArrow(_reasons, "file string, reason string").filter("reason IS NOT NULL")

@@ -3,13 +3,12 @@ import random
 from pyspark.sql import functions as F
 
 from packetloom.operators import rules, stats
-from packetloom.operators.rules import RuleConfig
 from packetloom.operators.trailing import trailing_count, trailing_distinct, trailing_sum
 from packetloom.sources import decode
 
 import wire as w
 
-NOW = RuleConfig(cooldown=0.0)
+NOW = {"quiet": 0.0}
 A, B, R = "192.168.1.5", "192.168.1.10", "192.168.1.1"
 
 
@@ -31,7 +30,7 @@ def test_trailing_against_brute_force(spark):
     assert all(r.n == len(frame_of(r.k, r.ts)) for r in trailing_count(df, ["k"], 7.0).collect())
 
 
-def fired(spark, frames, cfg=NOW):
+def fired(spark, frames):
     """Rules fired by decoded frames (``(seconds, frame)`` pairs)."""
     schema = "file string, frame_no long, ts double, raw binary, wire_length long, linktype long"
     data = [("f", i, 1700000000.0 + t, bytearray(f), len(f), 1) for i, (t, f) in enumerate(frames)]
@@ -50,15 +49,15 @@ def test_scan_rules(spark):
     frames += [(300, w.ether(w.ipv4(A, B, 6, w.tcp(1, 80, 41)))), (301, w.ether(w.ipv4(A, B, 6, w.tcp(1, 80, 0)))),
                (302, w.ether(w.ipv4(A, B, 6, w.tcp(1, 80, 24))))]
     flat, _ = fired(spark, frames)
-    scans = rules.port_scan(flat, NOW).orderBy("ts").collect()
+    scans = rules.port_scan(flat, **NOW).orderBy("ts").collect()
     assert {r.src for r in scans} == {"192.168.1.66"} and scans[0].evidence["distinct_ports"] == "20"
     assert scans[0].evidence["sample_ports"] == str(list(range(1000, 1015))).replace(" ", "")
     assert scans[0].message == "192.168.1.66 probed 20 ports on 192.168.1.10 in 10s"
-    floods = rules.syn_flood(flat, NOW).collect()
+    floods = rules.syn_flood(flat, **NOW).collect()
     assert {r.dst for r in floods} == {R} and min(int(r.evidence["syn_count"]) for r in floods) == 120
-    assert {r.src for r in rules.ping_sweep(flat, NOW).collect()} == {"192.168.1.66"}
-    assert rules.host_sweep(flat, NOW).count() == 0
-    assert sorted(r.message.split(" from")[0] for r in rules.stealth_scan(flat, NOW).collect()) == ["NULL scan", "XMAS scan"]
+    assert {r.src for r in rules.ping_sweep(flat, **NOW).collect()} == {"192.168.1.66"}
+    assert rules.host_sweep(flat, **NOW).count() == 0
+    assert sorted(r.message.split(" from")[0] for r in rules.stealth_scan(flat, **NOW).collect()) == ["NULL scan", "XMAS scan"]
 
 
 def test_payload_rules(spark):
@@ -81,20 +80,20 @@ def test_payload_rules(spark):
               (8, w.ether(w.ipv4(A, "203.0.113.77", 6, w.tcp(45000, 4444, 2))))]
     frames += [(100 + i * 0.1, dns(i, f"chunk{i:04d}.bulk.example.org")) for i in range(35)]
     flat, questions = fired(spark, frames)
-    tunnels = rules.icmp_tunnel(flat, NOW).collect()
+    tunnels = rules.icmp_tunnel(flat, **NOW).collect()
     assert [(r.src, r.evidence["payload_bytes"]) for r in tunnels] == [(A, "600")]
-    assert [r.evidence["qtype"] for r in rules.dns_tunnel(questions, NOW).collect()] == ["TXT"]
-    assert rules.dns_rare(questions, NOW).count() == 1
-    volume = rules.dns_volume(questions, NOW).collect()
+    assert [r.evidence["qtype"] for r in rules.dns_tunnel(questions, **NOW).collect()] == ["TXT"]
+    assert rules.dns_rare(questions, **NOW).count() == 1
+    volume = rules.dns_volume(questions, **NOW).collect()
     assert {r.evidence["domain"] for r in volume} == {"example.org"} and len(volume) == 6
-    basic = rules.basic_credentials(flat, NOW).collect()
+    basic = rules.basic_credentials(flat, **NOW).collect()
     assert len(basic) == 1 and "YWRt" not in str(basic)
-    form = rules.form_credentials(flat, NOW).collect()
+    form = rules.form_credentials(flat, **NOW).collect()
     assert [(r.evidence["field"], r.evidence["path"]) for r in form] == [("password", "/login")]
-    assert [r.message for r in rules.login_credentials(flat, NOW).collect()] == [
+    assert [r.message for r in rules.login_credentials(flat, **NOW).collect()] == [
         f"FTP PASS command in cleartext {A} -> {B}:21"]
-    assert [r.evidence["port"] for r in rules.suspicious_port(flat, NOW).collect()] == ["4444"]
-    assert rules.at_least(rules.dns_rare(questions, NOW), "medium").count() == 0
+    assert [r.evidence["port"] for r in rules.suspicious_port(flat, **NOW).collect()] == ["4444"]
+    assert rules.at_least(rules.dns_rare(questions, **NOW), "medium").count() == 0
     totals = stats.totals(flat).first()
     assert totals.packets == len(frames) and totals.decode_errors == 0
 
@@ -129,7 +128,7 @@ def test_suspicious_ports_interact(spark):
     df = spark.createDataFrame(rows, "pkt_id long, ts double, src_ip string, dst_ip string, src_port int, dst_port int").withColumn(
         "transport", F.lit("TCP"))
     for seconds in (30.0, 0.0):
-        alerts = rules.suspicious_port(df, RuleConfig(cooldown=seconds))
+        alerts = rules.suspicious_port(df, quiet=seconds)
         got = sorted((r.pkt_id, r.ts, r.src, r.dst, int(r.evidence["port"])) for r in alerts.collect())
         assert got == one_by_one(rows, seconds)
 
