@@ -2,30 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the one the cluster names in ``spark.checkpoint.dir``.
+from pyspark.sql import Column, DataFrame, functions as F
 
-    Only a session inside one process (tests) may go without the setting.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "packetloom-shared")
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+from ..session import new_folder
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession)
+    path = new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

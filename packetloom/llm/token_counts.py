@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..session import new_folder
 from . import textscan as ts
-from .common import shared_folder, stored
+from .common import stored
 from .tokens import WordEncoder, tokenizer_path, with_end
 
 _RUN = 1000  # ranges summed up together in the first step of the scan
@@ -119,5 +120,5 @@ def scan(files: DataFrame, end_id: int = 49407, width: int = 2, range_tokens: in
 
 def count(docs: DataFrame, path: str | None = None, end_id: int = 49407) -> DataFrame:
     """(doc_id, n_tokens) by way of token files."""
-    files, order = write_files(docs, shared_folder(docs.sparkSession), path, end_id)
+    files, order = write_files(docs, new_folder(docs.sparkSession), path, end_id)
     return order.join(scan(files, end_id), ["path", "ordinal"]).select("doc_id", "n_tokens")

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import shared_folder
+from ..session import new_folder
 
 SKIPPABLE = 0x184D2A5D
 _MANIFEST = "path string, records bigint, bytes bigint"
@@ -256,5 +256,5 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write all pages and read the archives back."""
-    manifest = write(with_revisits(pages), folder or shared_folder(pages.sparkSession))
+    manifest = write(with_revisits(pages), folder or new_folder(pages.sparkSession))
     return read(manifest, payloads=False)

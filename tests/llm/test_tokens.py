@@ -9,8 +9,8 @@ from tokenizers import Tokenizer
 
 from helpers import frame, odd_documents, prose, rows_of
 from packetloom.llm import packing, token_counts
-from packetloom.llm.common import shared_folder
 from packetloom.llm.tokens import tokenizer_path
+from packetloom.session import new_folder
 
 ODD = odd_documents() + [(40, "a <|endoftext|> b don't 'll ﬁ é İ", "en", None, 1)]
 
@@ -24,7 +24,7 @@ def test_counts(spark):
     tokenizer.encode_special_tokens = True
     want = sorted(((r[0], len(_ids(tokenizer, r[1]))) for r in ODD), key=repr)
     assert rows_of(token_counts.count(frame(spark, ODD, extra=True))) == want
-    files, order = token_counts.write_files(frame(spark, ODD), shared_folder(spark), file_tokens=5000)
+    files, order = token_counts.write_files(frame(spark, ODD), new_folder(spark), file_tokens=5000)
     found = token_counts.scan(files, range_tokens=37)
     assert rows_of(order.join(found, ["path", "ordinal"]).select("doc_id", "n_tokens")) == want
     assert token_counts.count(frame(spark, [])).collect() == []
