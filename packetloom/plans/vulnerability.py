@@ -192,23 +192,50 @@ def cpe_names(spark, sf_dir):
     return rows.groupBy(cpe(F.col("product"), F.lit(None).cast("string")).alias("cpe")).agg(F.count("*").alias("services"))
 
 
-@query("expand_targets", "services", sql="""
-, specs AS (SELECT service_id, 'net' AS form, split_part(host, '.', 3) AS c, CAST(split_part(host, '.', 4) AS INT) AS d FROM services)
-SELECT DISTINCT target FROM (
-  SELECT '192.168.' || c || '.' || (d // 4 * 4 + u) AS target FROM specs, (SELECT unnest([1, 2]) AS u) WHERE service_id % 3 = 0
-  UNION ALL SELECT '10.1.' || c || '.' || unnest(range(d, d + 4)) FROM specs WHERE service_id % 3 = 1
-  UNION ALL SELECT 'host-' || d FROM specs WHERE service_id % 3 = 2)""")
-def expand_targets(spark, sf_dir):
-    """Specifications made from the inventory: networks, ranges (one form reversed) and names."""
-    specs = services(spark, sf_dir).select(
+def _specs(spark, sf_dir):
+    """Specifications made from the inventory: networks of both families, ranges (one form reversed), names and broken ones."""
+    rows = services(spark, sf_dir).select(
         F.col("service_id").alias("spec_id"), F.split("host", r"\.")[2].alias("c"), F.split("host", r"\.")[3].cast("int").alias("d"))
-    c, d = F.col("c"), F.col("d")
+    c, d, k = F.col("c"), F.col("d"), F.col("spec_id") % 7
+    own = F.concat(F.lit("10.1."), c, F.lit("."), d.cast("string"))
+    upper = F.concat(F.lit("10.1."), c, F.lit("."), (d + 3).cast("string"))
     spec = (
-        F.when(F.col("spec_id") % 3 == 0, F.concat(F.lit("192.168."), c, F.lit("."), d.cast("string"), F.lit("/30")))
-        .when((F.col("spec_id") % 3 == 1) & (F.col("spec_id") % 2 == 0),
-              F.concat(F.lit("10.1."), c, F.lit("."), d.cast("string"), F.lit("-"), (d + 3).cast("string")))
-        .when(F.col("spec_id") % 3 == 1,
-              F.concat(F.lit("10.1."), c, F.lit("."), (d + 3).cast("string"), F.lit("-10.1."), c, F.lit("."), d.cast("string")))
-        .otherwise(F.concat(F.lit("host-"), d.cast("string")))
-    )
-    return targets.expand(specs.select("spec_id", spec.alias("spec"))).select("target")
+        F.when(k == 0, F.concat(F.lit("192.168."), c, F.lit("."), d.cast("string"), F.lit("/30")))
+        .when(k == 1, F.concat(own, F.lit("-"), (d + 3).cast("string")))
+        .when(k == 2, F.concat(upper, F.lit("-"), own))
+        .when(k == 3, F.concat(F.lit("host-"), d.cast("string")))
+        .when(k == 4, F.concat(F.lit("fd00:"), c, F.lit(":"), F.lower(F.hex(d)), F.lit("::7/"), (F.lit(44) + d % 9).cast("string")))
+        .when(k == 5, F.concat(F.lit("10.0.0.0/99 "), own, F.lit("-300")))
+        .otherwise(own))
+    return rows.select("spec_id", spec.alias("spec"))
+
+
+SPECS = """
+, specs AS (SELECT service_id, service_id % 7 AS k, split_part(host, '.', 3) AS c, CAST(split_part(host, '.', 4) AS INT) AS d FROM services)"""
+
+
+@query("expand_targets", "services", sql=SPECS + """
+SELECT DISTINCT target FROM (
+  SELECT '192.168.' || c || '.' || (d // 4 * 4 + u) AS target FROM specs, (SELECT unnest([1, 2]) AS u) WHERE k = 0
+  UNION ALL SELECT '10.1.' || c || '.' || unnest(range(d, d + 4)) FROM specs WHERE k IN (1, 2)
+  UNION ALL SELECT '10.1.' || c || '.' || d FROM specs WHERE k = 6
+  UNION ALL SELECT 'host-' || d FROM specs WHERE k = 3)""")
+def expand_targets(spark, sf_dir):
+    return targets.expand(_specs(spark, sf_dir)).select("target")
+
+
+@query("target_ranges", "services", sql=SPECS + """
+, v4 AS (SELECT service_id, k, c::BIGINT AS c, d::BIGINT AS d, (CASE WHEN k = 0 THEN 192 * 256 + 168 ELSE 10 * 256 + 1 END)::BIGINT * 65536 + c::BIGINT * 256
+    + CASE WHEN k = 0 THEN d // 4 * 4 ELSE d END AS low FROM specs WHERE k IN (0, 1, 2, 6)),
+v6 AS (SELECT service_id, c, d, 44 + d % 9 AS bits, lpad('fd00', 4, '0') || lpad(c, 4, '0') || lpad(printf('%x', d), 4, '0') AS groups FROM specs WHERE k = 4),
+cut AS (SELECT service_id, bits, groups || '00000' AS digits, (bits // 4)::INT AS whole, (bits % 4)::INT AS rest FROM v6),
+edges AS (SELECT service_id, substr(digits, 1, whole) AS head, rest, CAST('0x' || substr(digits, whole + 1, 1) AS INT) // (16 >> rest) * (16 >> rest) AS digit, (16 >> rest) - 1 AS room FROM cut)
+SELECT service_id AS seq, '4:' || lpad(printf('%x', low), 8, '0') AS low_key,
+  '4:' || lpad(printf('%x', low + CASE WHEN k = 6 THEN 0 ELSE 3 END), 8, '0') AS high_key, NULL AS reason FROM v4
+UNION ALL SELECT service_id, '6:' || rpad(head || CASE WHEN rest > 0 THEN printf('%x', digit) ELSE '' END, 32, '0'),
+  '6:' || rpad(head || CASE WHEN rest > 0 THEN printf('%x', digit + room) ELSE '' END, 32, 'f'), NULL FROM edges
+UNION ALL SELECT service_id, NULL, NULL, unnest(['not a network', 'not an address range']) FROM specs WHERE k = 5""")
+def target_ranges(spark, sf_dir):
+    """First and last address of every specification, or why there is none."""
+    read = targets.parse(_specs(spark, sf_dir)).filter("low_key IS NOT NULL OR reason IS NOT NULL")
+    return read.select("seq", "low_key", "high_key", "reason")

@@ -1,12 +1,11 @@
 """Frames → packet rows, as columns over the raw bytes.
 
 Each layer is one projection that hands the rest of the bytes to the next.  Only DNS messages,
-whose names may point backwards, are read in an Arrow UDF, and only for rows on DNS ports.
+whose names may point backwards, are cut into names and records in an Arrow UDF, and only for rows on DNS ports.
 """
 
 from __future__ import annotations
 
-import socket
 import struct
 
 import pandas as pd
@@ -273,75 +272,99 @@ def _dns_name(message: bytes, at: int) -> tuple[str, int]:
         at += 1 + size
 
 
-def _dns_data(message: bytes, rtype: int, at: int, size: int) -> str:
-    data = message[at:at + size]
-    try:
-        if rtype == 1 and size == 4:
-            return socket.inet_ntop(socket.AF_INET, data)
-        if rtype == 28 and size == 16:
-            return socket.inet_ntop(socket.AF_INET6, data)
-        if rtype in (2, 5, 12):
-            return _dns_name(message, at)[0]
-        if rtype == 6:
-            return "soa " + _dns_name(message, at)[0]
-        if rtype == 15 and size > 2:
-            return f"{int.from_bytes(data[:2])} {_dns_name(message, at + 2)[0]}"
-        if rtype == 33 and size >= 6:
-            return f"{_dns_name(message, at + 6)[0]}:{int.from_bytes(data[4:6])}"
-        if rtype == 16:
-            texts, i = [], 0
-            while i < size:
-                texts.append(data[i + 1:i + 1 + data[i]].decode("utf-8", "replace"))
-                i += 1 + data[i]
-            return " ".join(texts)
-    except (ValueError, IndexError, struct.error):
-        pass
-    return data[:48].hex()
+#: Wire layouts of what follows a name, and where in a record's data a name stands (by record type).
+_ASKED, _ANSWERED = "!HH", "!HHIH"
+_NAME_IN_DATA = {2: 0, 5: 0, 6: 0, 12: 0, 15: 2, 33: 6}
 
 
-def _dns_message(message: bytes | None):
-    """A message as a dict; what was read before an error is kept; no header or absurd counts → None."""
-    if message is None or len(message) < 12:
-        return None
-    ident, flags, n_questions, n_answers = struct.unpack_from("!HHHH", message)
-    if n_questions > 64 or n_answers > 128:
-        return None
-    questions, answers = [], []
-    try:
-        at = 12
-        for _ in range(n_questions):
-            name, at = _dns_name(message, at)
-            qtype, qclass = struct.unpack_from("!HH", message, at)
-            questions.append({"name": name, "qtype": qtype, "qclass": qclass})
-            at += 4
-        for _ in range(n_answers):
+def _records(message: bytes, at: int, count: int, layout: str) -> tuple[list[tuple], int | None]:
+    """Up to ``count`` records (name, fields…, offset of the data); the offset behind them, null after a fault."""
+    found = []
+    for _ in range(count):
+        try:
             name, at = _dns_name(message, at)
-            rtype, rclass, ttl, size = struct.unpack_from("!HHIH", message, at)
-            at += 10
-            if at + size > len(message):
-                break
-            answers.append({"name": name, "rtype": rtype, "rclass": rclass, "ttl": ttl,
-                            "data": _dns_data(message, rtype, at, size)})
-            at += size
+            fields = struct.unpack_from(layout, message, at)
+        except (ValueError, IndexError, struct.error):
+            return found, None
+        at += struct.calcsize(layout)
+        size = fields[-1] if layout == _ANSWERED else 0
+        if at + size > len(message):
+            return found, None
+        found.append((name, *fields, at))
+        at += size
+    return found, at
+
+
+def _name_in(message: bytes, at: int) -> str | None:
+    try:
+        return _dns_name(message, at)[0]
     except (ValueError, IndexError, struct.error):
-        pass
-    return {
-        "ident": ident, "is_response": bool(flags & 0x8000), "opcode": flags >> 11 & 15, "rcode": flags & 15,
-        "truncated": bool(flags & 0x200), "recursion_desired": bool(flags & 0x100), "questions": questions,
-        "answers": answers,
-    }
+        return None
+
+
+def _chunks(data: bytes) -> list[str]:
+    """Length-prefixed texts; the last may be cut off."""
+    out, at = [], 0
+    while at < len(data):
+        out.append(data[at + 1:at + 1 + data[at]].decode("utf-8", "replace"))
+        at += 1 + data[at]
+    return out
+
+
+DNS_WIRE = (
+    "struct<questions:array<struct<name:string,qtype:int,qclass:int>>,"
+    "answers:array<struct<name:string,rtype:int,rclass:int,ttl:bigint,raw:binary,target:string,texts:array<string>>>>"
+)
 
 
 def _parse_dns():
-    @F.pandas_udf(DNS_SCHEMA)
+    """Names and record borders of messages; what the data mean is said by columns."""
+    @F.pandas_udf(DNS_WIRE)
     def parse(messages: pd.Series) -> pd.DataFrame:
-        rows = [_dns_message(m) for m in messages]
-        columns = ("ident", "is_response", "opcode", "rcode", "truncated", "recursion_desired", "questions", "answers")
-        return pd.DataFrame({c: pd.Series([None if r is None else r[c] for r in rows], dtype=object) for c in columns})
+        all_questions, all_answers = [], []
+        for m in messages:
+            if m is None:
+                all_questions.append(None)
+                all_answers.append(None)
+                continue
+            n_questions, n_answers = struct.unpack_from("!HH", m, 4)
+            asked, at = _records(m, 12, n_questions, _ASKED)
+            answered = [] if at is None else _records(m, at, n_answers, _ANSWERED)[0]
+            all_questions.append([{"name": n, "qtype": t, "qclass": c} for n, t, c, _ in asked])
+            all_answers.append([
+                {"name": n, "rtype": t, "rclass": c, "ttl": ttl, "raw": m[at:at + size],
+                 "target": _name_in(m, at + _NAME_IN_DATA[t]) if t in _NAME_IN_DATA else None,
+                 "texts": _chunks(m[at:at + size]) if t == 16 else None} for n, t, c, ttl, size, at in answered])
+        return pd.DataFrame({"questions": pd.Series(all_questions, dtype=object), "answers": pd.Series(all_answers, dtype=object)})
 
     return parse
 
 
+def _record_text(answer: Column) -> Column:
+    """What a record says, by type; the first 48 bytes in hexadecimal where it says nothing known."""
+    raw, kind, size, target = answer["raw"], answer["rtype"], F.length(answer["raw"]), answer["target"]
+    said = (
+        F.when((kind == 1) & (size == 4), _ipv4(raw, 0)).when((kind == 28) & (size == 16), ipv6_text(raw))
+        .when(kind.isin(2, 5, 12), target).when(kind == 6, F.concat(F.lit("soa "), target))
+        .when((kind == 15) & (size > 2), F.concat(_number(raw, 0, 2).cast("string"), F.lit(" "), target))
+        .when((kind == 33) & (size >= 6), F.concat(target, F.lit(":"), _number(raw, 4, 2).cast("string")))
+        .when(kind == 16, F.array_join(answer["texts"], " "))
+    )
+    return F.coalesce(said, F.lower(F.hex(_cut(raw, 0, 48))))
+
+
+def _dns(message: Column, wire: Column) -> Column:
+    """The DNS layer of a message (twelve bytes at least) and what was read of its records."""
+    flags = _int(message, 2, 2)
+    answers = F.transform(wire["answers"], lambda a: F.struct(
+        a["name"].alias("name"), a["rtype"].alias("rtype"), a["rclass"].alias("rclass"), a["ttl"].alias("ttl"), _record_text(a).alias("data")))
+    bit = lambda n: flags.bitwiseAND(F.lit(n)) != 0
+    return F.when(wire["questions"].isNotNull(), F.struct(
+        _int(message, 0, 2).alias("ident"), bit(0x8000).alias("is_response"), F.floor(flags / 2048).cast("int").bitwiseAND(F.lit(15)).alias("opcode"),
+        flags.bitwiseAND(F.lit(15)).alias("rcode"), bit(0x200).alias("truncated"), bit(0x100).alias("recursion_desired"),
+        wire["questions"].alias("questions"), answers.alias("answers")))
+
+
 _BLANK = r"[\s\x0b\x1c-\x1f\x85\xa0]"
 
 
@@ -399,19 +422,52 @@ def _http(payload: Column) -> Column:
     return F.when(looks, let(text, lambda t: let(parse(t), lambda m: let(build(m), shaped))))
 
 
-def decode(frames: DataFrame) -> DataFrame:
-    """Frames with ``ts, raw, wire_length, linktype`` (other columns are kept) → packet rows."""
-    rows = _transport(_network(_link(frames)))
-    sport = F.coalesce("tcp.sport", "udp.sport")
-    dport = F.coalesce("tcp.dport", "udp.dport")
-    has_payload = F.length("payload") > 0
-    on_dns_port = F.coalesce(sport.isin(*DNS_PORTS), F.lit(False)) | F.coalesce(dport.isin(*DNS_PORTS), F.lit(False))
-    message = F.when(F.col("tcp").isNotNull() & (F.length("payload") > 2), _rest(F.col("payload"), 2)).otherwise(F.col("payload"))
-    rows = rows.transform(_bind, "__dns", F.when(on_dns_port & has_payload, message))
-    rows = rows.transform(_bind, "dns", _parse_dns()(F.col("__dns"))).drop("__dns")
-    rows = rows.transform(_bind, "dns", F.when(F.col("dns.ident").isNotNull(), F.col("dns")))
-    http = F.when(F.col("tcp").isNotNull() & F.col("dns").isNull(), _http(F.col("payload")))
-    return rows.transform(_bind, "http", http)
+#: Layers in the order in which they are built; each needs the ones before `dns`, `dns` and `http` stand alone.
+LAYERS = ("link", "network", "transport", "dns", "http")
+_LAYER_TYPES = {
+    "ip": "struct<version:int,src:string,dst:string,proto:int,ttl:int,total_length:int,header_length:int,ident:int,flags:int,frag_offset:int,tos:int>",
+    "tcp": "struct<sport:int,dport:int,seq:bigint,ack:bigint,flags:int,window:int,header_length:int,checksum:int,urgent:int,options:array<string>,payload_length:int>",
+    "udp": "struct<sport:int,dport:int,length:int,checksum:int,payload_length:int>",
+    "icmp": "struct<type:int,code:int,checksum:int,ident:int,seq:int,payload_length:int>",
+    "payload": "binary", "errors": "array<string>", "dns": DNS_SCHEMA,
+    "http": "struct<kind:string,method:string,path:string,version:string,status:int,reason:string,headers:map<string,string>,body_preview:string,body_length:int>",
+}
+
+
+def decode(frames: DataFrame, layers=LAYERS, questions: int = 64, answers: int = 128) -> DataFrame:
+    """Frames with ``ts, raw, wire_length, linktype`` (other columns are kept) → packet rows.
+
+    Only the named layers are built: ``("link",)`` costs no work above the link header, and without ``dns`` no Python
+    runs; columns of the layers left out are null.  Without ``dns`` a message on a DNS port may be read as HTTP.
+    DNS messages that claim more than ``questions`` or ``answers`` (fixed values by default) are not read; that is
+    among the ``errors``.
+    """
+    rows = _link(frames)
+    if set(layers) - {"link"}:
+        rows = _network(rows)
+    if set(layers) & {"transport", "dns", "http"}:
+        rows = _transport(rows)
+    else:
+        rows = rows.withColumn("errors", F.filter(F.array("__error"), lambda e: e.isNotNull())).drop("__left", "__body", "__net", "__error")
+    sport, dport = (F.coalesce(*[F.col(f"{t}.{p}") for t in ("tcp", "udp")]) for p in ("sport", "dport"))
+    if "dns" in layers:
+        has_payload = F.length("payload") > 0
+        on_dns_port = F.coalesce(sport.isin(*DNS_PORTS), F.lit(False)) | F.coalesce(dport.isin(*DNS_PORTS), F.lit(False))
+        message = F.when(F.col("tcp").isNotNull() & (F.length("payload") > 2), _rest(F.col("payload"), 2)).otherwise(F.col("payload"))
+        rows = rows.transform(_bind, "__dns", F.when(on_dns_port & has_payload & (F.length(message) >= 12), message))
+        claims = (_int(F.col("__dns"), 4, 2) > questions) | (_int(F.col("__dns"), 6, 2) > answers)
+        rows = rows.transform(_bind, "__claims", F.coalesce(claims, F.lit(False)))
+        rows = rows.withColumn("errors", F.when(F.col("__claims"), F.array_append("errors", F.lit("DNS message claims too many records"))).otherwise(F.col("errors")))
+        rows = rows.transform(_bind, "__dns", F.when(~F.col("__claims"), F.col("__dns")))
+        rows = rows.transform(_bind, "__wire", _parse_dns()(F.col("__dns")))
+        rows = rows.transform(_bind, "dns", _dns(F.col("__dns"), F.col("__wire"))).drop("__dns", "__wire", "__claims")
+    if "http" in layers:
+        free = F.col("tcp").isNotNull() & (F.col("dns").isNull() if "dns" in layers else F.lit(True))
+        rows = rows.transform(_bind, "http", F.when(free, _http(F.col("payload"))))
+    for name, kind in _LAYER_TYPES.items():
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    return rows
 
 
 # ---- derived columns and projections ----------------------------------------------------

@@ -211,3 +211,12 @@ def test_capture_files(spark, tmp_path):
         assert by["big.pcap"][0].ts == 5.5 and len(by["cut.pcap"]) == 2 and set(by) == {"little.pcap", "big.pcap", "cut.pcap"}
     rejected = {os.path.basename(r.file): r.reason for r in capture.rejected_files(spark, str(tmp_path)).collect()}
     assert set(rejected) == {"bad.pcap", "ng.pcap", "tiny.pcap"} and "pcapng" in rejected["ng.pcap"]
+
+
+def test_layers_cost_only_what_is_asked_for(spark):
+    frames = spark.createDataFrame([(0.0, b"\x00" * 14, 14, 1, 1)], "ts double, raw binary, wire_length bigint, linktype bigint, pkt_id bigint")
+    link = decode.flatten(decode.decode(frames, ("link",))).select("ethertype")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in link and "mss=" not in link and "HTTP/" not in link
+    heads = decode.flatten(decode.decode(frames, ("link", "network", "transport"))).select("tcp_flags")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in heads and "HTTP/" not in heads
+    assert decode.decode(frames, ("link",)).schema["dns"].dataType.simpleString() == decode.decode(frames).schema["dns"].dataType.simpleString()

@@ -129,10 +129,20 @@ def test_targets(spark):
     assert got == ["192.168.1.1", "192.168.1.2", "10.0.0.5", "10.0.0.6", "10.0.0.7", "10.0.0.8", "name-x", "10.0.0.9", "10.0.1.4",
                    "10.0.1.5", "my-host"]
     six = targets.expand(spark.createDataFrame([(1, "2001:db8::f/126 ::1/128 bogus/77")], "spec_id int, spec string"))
-    assert [r.target for r in six.orderBy("part", "host").collect()] == ["2001:db8::d", "2001:db8::e", "2001:db8::f", "::1", "bogus/77"]
+    assert [r.target for r in six.orderBy("part", "host").collect()] == ["2001:db8::d", "2001:db8::e", "2001:db8::f", "::1"]
     assert targets.expand(spark.createDataFrame([(1, "10.0.0.0/14")], "spec_id int, spec string")).count() == 2**18 - 2
 
 
+def test_target_ranges(spark):
+    specs = spark.createDataFrame([(1, "2001:db8::/64 10.1.2.3/24 10.0.0.9-5 ::1 0.0.0.0/0 ::/0 2001:db8::/33"), (2, "10.0.0.0/99 10.0.0.1-300 2001::/129 x/8 name")],
+                                  "spec_id int, spec string")
+    got = [(r.low_key, r.high_key) for r in targets.ranges(specs).orderBy("seq", "part").collect()]
+    six = "6:20010db8"
+    assert got == [(six + "0" * 24, six + "0" * 8 + "f" * 16), ("4:0a010200", "4:0a0102ff"), ("4:0a000005", "4:0a000009"), ("6:" + "0" * 31 + "1",) * 2,
+                   ("4:00000000", "4:ffffffff"), ("6:" + "0" * 32, "6:" + "f" * 32), (six + "0" * 24, six + "7" + "f" * 23)]
+    assert [r.token for r in targets.rejected(specs).orderBy("part").collect()] == ["10.0.0.0/99", "10.0.0.1-300", "2001::/129", "x/8"]
+
+
 def test_stream_in_several_batches(spark, tmp_path):
     """State carries over micro-batches: the alerts equal those of one batch."""
     rows = [(i, 1000.0 + i * 0.5, "s", "d", i % 37) for i in range(600)]
