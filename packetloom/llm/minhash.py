@@ -1,6 +1,7 @@
 """Near duplicates by DartMinHash signatures.
 
-A text is the multiset of its five-word shingles; a shingle's weight is how often it occurs.  Hashed darts are thrown
+A text is its five-word shingles with weights: one each (``weight="plain"``, the Jaccard similarity of sets) or how
+often each occurs (``"count"``, of multisets).  Hashed darts are thrown
 into the plane of weight and rank of every shingle: the plane is cut into rectangles (doubling in both directions), the
 number of darts of a rectangle is a hashed Poisson number, and coordinate, weight and rank of a dart are hashed,
 too, so equal shingles get equal darts in every text.  A dart counts if its weight lies below the shingle's.  For
@@ -8,12 +9,15 @@ each of ``COORDINATES`` coordinates the dart of the lowest rank is kept; two tex
 their weighted Jaccard similarity.  Ranks are searched up to about the level at which all coordinates are hit,
 so a text costs little more than one hash a shingle, whatever its weight.
 
-Equal texts are one node.  Nodes that agree in all rows of a band share a bucket.  In every bucket the node with
-the most company is compared with the others, exactly, by the shingles of their whole texts; nodes it does not
-match go on among themselves, until no bucket has two left.  So a bucket of near copies costs one comparison for each,
-not all pairs.  Links of similarity 0.8 or more (weighted, or of the plain sets) are joined to components.
-
-With 25 bands of 5 rows a pair of similarity 0.8 misses every bucket with probability 5e-5, one of 0.9 with 1e-10.
+Equal texts are one node.  Nodes that agree in all rows of a band share a bucket; with 25 bands of 5 rows a pair of
+similarity 0.8 misses every bucket with probability 5e-5, one of 0.9 with 1e-10.  A bucket is read once, the nodes
+with the most company first: every node is laid beside the nodes that lead the bucket so far, signature by signature,
+and proposes the one it agrees with most; it becomes a leader itself unless that agreement is nearly full.  So a
+bucket of near copies gives one proposal for each, not all pairs.  Proposals are compared exactly, by the shingles
+of the whole texts; those of similarity 0.8 or more are links.  Buckets whose nodes
+do not all hang together yet are read again, now for the best proposal to another component, until a round adds no
+link.  Buckets over ``CHUNK`` nodes are dealt to chunks, anew in each round, and every chunk gets the bucket's first
+leader; so no bucket is one task.
 
 Defined cases: null and empty texts are equal to each other and make one class; texts under five words match equal
 texts only; repeated rows belong to one class and stay rows; rows without an id get no class (null); an empty table
@@ -34,6 +38,9 @@ from .components import components
 
 WORDS, BANDS, ROWS = 5, 25, 5
 COORDINATES = BANDS * ROWS
+CHUNK = 4096  # nodes of a bucket that one task reads in a row
+#: Shares of agreeing coordinates: below ASK a pair of similarity 0.8 is four deviations off, above SURE a node needs no leader of its own.
+ASK, SURE = 0.66, 0.9
 _FIRST = 2.0**-6  # mean number of darts of a unit of weight in the lowest band of ranks
 _ID = np.uint64(52)  # bits of a shingle's hash, below 12 bits of the text's number in its block
 
@@ -109,8 +116,9 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
     return sign.reshape(n, COORDINATES)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, buckets): a digest of the text and the bucket key of every band (none under five words)."""
+def sketch(docs: DataFrame, weight: str = "plain") -> DataFrame:
+    """(doc_id, content, buckets, sign): a digest of the text, the bucket key of every band (none under five words) and
+    32 bits of every coordinate."""
 
     def make():
         powers = ts.Powers()
@@ -118,7 +126,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         def one(rows):
             n = rows.num_rows
             text, shingle, times = shingles(rows.column("text"), powers)
-            sign = signatures(text, shingle, times, n)
+            sign = signatures(text, shingle, times if weight == "count" else np.ones(len(times), np.int64), n)
             has = np.zeros(n, bool)
             has[text] = True
             keys = np.zeros((n, BANDS), np.uint64)
@@ -127,15 +135,17 @@ def sketch(docs: DataFrame) -> DataFrame:
             keys = ts.mix(keys + np.arange(BANDS, dtype=np.uint64), 14).astype(np.int64)
             offsets = np.concatenate(([0], np.cumsum(np.where(has, BANDS, 0))))
             buckets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[has].ravel()))
-            return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("content"), buckets], ["doc_id", "content", "buckets"])
+            short = (sign >> np.uint64(32)).astype(np.uint32)
+            signs = pa.array([short[i].tobytes() if has[i] else None for i in range(n)], pa.binary())
+            return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("content"), buckets, signs], ["doc_id", "content", "buckets", "sign"])
         return one
 
     given = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("content"), "text")
-    return ts.map_texts(given, make, "doc_id bigint, content string, buckets array<bigint>")
+    return ts.map_texts(given, make, "doc_id bigint, content string, buckets array<bigint>, sign binary")
 
 
-def similarity(pairs: DataFrame) -> DataFrame:
-    """(a, b, similarity) of rows (a, b, text_a, text_b): the larger of weighted and plain Jaccard."""
+def similarity(pairs: DataFrame, weight: str = "plain") -> DataFrame:
+    """(a, b, similarity) of rows (a, b, text_a, text_b): exact Jaccard similarity of sets or multisets of shingles."""
 
     def task(batches):
         powers = ts.Powers()
@@ -147,53 +157,94 @@ def similarity(pairs: DataFrame) -> DataFrame:
                 spot = np.minimum(np.searchsorted(kb, ka), max(len(kb) - 1, 0))
                 same = kb[spot] == ka if len(kb) else np.zeros(len(ka), bool)
                 at = ta[same]
-                total = lambda t, w=None: np.bincount(t, weights=w, minlength=n)
-                shared, weighted = total(at), total(at, np.minimum(wa[same], wb[spot[same]]) if same.any() else np.zeros(len(at)))
-                plain = shared / np.maximum(total(ta) + total(tb) - shared, 1)
-                heavy = weighted / np.maximum(total(ta, wa) + total(tb, wb) - weighted, 1)
-                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(np.maximum(plain, heavy))], ["a", "b", "similarity"])
+                if weight != "count":
+                    wa, wb = np.ones(len(wa), np.int64), np.ones(len(wb), np.int64)
+                total = lambda t, w: np.bincount(t, weights=w, minlength=n).astype(np.float64)
+                shared = total(at, np.minimum(wa[same], wb[spot[same]]) if same.any() else np.zeros(len(at)))
+                out = shared / np.maximum(total(ta, wa) + total(tb, wb) - shared, 1)
+                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(out)], ["a", "b", "similarity"])
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(task, "a bigint, b bigint, similarity double")
 
 
-def links(docs: DataFrame, nodes: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, similarity): verified links between nodes (rep, content, buckets)."""
-    spread = nodes.select("rep", F.explode("buckets").alias("bucket")).distinct()
+def propose(met: DataFrame, round_: int) -> DataFrame:
+    """(a, b): for nodes (bucket, rep, root, size, company, sign) the best partner of another root in every bucket."""
+    mixed = met.join(met.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket"), "bucket")
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    dealt = mixed.select("bucket", F.pmod(F.xxhash64("rep", "bucket", F.lit(round_)), chunks).cast("int").alias("chunk"), "rep", "root", "company", "sign")
+    first = (mixed.where(F.col("size") > CHUNK).groupBy("bucket", "size").agg(F.max_by(F.struct("rep", "root", "company", "sign"), F.struct("company", -F.col("rep"))).alias("r"))
+             .select("bucket", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "r.*"))
+    rows = dealt.unionByName(first.withColumn("company", F.lit(1 << 62)))
+
+    def task(batches):
+        here, led, roots, n = None, np.zeros((16, COORDINATES), np.uint32), np.zeros(16, np.int64), 0
+        reps = np.zeros(16, np.int64)
+        for batch in batches:
+            found = []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk")))
+            signs = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column("sign")]
+            for key, rep, root, sign in zip(keys, batch.column("rep").to_pylist(), batch.column("root").to_pylist(), signs):
+                if key != here:
+                    here, n = key, 0
+                agree = (led[:n] == sign).sum(axis=1)
+                if n:
+                    other = np.where(roots[:n] == root, -1, agree)
+                    best = int(other.argmax())
+                    if other[best] >= ASK * COORDINATES:
+                        found.append((min(rep, int(reps[best])), max(rep, int(reps[best]))))
+                    if agree.max() >= SURE * COORDINATES and (reps[:n] != rep).all() and root in roots[:n][agree >= SURE * COORDINATES]:
+                        continue
+                    if other[best] >= SURE * COORDINATES:
+                        continue
+                if n == len(led):
+                    led, roots, reps = (np.concatenate((x, np.zeros_like(x))) for x in (led, roots, reps))
+                led[n], roots[n], reps[n], n = sign, root, rep, n + 1
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(parts, "bucket", "chunk").sortWithinPartitions("bucket", "chunk", F.desc("company"), "rep")
+    return ordered.mapInArrow(task, "a bigint, b bigint").where("a != b").distinct()
+
+
+def links(docs: DataFrame, nodes: DataFrame, least: float = 0.8, weight: str = "plain") -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity) of verified links between nodes (doc_id, content, buckets, sign), and (node, root) of what they join."""
+    spread = nodes.select(F.col("doc_id").alias("rep"), F.explode("buckets").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = stored(spread.join(shared, "bucket"))
+    met = stored(spread.join(shared, "bucket").distinct())
     company = met.groupBy("rep").agg(F.sum("size").alias("company"))
-    waiting = met.join(company, "rep").select("bucket", "rep", "company")
-    wanted = nodes.join(company.select("rep"), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "content")
-    texts = (docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("content"))
-             .join(wanted, ["doc_id", "content"]).select("doc_id", "text").dropDuplicates(["doc_id"]))
-    texts = stored(texts)
+    signs = nodes.select(F.col("doc_id").alias("rep"), "content", "sign").join(company, "rep")
+    signs = stored(signs.dropDuplicates(["rep"]))
+    content = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("content")
+    wanted = signs.select(F.col("rep").alias("doc_id"), "content")
+    texts = stored(docs.select("doc_id", "text", content).join(wanted, ["doc_id", "content"]).select("doc_id", "text").dropDuplicates(["doc_id"]))
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    known = None
+    full = met.join(signs.select("rep", "company", "sign"), "rep")
+    asked, good, roots, round_ = None, None, None, 0
     while True:
-        waiting = stored(waiting)
-        leaders = (waiting.groupBy("bucket").agg(F.max_by("rep", F.struct("company", -F.col("rep"))).alias("leader"), F.count(F.lit(1)).alias("n"))
-                   .where("n > 1").drop("n"))
-        members = waiting.join(leaders, "bucket").where("rep != leader").select(
-            "bucket", "rep", "company", F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
-        pairs = members.select("a", "b").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        found = stored(similarity(pairs.join(side("a"), "a").join(side("b"), "b")))
-        known = found if known is None else stored(known.unionByName(found))
-        # what its leader does not match goes on; the leader has met everyone in the bucket
-        left = members.join(known.where(F.col("similarity") >= least), ["a", "b"], "left_anti").select("bucket", "rep", "company")
-        waiting = left
-        if found.isEmpty() and left.isEmpty():
-            break
-    return known.where(F.col("similarity") >= least)
-
-
-def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+        if roots is None:
+            rooted = full.withColumn("root", F.col("rep"))
+        else:
+            rooted = full.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        pairs = propose(rooted, round_)
+        if asked is not None:
+            pairs = pairs.join(asked, ["a", "b"], "left_anti")
+        found = stored(similarity(pairs.join(side("a"), "a").join(side("b"), "b"), weight))
+        new = found.where(F.col("similarity") >= least)
+        asked = found.select("a", "b") if asked is None else asked.unionByName(found.select("a", "b"))
+        good = new if good is None else good.unionByName(new)
+        if roots is not None and new.isEmpty():
+            return good, roots
+        roots, round_ = components(good), round_ + 1
+
+
+def classes(docs: DataFrame, least: float = 0.8, weight: str = "plain") -> DataFrame:
     """(doc_id, class_id) of every row: the smallest id among all documents that hang together."""
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = stored(sketch(given))
-    nodes = stored(rows.where("doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("rep"), F.min_by("buckets", "doc_id").alias("buckets")))
-    roots = components(links(given, nodes, least))
-    named = nodes.select("content", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("content", F.coalesce("root", "rep").alias("class_id"))
+    rows = stored(sketch(given, weight))
+    reps = rows.where("doc_id is not null").groupBy("content").agg(F.min("doc_id").alias("doc_id"))
+    nodes = rows.join(reps, ["content", "doc_id"]).where(F.size("buckets") > 0)
+    _, roots = links(given, nodes, least, weight)
+    named = reps.join(roots, F.col("doc_id") == F.col("node"), "left").select("content", F.coalesce("root", "doc_id").alias("class_id"))
     return rows.select("doc_id", "content").join(named, "content", "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
