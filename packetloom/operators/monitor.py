@@ -14,7 +14,7 @@ from ..functions.net import ipv4_number, ipv4_prefix_key
 from ..functions.severity import MONITOR_SCALE, monitor_rank
 from .cooldown import cooldown
 from .predicates import not_whitelisted
-from .reputation import fold
+from .reputation import advance, fold
 
 FINDING_COLUMNS = ["ts", "kind", "severity", "src_ip", "title", "detail", "score"]
 
@@ -34,17 +34,18 @@ def _recent(df: DataFrame, window: float, as_of: Column | float | None) -> tuple
     return df.filter(F.col("ts") >= at - F.lit(float(window))), at
 
 
-def cycle_times(df: DataFrame, window: float, slide: float) -> DataFrame:
-    """One copy of each row per detection cycle whose window holds it.
+def cycle_copies(df: DataFrame, window: float, slide: float, keys: list[str], **counts: Column) -> DataFrame:
+    """Counts of (keys) for every detection cycle that sees them, as (keys, cycle, at, counts).
 
     Cycles run every ``slide`` seconds on a fixed grid and look back ``window`` seconds, both
-    ends included, so a row at t belongs to cycles in [t, t + window].
+    ends included, so a row at t belongs to cycles in [t, t + window].  Rows that belong to the same
+    cycles are added up first; only these sums are copied, one copy for each cycle.
     """
-    first = F.ceil(F.col("ts") / slide)
-    last = F.floor((F.col("ts") + F.lit(float(window))) / slide)
-    return df.withColumn("cycle", F.explode(F.sequence(first, last))).withColumn(
-        "at", F.col("cycle") * F.lit(float(slide))
-    )
+    first = F.ceil(F.col("ts") / slide).alias("__first")
+    last = F.floor((F.col("ts") + F.lit(float(window))) / slide).alias("__last")
+    summed = df.groupBy(*keys, first, last).agg(*[c.alias(name) for name, c in counts.items()])
+    return summed.select(*keys, F.explode(F.sequence("__first", "__last")).alias("cycle"), *counts).withColumn(
+        "at", F.col("cycle") * F.lit(float(slide)))
 
 
 def _per_source(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -76,16 +77,14 @@ def port_scans(packets: DataFrame, as_of=None, window: float = 60, distinct_port
 def port_scan_cycles(packets: DataFrame, window: float = 60, slide: float = 15, distinct_ports: int = 15,
                      whitelist=DEFAULT_WHITELIST) -> DataFrame:
     """The same at every detection cycle of a recorded period."""
-    rows = cycle_times(packets.filter(F.col("dst_port").isNotNull()).select("ts", "src_ip", "dst_port", "flags"),
-                       window, slide)
-    return _scan_findings(_per_source(rows, ["src_ip", "at"]), F.col("at"), distinct_ports, window, whitelist)
+    rows = cycle_copies(packets.filter(F.col("dst_port").isNotNull()), window, slide, ["src_ip", "dst_port"],
+                        packets=F.count("*"), syns=F.count_if(syn_only_text(F.col("flags"))))
+    counted = rows.groupBy("src_ip", "at").agg(
+        F.count_distinct("dst_port").alias("ports"), F.sum("packets").alias("packets"), F.sum("syns").alias("syns"))
+    return _scan_findings(counted, F.col("at"), distinct_ports, window, whitelist)
 
 
-def _brute_findings(rows: DataFrame, by: list[str], at: Column, threshold: int, window: float, whitelist) -> DataFrame:
-    counted = rows.filter(~F.col("success")).groupBy(*by).agg(
-        F.count("*").alias("failures"), F.count_distinct("username").alias("users"),
-        F.max("service").alias("service"),
-    )
+def _brute_findings(counted: DataFrame, at: Column, threshold: int, window: float, whitelist) -> DataFrame:
     hits = not_whitelisted(counted.filter(F.col("failures") >= threshold), whitelist)
     return hits.select(
         at.alias("ts"), F.lit("brute_force").alias("kind"),
@@ -101,14 +100,18 @@ def brute_force(auth_events: DataFrame, as_of=None, window: float = 300, failed_
                 whitelist=DEFAULT_WHITELIST) -> DataFrame:
     """Sources with many failed logins in the window that ends at ``as_of``."""
     rows, at = _recent(auth_events, window, as_of)
-    return _brute_findings(rows, ["src_ip"], at, failed_logins, window, whitelist)
+    counted = rows.filter(~F.col("success")).groupBy("src_ip").agg(
+        F.count("*").alias("failures"), F.count_distinct("username").alias("users"), F.max("service").alias("service"))
+    return _brute_findings(counted, at, failed_logins, window, whitelist)
 
 
 def brute_force_cycles(auth_events: DataFrame, window: float = 300, slide: float = 15, failed_logins: int = 8,
                        whitelist=DEFAULT_WHITELIST) -> DataFrame:
-    failures = auth_events.filter(~F.col("success"))
-    return _brute_findings(cycle_times(failures, window, slide), ["src_ip", "at"], F.col("at"),
-                           failed_logins, window, whitelist)
+    rows = cycle_copies(auth_events.filter(~F.col("success")), window, slide, ["src_ip", "username"],
+                        failures=F.count("*"), service=F.max("service"))
+    counted = rows.groupBy("src_ip", "at").agg(
+        F.sum("failures").alias("failures"), F.count_distinct("username").alias("users"), F.max("service").alias("service"))
+    return _brute_findings(counted, F.col("at"), failed_logins, window, whitelist)
 
 
 def traffic_windows(packets: DataFrame, window: float = 60) -> DataFrame:
@@ -140,13 +143,32 @@ def traffic_spikes(packets: DataFrame, window: float = 60, history: int = 10, mu
     windows enter as arithmetic: they add to the count and not to the sums.
     """
     start = F.lit(float(origin))
-    per_source = packets.groupBy(F.floor((F.col("ts") - start) / float(window)).alias("w"), "src_ip").agg(
-        F.count("*").alias("n"))
+    # a closed window ends at the origin's grid: a row on the edge belongs to the window that ends there
+    place = F.ceil((F.col("ts") - start) / float(window)) - 1 if origin else F.floor((F.col("ts") - start) / float(window))
+    per_source = packets.groupBy(place.alias("w"), "src_ip").agg(F.count("*").alias("n"))
+    first = packets.agg(F.min(place).alias("first")).scalar()
+    judged = _judge_spikes(per_source, first, gap, history, multiplier, min_events)
+    return _spike_findings(judged, (F.col("at") + 1) * F.lit(float(window)) + start, window)
+
+
+def spike_cycles(packets: DataFrame, window: float = 60, slide: float = 15, history: int = 10, multiplier: float = 3.0,
+                 min_events: int = 50, first_cycle: Column | int | None = None) -> DataFrame:
+    """The same at every detection cycle: the window that ends there against the latest ``history`` windows of
+    earlier cycles that end before it starts, cycles without packets included, from the monitor's first cycle on."""
+    per_source = cycle_copies(packets, window, slide, ["src_ip"], n=F.count("*")).select(F.col("cycle").alias("w"), "src_ip", "n")
+    if first_cycle is None:
+        first_cycle = packets.agg(F.min(F.ceil(F.col("ts") / slide)).alias("first")).scalar()
+    gap = int(window // slide) + 1
+    judged = _judge_spikes(per_source, first_cycle if isinstance(first_cycle, Column) else F.lit(first_cycle), gap, history, multiplier, min_events)
+    return _spike_findings(judged, F.col("at") * F.lit(float(slide)), window)
+
+
+def _judge_spikes(per_source: DataFrame, first: Column, gap: int, history: int, multiplier: float, min_events: int) -> DataFrame:
+    """Windows ``w`` far above the ``history`` windows from w - gap backwards, none before ``first``."""
     per_window = per_source.groupBy("w").agg(
         F.sum("n").alias("packets"),
         F.max(F.struct(F.col("n").alias("n"), F.col("src_ip").alias("src_ip"))).alias("top"),
     )
-    first = packets.agg(F.floor((F.min("ts") - start) / float(window)).alias("first")).scalar()
     role = F.array(
         F.struct(F.col("w").alias("at"), F.col("packets").alias("current"), F.col("top.src_ip").alias("talker"),
                  F.lit(None).cast("long").alias("before")),
@@ -170,8 +192,12 @@ def traffic_spikes(packets: DataFrame, window: float = 60, history: int = 10, mu
     deviation = F.when(variance == 0, F.lit(1.0)).otherwise(F.sqrt(variance))
     judged = merged.withColumn("mean", F.col("total") / n).withColumn(
         "threshold", F.col("mean") + F.lit(float(multiplier)) * deviation)
-    return judged.filter(F.col("packets") > F.col("threshold")).select(
-        ((F.col("at") + 1) * F.lit(float(window)) + start).alias("ts"), F.lit("traffic_spike").alias("kind"),
+    return judged.filter(F.col("packets") > F.col("threshold"))
+
+
+def _spike_findings(judged: DataFrame, ts: Column, window: float) -> DataFrame:
+    return judged.select(
+        ts.alias("ts"), F.lit("traffic_spike").alias("kind"),
         F.lit("medium").alias("severity"), "src_ip", F.lit("Unusual traffic spike detected").alias("title"),
         F.format_string(
             f"%d packets in {int(window)}s vs baseline mean %.1f (threshold %.1f), top talker %s",
@@ -258,6 +284,49 @@ def not_in_cooldown(findings: DataFrame, alerts: DataFrame, seconds: float = 300
     return joined.filter(F.col("ts") - F.coalesce("last_ts", F.lit(0.0)) >= seconds).drop("__kind", "__src", "last_ts")
 
 
+def score_cycles(packets: DataFrame, auth_events: DataFrame, scans: DataFrame, logins: DataFrame, spikes: DataFrame, blocklist: DataFrame,
+                 slide: float = 15, activity: float = 900, whitelist=DEFAULT_WHITELIST) -> DataFrame:
+    """Score events (ip, ts, seq, points, note, blocklisted) of every cycle: findings, and listed sources while active."""
+    def scored(rows: DataFrame, seq: int, note: str, flag: bool | None = None) -> DataFrame:
+        return rows.select(F.col("src_ip").alias("ip"), "ts", F.lit(seq).alias("seq"), F.lit(POINTS[note]).alias("points"),
+                           F.lit(note).alias("note"), F.lit(flag).cast("boolean").alias("blocklisted"))
+
+    seen = packets.select("src_ip", "ts").unionByName(auth_events.select("src_ip", "ts"))
+    listed = not_whitelisted(blocklisted(seen, blocklist), whitelist)
+    active = cycle_copies(listed, activity, slide, ["src_ip"], n=F.count("*")).groupBy("src_ip", "at").agg(F.count("*").alias("n"))
+    return (scored(scans, 0, "port_scan").unionByName(scored(logins, 1, "brute_force"))
+            .unionByName(scored(not_whitelisted(spikes, whitelist), 2, "traffic_spike"))
+            .unionByName(scored(active.withColumnRenamed("at", "ts"), 3, "threat_feed", True)))
+
+
+def detection_cycles(
+    packets: DataFrame, auth_events: DataFrame, blocklist: DataFrame, low: int, high: int, first_cycle: int | None = None,
+    reputation: DataFrame | None = None, slide: float = 15, activity: float = 900, threshold: int = 50, whitelist=DEFAULT_WHITELIST,
+    **spike,
+) -> tuple[DataFrame, DataFrame]:
+    """Findings of the cycles ``low``..``high`` (numbers of ``slide`` seconds) in one plan, and the reputation after them.
+
+    Rows from ``activity`` seconds before the first cycle on are needed.  ``reputation`` is the state before it; score
+    events of a source are folded in order, and a source whose score reaches the threshold is suspicious at
+    every cycle from the event on until the next event or until it was not seen for ``activity`` seconds.
+    """
+    inside = lambda df: df.filter(F.col("ts").between(low * float(slide), high * float(slide)))
+    scans = inside(port_scan_cycles(packets, slide=slide, whitelist=whitelist))
+    logins = inside(brute_force_cycles(auth_events, slide=slide, whitelist=whitelist))
+    spikes = inside(spike_cycles(packets, slide=slide, first_cycle=first_cycle, **spike))
+    events = inside(score_cycles(packets, auth_events, scans, logins, spikes, blocklist, slide, activity, whitelist))
+    states, after = advance(events, reputation, cycle_seconds=slide)
+    until = F.least(F.floor((F.col("ts") + F.lit(float(activity))) / slide), F.coalesce(F.ceil(F.col("next_ts") / slide) - 1, F.lit(high)), F.lit(high))
+    shown = (states.filter(F.col("score") >= threshold).withColumn("low", F.greatest(F.ceil(F.col("ts") / slide), F.lit(low))).withColumn("until", until)
+             .filter("low <= until").withColumn("cycle", F.explode(F.sequence("low", "until"))).withColumn("at", F.col("cycle") * F.lit(float(slide))))
+    suspects = suspicious_ips(shown.withColumn("last_seen", F.col("ts")), F.col("at"), threshold, activity, whitelist)
+    findings = None
+    for part in (scans, logins, spikes, suspects):
+        part = part.select(*FINDING_COLUMNS)
+        findings = part if findings is None else findings.unionByName(part)
+    return findings, after
+
+
 def detection_cycle(
     packets: DataFrame, auth_events: DataFrame, blocklist: DataFrame, score_events: DataFrame, as_of: float,
     whitelist=DEFAULT_WHITELIST,

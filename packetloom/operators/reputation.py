@@ -103,6 +103,46 @@ def fold(
     return scores.join(_notes(events), "ip", "left").withColumn("notes", F.coalesce("notes", F.lit("")))
 
 
+def advance(events: DataFrame, reputation: DataFrame | None = None, decay_hours: float = 24, amount: int = 5,
+            cycle_seconds: float = 15) -> tuple[DataFrame, DataFrame]:
+    """Carry a reputation table on by new score events.
+
+    Returns (ip, ts, next_ts, score, blocklisted, notes) after each instant with events, the carried state included as
+    the instant of its last event; and the reputation of every address at its last event (decay since then is left to
+    the next step).  The list of an address is bounded by the cycles that are handled at once.
+    """
+    idle = decay_hours * 3600
+    many = events.groupBy("ip").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "points", "note", "blocklisted"))).alias("steps"))
+    empty = F.array().cast("array<struct<ts:double,seq:int,points:int,note:string,blocklisted:boolean>>")
+    if reputation is None:
+        start = many.select("ip", "steps", F.lit(None).cast("double").alias("first_seen"), F.lit(None).cast("double").alias("last_seen"),
+                            F.lit(0).alias("score"), F.lit(False).alias("blocklisted"), F.lit("").alias("notes"))
+    else:
+        start = reputation.select("ip", "score", "first_seen", "last_seen", "blocklisted", "notes").join(many, "ip", "full").select(
+            "ip", F.coalesce("steps", empty).alias("steps"), "first_seen", "last_seen", F.coalesce("score", F.lit(0)).alias("score"),
+            F.coalesce("blocklisted", F.lit(False)).alias("blocklisted"), F.coalesce("notes", F.lit("")).alias("notes"))
+
+    def state(ts, score, blocklisted, notes):
+        return F.struct(ts.cast("double").alias("ts"), score.cast("int").alias("score"), blocklisted.alias("blocklisted"), notes.alias("notes"))
+
+    def step(done: Column, e: Column) -> Column:
+        was = F.element_at(done, -1)
+        ticks = F.when(was["ts"].isNotNull(), ticks_between(was["ts"], e["ts"], idle, cycle_seconds, inclusive=False)).otherwise(F.lit(0).cast("long"))
+        score = F.least(F.lit(CEILING), F.greatest(was["score"] - ticks * amount, F.lit(0)) + e["points"])
+        notes = F.when(was["notes"].contains(e["note"]), was["notes"]).when(was["notes"] == "", e["note"]).otherwise(F.concat(was["notes"], F.lit("; "), e["note"]))
+        return F.concat(done, F.array(state(e["ts"], score, F.coalesce(e["blocklisted"], was["blocklisted"]), notes)))
+
+    begun = F.array(state(F.col("last_seen"), F.col("score"), F.col("blocklisted"), F.col("notes")))
+    walked = start.select("ip", F.coalesce("first_seen", F.col("steps")[0]["ts"]).alias("first_seen"), F.aggregate("steps", begun, step).alias("states"))
+    # of several events of one instant the last state counts
+    settled = walked.select("ip", F.filter(F.transform("states", lambda s, i: F.struct(s.alias("s"), F.get("states", i + 1)["ts"].alias("next_ts"))),
+                                           lambda x: x["s"]["ts"].isNotNull() & ~x["s"]["ts"].eqNullSafe(x["next_ts"])).alias("all"))
+    states = settled.select("ip", F.explode("all").alias("x")).select("ip", "x.s.ts", "x.next_ts", "x.s.score", "x.s.blocklisted", "x.s.notes")
+    end = F.element_at("states", -1)
+    after = walked.select("ip", end["score"].alias("score"), "first_seen", end["ts"].alias("last_seen"), end["blocklisted"].alias("blocklisted"), end["notes"].alias("notes"))
+    return states, after
+
+
 def _notes(events: DataFrame) -> DataFrame:
     """Notes joined with ``; `` in first-seen order; one already contained in the text is skipped.
 

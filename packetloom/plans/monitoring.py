@@ -106,6 +106,22 @@ def mon_spike(spark, sf_dir):
         "threshold", F.round("threshold", 4))
 
 
+@query("mon_spike_slide", "packets", sql="""
+, cycles AS (SELECT p.src_ip, unnest(range(CAST(ceil(ts / 15) AS BIGINT), CAST(floor((ts + 60) / 15) AS BIGINT) + 1)) AS c FROM packets p),
+counts AS (SELECT c, src_ip, count(*) AS n FROM cycles GROUP BY 1, 2),
+dense AS (SELECT unnest(range((SELECT min(c) FROM counts), (SELECT max(c) FROM counts) + 1)) AS c),
+series AS (SELECT d.c, coalesce(sum(n), 0) AS packets, arg_max(src_ip, {'n': n, 's': src_ip}) AS top FROM dense d LEFT JOIN counts k ON k.c = d.c GROUP BY d.c),
+base AS (SELECT *, avg(packets) OVER b AS mean, stddev_pop(packets) OVER b AS dev, count(*) OVER b AS k FROM series
+         WINDOW b AS (ORDER BY c ROWS BETWEEN 14 PRECEDING AND 5 PRECEDING))
+SELECT CAST(c * 15 AS DOUBLE) AS ts, 'traffic_spike' AS kind, 'medium' AS severity, top AS src_ip, CAST(packets AS INT) AS score, CAST(packets AS BIGINT) AS packets,
+  round(mean, 4) AS mean, round(mean + 3.0 * CASE WHEN dev = 0 THEN 1.0 ELSE dev END, 4) AS threshold
+FROM base WHERE k >= 3 AND packets >= 50 AND packets > mean + 3.0 * CASE WHEN dev = 0 THEN 1.0 ELSE dev END""")
+def mon_spike_slide(spark, sf_dir):
+    """Every detection cycle with the default thresholds."""
+    spikes = monitor.spike_cycles(packets(spark, sf_dir))
+    return spikes.drop("title", "detail").withColumn("mean", F.round("mean", 4)).withColumn("threshold", F.round("threshold", 4))
+
+
 ACTIVE = """
 , latest AS (SELECT greatest((SELECT max(ts) FROM packets), (SELECT max(ts) FROM auth_events)) AS t),
 active AS (SELECT DISTINCT src_ip FROM (

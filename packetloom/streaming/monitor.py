@@ -1,61 +1,100 @@
-"""The monitor as a stream: each micro-batch is stored, then one detection cycle runs over the tables."""
+"""The monitor as a stream: every detection cycle of a micro-batch in one plan, each batch stored under its number.
+
+Rows of one stream are packets or logins (`merged`).  A batch is written first; then the cycles that lie before
+its newest row and that no earlier batch has handled are computed from the stored rows, together with the alerts, the
+traffic windows (also empty ones) and the reputation after them.  All of it goes to folders named by the batch, which
+a repeated batch overwrites, and a batch reads only what earlier batches wrote: so a retry changes nothing, and the
+alerts do not depend on how the stream was cut.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import monitor, reputation
+from ..operators import monitor
+from ..operators.cooldown import cooldown
 from ..session import materialize
 from ..sources import tables
 
-SCORE_SCHEMA = "ip string, ts double, seq int, points int, note string, blocklisted boolean"
-# The longest look-back of a cycle: activity (900 s); the spike baseline needs (history + gap) windows.
+#: The longest look-back of a cycle: activity; the spike baseline needs less.
 LOOK_BACK = 900.0
+PROGRESS = "first bigint, last bigint"
+
+
+def merged(packets: DataFrame, logins: DataFrame) -> DataFrame:
+    """Packets and logins as rows of one stream; logins have `success`."""
+    return packets.unionByName(logins, allowMissingColumns=True)
 
 
-def _stored(spark: SparkSession, root: str, table: str, as_of: float, back: float) -> DataFrame:
-    """Recent rows only: the day filter prunes folders, the time filter prunes row groups."""
-    low = as_of - back
-    df = tables.read(spark, root, table)
-    return df.filter((F.col("day") >= tables.day_of(F.lit(low))) & F.col("ts").between(low, as_of))
+def _put(df: DataFrame, root: str, table: str, batch: int) -> None:
+    day = F.col(tables.DATED[table]) if table in tables.DATED else None
+    folder = f"{root}/{table}/batch={batch}"
+    if day is None:
+        df.write.mode("overwrite").parquet(folder)
+    else:
+        df.withColumn("day", tables.day_of(day)).write.mode("overwrite").partitionBy("day").parquet(folder)
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+def stored(spark: SparkSession, root: str, table: str, schema: str | None = None) -> DataFrame:
+    """A table of the monitor with the number of the batch; empty where nothing was written yet."""
+    schema = (schema or tables.SCHEMAS[table]) + ", batch bigint" + (", day date" if table in tables.DATED else "")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
     if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).parquet(f"{root}/{table}")
     return spark.createDataFrame([], schema)
 
 
-def run_cycle(spark: SparkSession, root: str, blocklist: DataFrame, as_of: float, cooldown: float = 300,
-              minimum: str = "medium") -> DataFrame:
-    """One cycle at ``as_of`` over the stored tables: appends alerts and score events, returns the alerts."""
-    packets = _stored(spark, root, "packets", as_of, LOOK_BACK)
-    auth = _stored(spark, root, "auth_events", as_of, LOOK_BACK)
-    events = _table(spark, f"{root}/score_events", SCORE_SCHEMA)
-    findings, scored = monitor.detection_cycle(packets, auth, blocklist, events, as_of)
-    stored = _table(spark, f"{root}/alerts", tables.SCHEMAS["alerts"])
-    kept = findings.filter(monitor.monitor_rank(F.col("severity")) >= monitor.MONITOR_SCALE[minimum])
-    new = monitor.not_in_cooldown(kept, stored, cooldown).withColumn("notified", F.lit(False))
-    alerts = materialize(new.select(*[c.split()[0] for c in tables.SCHEMAS["alerts"].split(", ")]))
-    fresh = materialize(scored.filter(F.col("ts") == as_of).select(*[c.split()[0] for c in SCORE_SCHEMA.split(", ")]))
-    tables.append(alerts, root, "alerts")
-    fresh.write.mode("append").parquet(f"{root}/score_events")
-    return alerts
+def _recent(spark: SparkSession, root: str, table: str, low: float, high: float, batch: int) -> DataFrame:
+    """Rows of a time span: the day prunes folders, the time prunes row groups."""
+    df = stored(spark, root, table).filter(F.col("batch") <= batch)
+    return df.filter((F.col("day") >= tables.day_of(F.lit(low))) & F.col("ts").between(low, high))
+
+
+def reputation_before(spark: SparkSession, root: str, batch: int) -> DataFrame:
+    """Every address as the newest earlier batch left it."""
+    rows = stored(spark, root, "ip_reputation").filter(F.col("batch") < batch)
+    fields = ["score", "first_seen", "last_seen", "blocklisted", "notes"]
+    return rows.groupBy("ip").agg(F.max_by(F.struct(*fields), "batch").alias("r")).select("ip", "r.*")
 
 
-def reputation_now(spark: SparkSession, root: str, as_of: float) -> DataFrame:
-    return reputation.fold(_table(spark, f"{root}/score_events", SCORE_SCHEMA), as_of)
+def run_cycles(spark: SparkSession, root: str, blocklist: DataFrame, batch: int, newest: float, oldest: float, slide: float = 15,
+               quiet: float = 300, minimum: str = "medium", **options) -> None:
+    """All cycles before the newest row that earlier batches have not handled."""
+    done = stored(spark, root, "progress", PROGRESS).filter(F.col("batch") < batch).agg(F.min("first"), F.max("last")).first()
+    first = -int(-oldest // slide) if done[0] is None else done[0]
+    low, high = (first if done[1] is None else done[1] + 1), -int(-newest // slide) - 1
+    if high < low:
+        return
+    packets, logins = (_recent(spark, root, t, low * slide - LOOK_BACK, high * slide, batch) for t in ("packets", "auth_events"))
+    findings, after = monitor.detection_cycles(packets, logins, blocklist, low, high, first, reputation_before(spark, root, batch), slide, **options)
+    new = findings.filter(monitor.monitor_rank(F.col("severity")) >= monitor.MONITOR_SCALE[minimum]).select(*monitor.FINDING_COLUMNS, F.lit(True).alias("new"))
+    # alerts of the last cooldown begin the chains: a finding after one of them counts from there
+    old = stored(spark, root, "alerts").filter((F.col("batch") < batch) & (F.col("ts") > low * slide - quiet))
+    rows = new.unionByName(old.select(*monitor.FINDING_COLUMNS, F.lit(False).alias("new"))).withColumn("id", F.xxhash64("kind", "src_ip", "ts", "title"))
+    alerts = cooldown(rows, ["kind", "src_ip"], quiet, seq="id").filter("new").withColumn("notified", F.lit(False))
+    names = lambda table: [c.split()[0] for c in tables.SCHEMAS[table].split(", ")]
+    _put(alerts.select(*names("alerts")), root, "alerts", batch)
+    _put(after.select(*names("ip_reputation")), root, "ip_reputation", batch)
+    counted = monitor.cycle_copies(packets, 60, slide, ["src_ip"], n=F.count("*"), size=F.sum("length")).groupBy("cycle").agg(
+        F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("src_ip").alias("sources"))
+    grid = spark.range(low, high + 1).join(counted, F.col("id") == F.col("cycle"), "left")
+    _put(grid.select((F.col("id") * slide - 60.0).alias("window_start"), (F.col("id") * float(slide)).alias("window_end"), F.coalesce("n", F.lit(0)).alias("packet_count"),
+                     F.coalesce("size", F.lit(0)).cast("bigint").alias("byte_count"), F.coalesce("sources", F.lit(0)).alias("unique_sources")), root, "traffic_windows", batch)
+    _put(spark.range(1).select(F.lit(first).cast("bigint").alias("first"), F.lit(high).cast("bigint").alias("last")), root, "progress", batch)
 
 
-def cycle_sink(root: str, blocklist: DataFrame):
-    """``foreachBatch`` function for a packet stream: store the batch, run the cycle at its newest row."""
-    def sink(batch: DataFrame, _: int) -> None:
+def cycle_sink(root: str, blocklist: DataFrame, **options):
+    """``foreachBatch`` function for a stream of `merged` rows."""
+    def sink(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        stored = materialize(batch)
-        tables.append(stored, root, "packets")
-        run_cycle(stored.sparkSession, root, blocklist, stored.agg(F.max("ts")).first()[0])
+        spark = batch.sparkSession
+        rows = materialize(batch)
+        columns = lambda table: [c.split()[0] for c in tables.SCHEMAS[table].split(", ")]
+        _put(rows.filter("success IS NULL").select(*columns("packets")), root, "packets", number)
+        _put(rows.filter("success IS NOT NULL").select(*columns("auth_events")), root, "auth_events", number)
+        ends = rows.agg(F.max("ts"), F.min("ts")).first()
+        run_cycles(spark, root, blocklist, number, ends[0], ends[1], **options)
 
     return sink

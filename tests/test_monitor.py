@@ -23,32 +23,68 @@ def demo(spark):
             spark.createDataFrame([("185.0.0.7", "feed"), ("127.0.0.1", "feed")], "ip string, source string"))
 
 
-def test_cycle_and_tables(spark, tmp_path):
+def test_one_cycle(spark):
     packets, logins, blocklist = demo(spark)
-    root = str(tmp_path / "store")
-    tables.append(packets, root, "packets")
-    tables.append(logins, root, "auth_events")
-    alerts = {(r.kind, r.src_ip): r for r in live.run_cycle(spark, root, blocklist, NOW).collect()}
+    none = spark.createDataFrame([], "ip string, ts double, seq int, points int, note string, blocklisted boolean")
+    alerts = {(r.kind, r.src_ip): r for r in monitor.detection_cycle(packets, logins, blocklist, none, NOW)[0].collect()}
     assert alerts[("port_scan", "45.0.0.9")].severity == "high"
     assert alerts[("port_scan", "45.0.0.9")].detail == "80 distinct ports, 80 packets, 80 SYN-only in 60s"
     assert alerts[("brute_force", "91.0.0.3")].severity == "critical"
     assert alerts[("traffic_spike", "10.0.0.15")].score == 4081
     assert alerts[("suspicious_ip", "185.0.0.7")].detail == "blocklisted=True reasons=threat_feed"
     assert alerts[("suspicious_ip", "91.0.0.3")].score == 50 and ("suspicious_ip", "127.0.0.1") not in alerts
-    # A second cycle inside the cooldown repeats nothing of the same kind and source; scores go on.
-    again = {(r.kind, r.src_ip) for r in live.run_cycle(spark, root, blocklist, NOW + 15).collect()}
-    assert again <= {("suspicious_ip", "45.0.0.9")}
-    scores = {r.ip: r.score for r in live.reputation_now(spark, root, NOW + 15).collect()}
-    assert scores["185.0.0.7"] == 100 and scores["45.0.0.9"] == 40 and scores["91.0.0.3"] == 100
-
-    old = packets.limit(10).withColumn("ts", F.lit(NOW - 8 * 86400))
-    tables.append(old, root, "packets")
+
+
+def test_newest_instant_belongs_to_the_closing_window(spark):
+    rows = [(NOW - 600 + 10 * i, "a", 1) for i in range(61)] + [(NOW, "b", 1)] * 400
+    packets = spark.createDataFrame(rows, "ts double, src_ip string, length int")
+    assert [r.ts for r in monitor.traffic_spikes(packets, origin=NOW).collect()] == [NOW]
+
+
+def test_purge(spark, tmp_path):
+    packets, _, _ = demo(spark)
+    root = str(tmp_path / "store")
+    tables.append(packets, root, "packets")
+    tables.append(spark.createDataFrame([(NOW, "a", "u", "sshd", 22, True)], tables.SCHEMAS["auth_events"]), root, "auth_events")
+    tables.append(packets.limit(10).withColumn("ts", F.lit(NOW - 8 * 86400)), root, "packets")
     tables.append(monitor.traffic_windows(packets), root, "traffic_windows")
     before = tables.read(spark, root, "packets").count()
     tables.purge(spark, root, NOW, days=7)
     assert tables.read(spark, root, "packets").count() == before - 10
 
 
+def test_sink_does_not_depend_on_batches(spark, tmp_path):
+    """One large batch, many small ones and repeated ones give the same alerts; empty cycles count."""
+    packets, logins, blocklist = demo(spark)
+    later = [(NOW + 60.0 * i, "10.0.0.22", "10.0.0.5", 1, 443, "TCP", 60, "ACK") for i in range(1, 8)]
+    later += [(NOW + 200 + i * 0.05, "45.0.0.9", "10.0.0.5", 1, i + 1, "TCP", 60, "SYN") for i in range(40)]
+    rows = live.merged(packets.unionByName(spark.createDataFrame(later, packets.schema)), logins).orderBy("ts").collect()
+    schema = live.merged(packets, logins).schema
+
+    def run(name, cuts, repeat=False):
+        root = str(tmp_path / name)
+        sink = live.cycle_sink(root, blocklist)
+        for number, (low, high) in enumerate(zip([0, *cuts], [*cuts, len(rows)])):
+            part = spark.createDataFrame(rows[low:high], schema).coalesce(1)
+            sink(part, number)
+            if repeat:
+                sink(part, number)
+        show = lambda table, *columns: sorted((tuple(r) for r in live.stored(spark, root, table).select(*columns).collect()), key=repr)
+        return (show("alerts", "ts", "kind", "severity", "src_ip", "detail", "score"), show("traffic_windows", "window_end", "packet_count"),
+                {r.ip: r.score for r in live.reputation_before(spark, root, 99).collect()}, live.stored(spark, root, "packets").count())
+
+    whole = run("one", [])
+    kinds = {(a[1], a[3]) for a in whole[0]}
+    assert {("port_scan", "45.0.0.9"), ("brute_force", "91.0.0.3"), ("traffic_spike", "10.0.0.15"), ("suspicious_ip", "185.0.0.7"), ("suspicious_ip", "91.0.0.3")} <= kinds
+    assert ("suspicious_ip", "127.0.0.1") not in kinds
+    times = [a[0] for a in whole[0] if a[1] == "suspicious_ip" and a[3] == "185.0.0.7"]
+    assert len(times) > 1 and all(b - a >= 300 for a, b in zip(times, times[1:]))
+    ends = [w[0] for w in whole[1]]
+    assert ends == [min(ends) + 15 * i for i in range(len(ends))] and any(n == 0 for _, n in whole[1])
+    assert run("many", [40, 300, 2500, len(rows) - 30]) == whole
+    assert run("twice", [1000], repeat=True) == whole
+
+
 def test_reputation_day_borders(spark):
     """Folding per day gives what folding event by event gives."""
     events = [("x", 1000.0 + 9000.0 * i, i % 3, [40, 50, 20, 60][i % 4], ["a", "ab", "b", ""][i % 4]) for i in range(60)]
