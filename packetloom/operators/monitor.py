@@ -155,7 +155,7 @@ def spike_cycles(packets: DataFrame, window: float = 60, slide: float = 15, hist
                  min_events: int = 50, first_cycle: Column | int | None = None) -> DataFrame:
     """The same at every detection cycle: the window that ends there against the latest ``history`` windows of
     earlier cycles that end before it starts, cycles without packets included, from the monitor's first cycle on."""
-    per_source = cycle_copies(packets, window, slide, ["src_ip"], n=F.count("*")).select(F.col("cycle").alias("w"), "src_ip", "n")
+    per_source = cycle_copies(packets, window, slide, ["src_ip"], n=F.count("*")).groupBy(F.col("cycle").alias("w"), "src_ip").agg(F.sum("n").alias("n"))
     if first_cycle is None:
         first_cycle = packets.agg(F.min(F.ceil(F.col("ts") / slide)).alias("first")).scalar()
     gap = int(window // slide) + 1

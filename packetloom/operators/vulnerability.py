@@ -67,21 +67,20 @@ def by_product(cves: DataFrame) -> DataFrame:
 def match(services: DataFrame, cves: DataFrame) -> DataFrame:
     """Add ``vulnerabilities``: matching records per service row, best score first, each id once.
 
-    The records of a product travel as one array, so every service row joins at most one row
-    and no shuffle is needed for the range test, the order or the removal of repeats.  The
-    product table is broadcast when Spark finds it small enough, else joined by sort-merge
-    with skew handling for common products.
+    Many services share a product and version, so the record list of a product meets each distinct pair
+    once, and the short result is joined back to the services.
     """
-    # Arrays of (key, constraint) are compared per record, with the version key made once per row.
-    keyed = services.withColumn("__key", version_key(F.col("version")))
-    records = by_product(cves).withColumnRenamed("product", "__product")
-    joined = keyed.join(records, F.lower("product") == F.col("__product"), "left")
+    pairs = services.filter(F.col("product").isNotNull()).select(F.col("product").alias("__product"), F.col("version").alias("version")).distinct()
+    # Arrays of (key, constraint) are compared per record, with the version key made once per pair.
+    keyed = pairs.withColumn("__key", version_key(F.col("version")))
+    records = by_product(cves).withColumnRenamed("product", "__name")
+    joined = keyed.join(records, F.lower("__product") == F.col("__name"))
 
     def affected(r: Column) -> Column:
         return F.col("version").isNull() | (F.coalesce(r["affected"], F.lit("")) == "") | satisfies_parsed(
             F.col("version"), F.col("__key"), r["affected"], r["constraints"])
 
-    hits = F.filter(F.coalesce("records", F.array().cast(records.schema["records"].dataType)), affected)
+    hits = F.filter("records", affected)
     ids = F.transform(hits, lambda r: r["cve_id"])
     # The first record of an id is the one with the highest score.
     firsts = F.filter(hits, lambda r, i: F.array_position(ids, r["cve_id"]) == i + 1)
@@ -90,7 +89,10 @@ def match(services: DataFrame, cves: DataFrame) -> DataFrame:
         r["summary"].alias("summary"), r["affected"].alias("affected"), r["fixed_version"].alias("fixed_version"),
         r["references"].alias("references"),
     ))
-    return joined.withColumn("vulnerabilities", public).drop("__key", "__product", "records")
+    found = joined.select("__product", F.col("version").alias("__version"), public.alias("vulnerabilities"))
+    none = F.array().cast(found.schema["vulnerabilities"].dataType)
+    back = services.join(found, (F.col("product") == F.col("__product")) & F.col("version").eqNullSafe(F.col("__version")), "left")
+    return back.withColumn("vulnerabilities", F.coalesce("vulnerabilities", none)).drop("__product", "__version")
 
 
 def with_risk(matched: DataFrame) -> DataFrame:

@@ -114,11 +114,11 @@ series AS (SELECT d.c, coalesce(sum(n), 0) AS packets, arg_max(src_ip, {'n': n,
 base AS (SELECT *, avg(packets) OVER b AS mean, stddev_pop(packets) OVER b AS dev, count(*) OVER b AS k FROM series
          WINDOW b AS (ORDER BY c ROWS BETWEEN 14 PRECEDING AND 5 PRECEDING))
 SELECT CAST(c * 15 AS DOUBLE) AS ts, 'traffic_spike' AS kind, 'medium' AS severity, top AS src_ip, CAST(packets AS INT) AS score, CAST(packets AS BIGINT) AS packets,
-  round(mean, 4) AS mean, round(mean + 3.0 * CASE WHEN dev = 0 THEN 1.0 ELSE dev END, 4) AS threshold
-FROM base WHERE k >= 3 AND packets >= 50 AND packets > mean + 3.0 * CASE WHEN dev = 0 THEN 1.0 ELSE dev END""")
+  round(mean, 4) AS mean, round(mean + 1.0 * CASE WHEN dev = 0 THEN 1.0 ELSE dev END, 4) AS threshold
+FROM base WHERE k >= 3 AND packets >= 50 AND packets > mean + 1.0 * CASE WHEN dev = 0 THEN 1.0 ELSE dev END""")
 def mon_spike_slide(spark, sf_dir):
-    """Every detection cycle with the default thresholds."""
-    spikes = monitor.spike_cycles(packets(spark, sf_dir))
+    """Every detection cycle, windows that overlap."""
+    spikes = monitor.spike_cycles(packets(spark, sf_dir), multiplier=1.0)
     return spikes.drop("title", "detail").withColumn("mean", F.round("mean", 4)).withColumn("threshold", F.round("threshold", 4))
 
 

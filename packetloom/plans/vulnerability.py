@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import cvss_severity
 from ..functions.versions import cpe, identify_product, satisfies
+from ..sources import cves
 from ..operators import targets
 from ..operators import vulnerability as vuln
 from .registry import query
@@ -239,3 +240,39 @@ def target_ranges(spark, sf_dir):
     """First and last address of every specification, or why there is none."""
     read = targets.parse(_specs(spark, sf_dir)).filter("low_key IS NOT NULL OR reason IS NOT NULL")
     return read.select("seq", "low_key", "high_key", "reason")
+
+
+LEVEL = "CASE WHEN {0} >= 9 THEN 'critical' WHEN {0} >= 7 THEN 'high' WHEN {0} >= 4 THEN 'medium' WHEN {0} > 0 THEN 'low' ELSE 'none' END"
+
+
+@query("cve_catalogue", sql=f"""
+SELECT lower(p_brand) AS product, CAST(i AS INT) AS position, 'CVE-' || p_partkey || '-' || i AS cve_id, CAST(CASE WHEN i = 0 THEN coalesce(nullif(p_size % 11, 10), 0) ELSE 5 END AS DOUBLE) AS cvss,
+  {LEVEL.format("CASE WHEN i = 0 THEN coalesce(nullif(p_size % 11, 10), 0) ELSE 5 END")} AS severity, '<' || p_size || '.0' AS affected,
+  CASE WHEN i = 0 THEN p_size || '.0' END AS fixed_version FROM part, (SELECT unnest([0, 1]) AS i)""")
+def cve_catalogue(spark, sf_dir):
+    """Curated record lists as JSON texts, one for each part."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    record = lambda i, cvss, fixed: F.concat(F.lit('{"cve":"CVE-'), F.col("p_partkey").cast("string"), F.lit(f'-{i}","cvss":'), cvss, F.lit(',"affected":"<'),
+                                             F.col("p_size").cast("string"), F.lit('.0"'), fixed, F.lit("}"))
+    score = F.coalesce(F.nullif(F.col("p_size") % 11, F.lit(10)).cast("string"), F.lit("null"))
+    text = F.concat(F.lit('{"products":{"'), F.col("p_brand"), F.lit('":['), record(0, score, F.concat(F.lit(',"fixed":"'), F.col("p_size").cast("string"), F.lit('.0"'))), F.lit(","),
+                    record(1, F.lit("5"), F.lit("")), F.lit("]}}"))
+    catalogue = part.select(F.from_json(text, cves.CATALOGUE_SCHEMA).alias("c")).select("c.products")
+    return cves.explode_catalogue(catalogue).select("product", "position", "cve_id", "cvss", "severity", "affected", "fixed_version")
+
+
+@query("cve_nvd", sql=f"""
+SELECT lower(p_brand) AS product, CAST(0 AS INT) AS position, 'CVE-' || p_partkey AS cve_id, CAST(CASE WHEN p_partkey % 4 = 3 THEN 0 ELSE p_size % 10 END AS DOUBLE) AS cvss,
+  {LEVEL.format("CASE WHEN p_partkey % 4 = 3 THEN 0 ELSE p_size % 10 END")} AS severity, p_type AS summary, p_brand || ' ' || p_size AS affected,
+  'https://nvd.nist.gov/vuln/detail/CVE-' || p_partkey AS reference FROM part""")
+def cve_nvd(spark, sf_dir):
+    """Responses with a score of the newest or an older metric, or none."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    metric = F.concat(F.lit('[{"cvssData":{"baseScore":'), (F.col("p_size") % 10).cast("string"), F.lit("}}]"))
+    way = F.col("p_partkey") % 4
+    metrics = (F.when(way == 0, F.concat(F.lit('{"cvssMetricV2":[{"cvssData":{"baseScore":1}}],"cvssMetricV31":'), metric, F.lit("}")))
+               .when(way == 1, F.concat(F.lit('{"cvssMetricV30":'), metric, F.lit("}"))).when(way == 2, F.concat(F.lit('{"cvssMetricV2":'), metric, F.lit("}"))).otherwise(F.lit("{}")))
+    text = F.concat(F.lit('{"vulnerabilities":[{"cve":{"id":"CVE-'), F.col("p_partkey").cast("string"), F.lit('","descriptions":[{"lang":"es","value":"otra"},{"lang":"en","value":"'),
+                    F.col("p_type"), F.lit('"}],"metrics":'), metrics, F.lit("}}]}"))
+    responses = part.select(F.col("p_brand").alias("product"), F.col("p_size").cast("string").alias("version"), text.alias("value"))
+    return cves.parse_nvd(responses).select("product", "position", "cve_id", "cvss", "severity", "summary", "affected", F.col("references")[0].alias("reference"))

@@ -77,7 +77,7 @@ def run_cycles(spark: SparkSession, root: str, blocklist: DataFrame, batch: int,
     _put(alerts.select(*names("alerts")), root, "alerts", batch)
     _put(after.select(*names("ip_reputation")), root, "ip_reputation", batch)
     counted = monitor.cycle_copies(packets, 60, slide, ["src_ip"], n=F.count("*"), size=F.sum("length")).groupBy("cycle").agg(
-        F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("src_ip").alias("sources"))
+        F.sum("n").alias("n"), F.sum("size").alias("size"), F.count_distinct("src_ip").alias("sources"))
     grid = spark.range(low, high + 1).join(counted, F.col("id") == F.col("cycle"), "left")
     _put(grid.select((F.col("id") * slide - 60.0).alias("window_start"), (F.col("id") * float(slide)).alias("window_end"), F.coalesce("n", F.lit(0)).alias("packet_count"),
                      F.coalesce("size", F.lit(0)).cast("bigint").alias("byte_count"), F.coalesce("sources", F.lit(0)).alias("unique_sources")), root, "traffic_windows", batch)
