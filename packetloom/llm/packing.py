@@ -30,7 +30,7 @@ def cut(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, keep_
     """(doc_id, start, length, ids_crc32, doc_tokens) of every piece, on request with its ids."""
 
     def make():
-        encoder = WordEncoder(path)
+        encoder = WordEncoder.of_worker(path)
 
         def one(rows):
             ids, counts = with_end(*encoder.encode(rows.column("text")), end_id)
@@ -52,7 +52,7 @@ def cut(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, keep_
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * keep_ids
-    return ts.map_texts(docs.select("doc_id", "text"), make, schema, limit=2 << 20)
+    return ts.map_texts(docs.select("doc_id", "text"), make, schema, limit=1 << 20)
 
 
 def _knapsack(sizes: np.ndarray, prices: np.ndarray, room: int) -> tuple[float, np.ndarray]:

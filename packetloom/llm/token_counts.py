@@ -41,14 +41,14 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     path = path or tokenizer_path()
 
     def task(batches):
-        encoder, out, place, total, ordinal = WordEncoder(path, specials_are_text=True), None, None, 0, 0
+        encoder, out, place, total, ordinal = WordEncoder.of_worker(path, specials_are_text=True), None, None, 0, 0
 
         def rows(names, ordinals, ids, size):
             return pa.RecordBatch.from_arrays([pa.array([names] * len(ordinals), pa.string()), pa.array(ordinals, pa.int64()), ids, size],
                                               ["path", "ordinal", "doc_id", "n_tokens"])
 
         for batch in batches:
-            for part in ts.pieces(batch, limit=2 << 20):
+            for part in ts.pieces(batch, limit=1 << 20):
                 if out is None:
                     place, total, ordinal = f"{folder}/{uuid.uuid4().hex}.bin", 0, 0
                     system, inner = _filesystem(place)

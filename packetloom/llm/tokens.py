@@ -8,6 +8,7 @@ the tokenizer, and the ids are gathered with NumPy.  The table of known forms st
 from __future__ import annotations
 
 import os
+import sys
 from pathlib import Path
 
 import numpy as np
@@ -32,15 +33,31 @@ class WordEncoder:
         self.powers = ts.Powers()
         self._forget()
 
+    @classmethod
+    def of_worker(cls, path: str, specials_are_text: bool = False) -> "WordEncoder":
+        """The encoder of this Python worker, kept between its tasks with the forms it knows.
+
+        Functions travel to workers by value and forget their globals, so it hangs on the tokenizer library.
+        """
+        import tokenizers
+        held = vars(sys.modules[tokenizers.__name__]).setdefault("_word_encoders", {})
+        key = (path, specials_are_text)
+        if key not in held:
+            held[key] = cls(path, specials_are_text)
+        return held[key]
+
     def _forget(self):
         self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, keys, block, which):
         forms = [bytes(block.data[s:e]).decode() for s, e in zip(block.start[which].tolist(), block.end[which].tolist())]
-        ids = [e.ids for e in self.tokenizer.encode_batch(forms, add_special_tokens=False)]
-        count = np.array([len(i) for i in ids], np.int64)
-        new = np.fromiter((t for i in ids for t in i), np.uint32, int(count.sum()))
+        parts, counts = [], []
+        for k in range(0, len(forms), 2000):  # the library's results are large objects
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(forms[k:k + 2000], add_special_tokens=False)]
+            counts.append(np.array([len(i) for i in ids], np.int64))
+            parts.append(np.fromiter((t for i in ids for t in i), np.uint32, int(counts[-1].sum())))
+        count, new = np.concatenate(counts), np.concatenate(parts)
         if self.used + len(new) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(new)), np.uint32)))
         self.flat[self.used:self.used + len(new)] = new
