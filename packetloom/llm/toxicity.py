@@ -116,7 +116,7 @@ def fit_weights(x: Sparse, y: np.ndarray, swapped: Sparse, of: np.ndarray, penal
     return (w * scale).astype(np.float32), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, fit_rows: int = 16000,
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, fit_rows: int = 8000,
         groups=IDENTITY_TERMS, penalty: float = 1.0) -> dict:
     """Fit on labelled rows outside the held-out part."""
     marks = (labels.where(remainder("doc_id", modulus) != held_out).where("toxic is not null")
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
     def rows(column) -> Sparse:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        return Sparse(np.repeat(np.arange(len(column)), counts), column.flatten().to_numpy(zero_copy_only=False), len(column))
+        return Sparse(np.repeat(np.arange(len(column), dtype=np.int32), counts), column.flatten().to_numpy(zero_copy_only=False), len(column))
 
     named = np.flatnonzero(got.column("named").to_numpy())
     swapped = got.column("swapped").take(pa.array(named))
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return ts.map_texts(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, fit_rows: int = 16000,
+def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, fit_rows: int = 8000,
              groups=IDENTITY_TERMS, penalty: float = 1.0) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels, modulus, held_out, fit_rows, groups, penalty))
