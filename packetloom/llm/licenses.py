@@ -45,6 +45,9 @@ TEMPLATES = (
 )
 
 
+_COMMON = frozenset("a an and any are at be by for from in is it may not of on or that the this to under with you".split())
+
+
 def _words(text: str) -> list[str]:
     return re.sub(r"[\W_]+", " ", text.lower()).split()
 
@@ -72,7 +75,7 @@ def anchors(templates, least: float) -> list[str]:
             for gram, c in grams.items():
                 if not set(gram.split()) & set(chosen):
                     for word in set(gram.split()):
-                        gain[word] += c * (10 if len(word) > 5 else 1)  # long words are rare elsewhere
+                        gain[word] += c * (10 if len(word) > 5 else 0.01 if word in _COMMON else 1)  # any choice is right, rare words are fast
         chosen.append(max(sorted(gain), key=gain.get))
     return chosen
 
@@ -87,14 +90,25 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
     low, high = least / (2 - least), (2 - least) / least
     smallest, largest = low * min(r[3] for r in rows), high * max(r[3] for r in rows)
 
+    def stands(text, word):
+        """Is the word in the lower-cased text?  Short ones are also parts of many words, so their edges are looked at."""
+        inside = text.contains(word)
+        return inside if len(word) > 5 else inside & text.rlike(rf"(?<![\p{{L}}\p{{N}}]){word}(?![\p{{L}}\p{{N}}])")
+
+    def any_anchor(text):
+        some = None
+        for word in sorted(anchors(templates, least), key=len, reverse=True):
+            some = stands(text, word) if some is None else some | stands(text, word)
+        return some
+
+    # the lower-cased text is made once for all anchors
     lower = F.lower(F.col("text"))
-    some = None
-    for word in anchors(templates, least):
-        some = lower.contains(word) if some is None else some | lower.contains(word)
-    hit = docs.where(some).select("doc_id", F.regexp_replace(lower, r"[^\p{L}\p{N}\n]+", " ").alias("clean")).distinct()
-    lines = hit.select("doc_id", F.xxhash64("clean").alias("content"), F.posexplode(F.split("clean", "\n")).alias("position", "line"), F.lit("line").alias("unit"))
-    whole = hit.select("doc_id", F.xxhash64("clean").alias("content"), F.lit(0).alias("position"), F.regexp_replace("clean", "\n", " ").alias("line"), F.lit("text").alias("unit"))
-    units = lines.unionByName(whole).select("doc_id", "content", "unit", "position", F.trim(F.regexp_replace("line", " +", " ")).alias("line"))
+    hit = docs.where(F.transform(F.array(lower), any_anchor)[0]).select("doc_id", F.regexp_replace(lower, r"[^\p{L}\p{N}\n]+", " ").alias("clean")).distinct()
+    part = lambda unit, position, line: F.struct(F.lit(unit).alias("unit"), position.alias("position"), line.alias("line"))
+    whole = part("text", F.lit(0), F.regexp_replace("clean", "\n", " "))
+    lines = F.transform(F.split("clean", "\n"), lambda line, i: part("line", i, line))
+    units = hit.select("doc_id", F.xxhash64("clean").alias("content"), F.inline(F.concat(F.array(whole), lines)))
+    units = units.select("doc_id", "content", "unit", "position", F.trim(F.regexp_replace("line", " +", " ")).alias("line"))
     n = F.length("line") - F.length(F.translate("line", " ", ""))
     units = units.select("*", n.alias("size")).where(F.col("size").between(smallest, largest) & (F.col("size") > 0))
     words = units.select("doc_id", "content", "unit", "position", "size", F.split("line", " ").alias("w"))
