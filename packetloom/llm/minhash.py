@@ -141,7 +141,7 @@ def sketch(docs: DataFrame, weight: str = "plain") -> DataFrame:
         return one
 
     given = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("content"), "text")
-    return ts.map_texts(given, make, "doc_id bigint, content string, buckets array<bigint>, sign binary")
+    return ts.map_texts(given, make, "doc_id bigint, content string, buckets array<bigint>, sign binary", limit=ts.BLOCK_BYTES // 2)
 
 
 def similarity(pairs: DataFrame, weight: str = "plain") -> DataFrame:
@@ -150,7 +150,7 @@ def similarity(pairs: DataFrame, weight: str = "plain") -> DataFrame:
     def task(batches):
         powers = ts.Powers()
         for batch in batches:
-            for rows in ts.pieces(batch, ("text_a", "text_b"), rows=2000):
+            for rows in ts.pieces(batch, ("text_a", "text_b"), limit=ts.BLOCK_BYTES // 2, rows=500):
                 n = rows.num_rows
                 (ta, sa, wa), (tb, sb, wb) = (shingles(rows.column(c), powers) for c in ("text_a", "text_b"))
                 ka, kb = ((t.astype(np.uint64) << _ID) | s for t, s in ((ta, sa), (tb, sb)))
@@ -164,7 +164,7 @@ def similarity(pairs: DataFrame, weight: str = "plain") -> DataFrame:
                 out = shared / np.maximum(total(ta, wa) + total(tb, wb) - shared, 1)
                 yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(out)], ["a", "b", "similarity"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(task, "a bigint, b bigint, similarity double")
+    return ts.modest_batches(pairs.select("a", "b", "text_a", "text_b")).mapInArrow(task, "a bigint, b bigint, similarity double")
 
 
 def propose(met: DataFrame, round_: int) -> DataFrame:

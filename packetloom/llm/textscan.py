@@ -135,6 +135,17 @@ def pieces(batch: pa.RecordBatch, column: str | tuple = "text", limit: int = BLO
         first, total = last, int(ends[min(last, batch.num_rows) - 1])
 
 
+def modest_batches(df):
+    """Hand texts to Python a thousand rows at a time: ten thousand (Spark's default) fill an executor's memory outside its heap.
+
+    A smaller setting of the session stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= 1000:
+        conf.set(name, "1000")
+    return df
+
+
 def map_texts(df, make: Callable, schema: str, column: str = "text", limit: int = BLOCK_BYTES):
     """Run ``make()(rows: RecordBatch) -> RecordBatch | None`` over runs of rows; ``make`` is called once a task."""
 
@@ -146,4 +157,4 @@ def map_texts(df, make: Callable, schema: str, column: str = "text", limit: int
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(task, schema)
+    return modest_batches(df).mapInArrow(task, schema)

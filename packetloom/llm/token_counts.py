@@ -71,7 +71,7 @@ def write_files(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     kind = docs.schema["doc_id"].dataType.simpleString()
     system, inner = _filesystem(folder)
     system.create_dir(inner)
-    written = stored(docs.select("doc_id", "text").mapInArrow(task, f"path string, ordinal bigint, doc_id {kind}, n_tokens bigint"))
+    written = stored(ts.modest_batches(docs.select("doc_id", "text")).mapInArrow(task, f"path string, ordinal bigint, doc_id {kind}, n_tokens bigint"))
     return written.where("ordinal = -1").select("path", "n_tokens"), written.where("ordinal >= 0").select("path", "ordinal", "doc_id")
 
 

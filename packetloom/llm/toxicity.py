@@ -158,6 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
     named = np.flatnonzero(got.column("named").to_numpy())
     swapped = got.column("swapped").take(pa.array(named))
     weights, bias = fit_weights(rows(got.column("forms")), got.column("toxic").to_numpy(), rows(swapped), named, penalty)
+    del got, swapped
+    pa.default_memory_pool().release_unused()
     return {"weights": weights, "bias": bias}
 
 
