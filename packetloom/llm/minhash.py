@@ -10,14 +10,18 @@ their weighted Jaccard similarity.  Ranks are searched up to about the level at
 so a text costs little more than one hash a shingle, whatever its weight.
 
 Equal texts are one node.  Nodes that agree in all rows of a band share a bucket; with 25 bands of 5 rows a pair of
-similarity 0.8 misses every bucket with probability 5e-5, one of 0.9 with 1e-10.  A bucket is read once, the nodes
+similarity 0.8 misses every bucket with probability 5e-5, one of 0.9 with 1e-10.  A bucket is first read once, the nodes
 with the most company first: every node is laid beside the nodes that lead the bucket so far, signature by signature,
 and proposes the one it agrees with most; it becomes a leader itself unless that agreement is nearly full.  So a
 bucket of near copies gives one proposal for each, not all pairs.  Proposals are compared exactly, by the shingles
-of the whole texts; those of similarity 0.8 or more are links.  Buckets whose nodes
-do not all hang together yet are read again, now for the best proposal to another component, until a round adds no
-link.  Buckets over ``CHUNK`` nodes are dealt to chunks, anew in each round, and every chunk gets the bucket's first
-leader; so no bucket is one task.
+of the whole texts; those of similarity 0.8 or more are links.
+
+Then buckets whose nodes do not all hang together yet are read again, every node against all nodes of other
+components, for the best partners that were not asked before: one for each node, then four, sixteen and so on, so that
+many links need few comparisons.  It ends when no bucket has two nodes left that agree enough, hang apart and were not
+compared.  So the result does not depend on who leads.  Buckets over ``CHUNK`` nodes are cut into chunks, which for the first
+reading get the bucket's first leader each and afterwards are compared two by two; so no bucket is one task, and no
+pair is left out.
 
 Defined cases: null and empty texts are equal to each other and make one class; texts under five words match equal
 texts only; repeated rows belong to one class and stay rows; rows without an id get no class (null); an empty table
@@ -38,7 +42,7 @@ from .components import components
 
 WORDS, BANDS, ROWS = 5, 25, 5
 COORDINATES = BANDS * ROWS
-CHUNK = 4096  # nodes of a bucket that one task reads in a row
+CHUNK = 4096  # nodes of a bucket that one task reads in a row; changes no result
 #: Shares of agreeing coordinates: below ASK a pair of similarity 0.8 is four deviations off, above SURE a node needs no leader of its own.
 ASK, SURE = 0.66, 0.9
 _FIRST = 2.0**-6  # mean number of darts of a unit of weight in the lowest band of ranks
@@ -167,44 +171,114 @@ def similarity(pairs: DataFrame, weight: str = "plain") -> DataFrame:
     return ts.modest_batches(pairs.select("a", "b", "text_a", "text_b")).mapInArrow(task, "a bigint, b bigint, similarity double")
 
 
-def propose(met: DataFrame, round_: int) -> DataFrame:
-    """(a, b): for nodes (bucket, rep, root, size, company, sign) the best partner of another root in every bucket."""
-    mixed = met.join(met.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket"), "bucket")
+def propose(met: DataFrame) -> DataFrame:
+    """(p, q): for nodes (bucket, rep, size, company, sign) the best leader of every bucket they are in."""
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    dealt = mixed.select("bucket", F.pmod(F.xxhash64("rep", "bucket", F.lit(round_)), chunks).cast("int").alias("chunk"), "rep", "root", "company", "sign")
-    first = (mixed.where(F.col("size") > CHUNK).groupBy("bucket", "size").agg(F.max_by(F.struct("rep", "root", "company", "sign"), F.struct("company", -F.col("rep"))).alias("r"))
+    dealt = met.select("bucket", F.pmod(F.xxhash64("rep", "bucket"), chunks).cast("int").alias("chunk"), "rep", "company", "sign")
+    first = (met.where(F.col("size") > CHUNK).groupBy("bucket", "size").agg(F.max_by(F.struct("rep", "company", "sign"), F.struct("company", -F.col("rep"))).alias("r"))
              .select("bucket", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "r.*"))
     rows = dealt.unionByName(first.withColumn("company", F.lit(1 << 62)))
 
     def task(batches):
-        here, led, roots, n = None, np.zeros((16, COORDINATES), np.uint32), np.zeros(16, np.int64), 0
+        here, led, n = None, np.zeros((16, COORDINATES), np.uint32), 0
         reps = np.zeros(16, np.int64)
         for batch in batches:
             found = []
             keys = zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk")))
             signs = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column("sign")]
-            for key, rep, root, sign in zip(keys, batch.column("rep").to_pylist(), batch.column("root").to_pylist(), signs):
+            for key, rep, sign in zip(keys, batch.column("rep").to_pylist(), signs):
                 if key != here:
                     here, n = key, 0
-                agree = (led[:n] == sign).sum(axis=1)
                 if n:
-                    other = np.where(roots[:n] == root, -1, agree)
-                    best = int(other.argmax())
-                    if other[best] >= ASK * COORDINATES:
-                        found.append((min(rep, int(reps[best])), max(rep, int(reps[best]))))
-                    if agree.max() >= SURE * COORDINATES and (reps[:n] != rep).all() and root in roots[:n][agree >= SURE * COORDINATES]:
-                        continue
-                    if other[best] >= SURE * COORDINATES:
+                    agree = (led[:n] == sign).sum(axis=1)
+                    best = int(agree.argmax())
+                    if agree[best] >= ASK * COORDINATES:
+                        found.append((rep, int(reps[best])))
+                    if agree[best] >= SURE * COORDINATES:
                         continue
                 if n == len(led):
-                    led, roots, reps = (np.concatenate((x, np.zeros_like(x))) for x in (led, roots, reps))
-                led[n], roots[n], reps[n], n = sign, root, rep, n + 1
+                    led, reps = (np.concatenate((x, np.zeros_like(x))) for x in (led, reps))
+                led[n], reps[n], n = sign, rep, n + 1
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["p", "q"])
 
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(parts, "bucket", "chunk").sortWithinPartitions("bucket", "chunk", F.desc("company"), "rep")
-    return ordered.mapInArrow(task, "a bigint, b bigint").where("a != b").distinct()
+    return ordered.mapInArrow(task, "p bigint, q bigint").where("p != q").distinct()
+
+
+def _agreement(signs: np.ndarray, sign: np.ndarray) -> np.ndarray:
+    """How many coordinates of each row equal those of one row; rows are padded to 128 equal coordinates."""
+    eights = (signs == sign).view(np.uint64).sum(axis=1, dtype=np.uint64)  # each byte counts up to 16
+    return ((eights * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64) - (128 - COORDINATES)
+
+
+def remaining(met: DataFrame, most: int) -> DataFrame:
+    """(p, q): for nodes (bucket, rep, root, size, sign, asked) the pairs of different roots that share a bucket, agree
+    enough and were not asked before; of every node the `most` best in a block.  It is empty only if no such pair is left.
+
+    A bucket over ``CHUNK`` nodes is cut into chunks, those of its largest component apart from the others, and every
+    two chunks that can hold nodes of different roots are one block, so each pair meets in some block."""
+    of_root = met.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    shape = of_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
+    whole = F.col("all") <= CHUNK
+    shape = shape.select("bucket", F.col("main.root").alias("main"), F.when(whole, 1).otherwise(chunks(F.col("all") - F.col("main.n"))).alias("others"),
+                         F.when(whole, 0).otherwise(chunks(F.col("main.n"))).alias("mains"))
+    spread = F.xxhash64("rep", "bucket")
+    of_main = (F.col("root") == F.col("main")) & (F.col("mains") > 0)
+    chunk = F.when(of_main, F.col("others") + F.pmod(spread, F.col("mains"))).otherwise(F.pmod(spread, F.col("others"))).cast("int")
+    dealt = met.join(shape, "bucket").withColumn("chunk", chunk).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("others") + F.when(of_main, 0).otherwise(F.col("mains")) - 1)))
+    rows = dealt.select("bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "rep", "root", "sign", "asked")
+
+    def compare(key, chunk, rep, root, signs, asked):
+        """Pairs of one block; rows are ordered by chunk."""
+        _, x, y = key
+        rep, root = np.array(rep, np.int64), np.array(root, np.int64)
+        wide = np.zeros((len(rep), 128), np.uint32)
+        wide[:, :COORDINATES] = np.frombuffer(b"".join(signs), np.uint32).reshape(-1, COORDINATES)
+        asked = [set(k) if k else () for k in asked]
+        left = len(rep) if x == y else int(np.searchsorted(np.array(chunk), y))
+        if (root == root[0]).all():
+            return
+        for i in range(left):
+            start = i + 1 if x == y else left
+            agree = _agreement(wide[start:], wide[i])
+            some = np.flatnonzero((agree >= ASK * COORDINATES) & (root[start:] != root[i]))
+            if not len(some):
+                continue
+            me, mine = int(rep[i]), asked[i]
+            count = 0
+            for j in some[np.argsort(-agree[some], kind="stable")] + start:
+                you = int(rep[j])
+                if you not in mine and me not in asked[j]:
+                    yield me, you
+                    count += 1
+                    if count == most:
+                        break
+
+    def task(batches):
+        here, block = None, ([], [], [], [], [])
+
+        def pairs():
+            found = list(compare(here, *block)) if len(block[0]) > 1 else []
+            return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["p", "q"])] if found else []
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y")))
+            rows = zip(*(batch.column(c).to_pylist() for c in ("chunk", "rep", "root", "sign", "asked")))
+            for key, row in zip(keys, rows):
+                if key != here:
+                    yield from pairs()
+                    here, block = key, ([], [], [], [], [])
+                for held, value in zip(block, row):
+                    held.append(value)
+        yield from pairs()
+
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "chunk", "rep")
+    return ordered.mapInArrow(task, "p bigint, q bigint").distinct()
 
 
 def links(docs: DataFrame, nodes: DataFrame, least: float = 0.8, weight: str = "plain") -> tuple[DataFrame, DataFrame]:
@@ -220,22 +294,24 @@ def links(docs: DataFrame, nodes: DataFrame, least: float = 0.8, weight: str = "
     texts = stored(docs.select("doc_id", "text", content).join(wanted, ["doc_id", "content"]).select("doc_id", "text").dropDuplicates(["doc_id"]))
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     full = met.join(signs.select("rep", "company", "sign"), "rep")
-    asked, good, roots, round_ = None, None, None, 0
+    asked, good, roots, most = None, None, None, 1
     while True:
         if roots is None:
-            rooted = full.withColumn("root", F.col("rep"))
+            proposed = stored(propose(full))
         else:
-            rooted = full.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        pairs = propose(rooted, round_)
-        if asked is not None:
-            pairs = pairs.join(asked, ["a", "b"], "left_anti")
+            tried = asked.groupBy(F.col("p").alias("rep")).agg(F.collect_list("q").alias("asked"))
+            state = signs.select("rep", "sign").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+            proposed = stored(remaining(met.join(state.join(tried, "rep", "left"), "rep"), most))
+            if proposed.isEmpty():
+                return good, roots
+            most *= 4
+        pairs = proposed.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
         found = stored(similarity(pairs.join(side("a"), "a").join(side("b"), "b"), weight))
         new = found.where(F.col("similarity") >= least)
-        asked = found.select("a", "b") if asked is None else asked.unionByName(found.select("a", "b"))
-        good = new if good is None else good.unionByName(new)
-        if roots is not None and new.isEmpty():
-            return good, roots
-        roots, round_ = components(good), round_ + 1
+        asked = proposed if asked is None else asked.unionByName(proposed)
+        if good is None or not new.isEmpty():
+            good = new if good is None else good.unionByName(new)
+            roots = components(good)
 
 
 def classes(docs: DataFrame, least: float = 0.8, weight: str = "plain") -> DataFrame:

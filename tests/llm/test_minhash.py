@@ -70,3 +70,19 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
     want = {i: 0 for i in range(21)} | {100: 100, 101: 100, 102: 100} | {1000 + i: 1000 for i in range(200)}
     assert got == want
+
+
+def test_chunks_of_a_bucket_meet(spark, monkeypatch):
+    """Every agreeing pair of two components is named, whatever the chunks, unless it was asked before."""
+    r = np.random.default_rng(3)
+    sign, root = r.integers(0, 1 << 32, (40, minhash.COORDINATES), dtype=np.uint32), [i // 2 if i >= 20 else 0 for i in range(40)]
+    pairs = {(int(a), int(b)) for a, b in r.permutation(40).reshape(20, 2)}
+    for a, b in pairs:
+        sign[b, :100] = sign[a, :100]
+    apart = {(min(p), max(p)) for p in pairs if root[p[0]] != root[p[1]]}
+    first = min(apart)
+    rows = [(7, i, root[i], 40, bytearray(sign[i].tobytes()), [first[0]] if i == first[1] else None) for i in range(40)]
+    met = spark.createDataFrame(rows, "bucket bigint, rep bigint, root bigint, size bigint, sign binary, asked array<bigint>")
+    for chunk in (3, 7, 4096):
+        monkeypatch.setattr(minhash, "CHUNK", chunk)
+        assert {(min(x), max(x)) for x in minhash.remaining(met, 1).collect()} == apart - {first}
