@@ -72,6 +72,28 @@ def test_components(spark):
     assert got == want
 
 
+def _all_pairs(known):
+    """Class of every document by comparing all pairs."""
+    root, grams = {i: i for i in known}, {i: _shingles(t) for i, t in known.items()}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    for i in sorted(known):
+        for j in sorted(known):
+            a, b = grams[i], grams[j]
+            if i < j and len(a & b) >= 0.8 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in known}
+
+
+def _classes(spark, texts):
+    docs = frame(spark, [(i, t, "en", None, 1) for i, t in enumerate(texts)])
+    return {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()}
+
+
 def test_chunks_of_a_bucket_meet(spark, monkeypatch):
     """Every agreeing pair of two components is named, whatever the chunks, unless it was asked before."""
     r = np.random.default_rng(3)
@@ -86,3 +108,20 @@ def test_chunks_of_a_bucket_meet(spark, monkeypatch):
     for chunk in (3, 7, 4096):
         monkeypatch.setattr(minhash, "CHUNK", chunk)
         assert {(min(x), max(x)) for x in minhash.remaining(met, 1).collect()} == apart - {first}
+
+
+def test_drifting_copies_against_all_pairs(spark):
+    """Each text is near some of its group only, so the best leader is often not a link and the next ones count."""
+    texts = []
+    for group in range(12):
+        r = np.random.default_rng(100 + group)
+        made = [prose(2000 + group, 200).split()]
+        for k in range(14):
+            now = list(made[int(r.integers(0, len(made)))])
+            for at in r.choice(200, int(r.integers(2, 6)), replace=False):
+                now[at] = f"v{group}k{k}a{at}"
+            made.append(now)
+        texts += [" ".join(made[i]) for i in r.permutation(len(made))]
+    want = _all_pairs(dict(enumerate(texts)))
+    assert len(set(want.values())) > 12
+    assert _classes(spark, texts) == want
