@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, licenses, minhash, packing, perplexity, quality, token_counts, toxicity, warc
+from . import centroids, chat, decontaminate, dominance, infilling, licenses, minhash, packing, perplexity, quality, token_counts, toxicity, warc
 
 QUERIES = {}
 COMPARISON_SQL = {}
@@ -83,5 +83,25 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every usable vector."""
+    return centroids.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's fill-in-the-middle form and of the text restored from it."""
+    return infilling.digests(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return dominance.pack(_table(spark, sf_dir, "documents"))
+
+
 COMPARISON_SQL["op3_decontaminate"] = decontaminate.comparison_sql()
 COMPARISON_SQL["op6_licenses"] = licenses.comparison_sql()
+COMPARISON_SQL["op11_centroids"] = centroids.comparison_sql()
+COMPARISON_SQL["op12_infilling"] = infilling.comparison_sql()
