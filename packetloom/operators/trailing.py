@@ -5,6 +5,9 @@ included).  Instead of re-reading the frame for every row, each value adds at it
 subtracts when it leaves, and a running sum gives the answer: linear in the rows, whatever
 the rate.  Time is cut into slices of a few spans; a row that still counts in the next slice
 is copied there, so a hot key spreads over many tasks and the result stays exact.
+
+Rows of one instant are combined first (`instants`).  A stream does the same with windows that
+close when the watermark passes; from there on both share `answers`.
 """
 
 from __future__ import annotations
@@ -15,10 +18,22 @@ from pyspark.sql import functions as F
 SLICE_SPANS = 4
 
 
-def _sliced(df: DataFrame, ts: str, span: float, slice_seconds: float | None) -> DataFrame:
+def instants(df: DataFrame, keys: list[str], value: str | None, amount: Column | None, ts: str = "ts", seq: str = "pkt_id", more: tuple = ()) -> DataFrame:
+    """(more, keys, [value,] ts, seq, [__amount]): one row per key, value and instant with the lowest ``seq``."""
+    by = [*more, *keys, *([value] if value else []), ts]
+    sums = [] if value else [F.sum(amount).cast("long").alias("__amount")]
+    return df.groupBy(*by).agg(F.min(seq).alias(seq), *sums)
+
+
+def slice_length(span: float, slice_seconds: float | None = None) -> float:
     length = float(slice_seconds or span * SLICE_SPANS)
     if length < span:
         raise ValueError("a slice must be at least one span long")
+    return length
+
+
+def _sliced(df: DataFrame, ts: str, span: float, slice_seconds: float | None) -> DataFrame:
+    length = slice_length(span, slice_seconds)
     home = F.floor(F.col(ts) / length)
     # A hair longer than the span: a copy too many is harmless, rounding must not lose one.
     leaves = F.floor((F.col(ts) + F.lit(span + 1e-3)) / length)
@@ -56,17 +71,31 @@ def _answers(events: DataFrame, keys: list[str], out: str) -> DataFrame:
     )
 
 
+def answers(sliced: DataFrame, keys: list[str], value: str | None, span: float, out: str, ts: str = "ts") -> DataFrame:
+    """(keys, [value,] ts, seq, out) from `instants` that know their ``__home`` and stand in every ``__slice`` they count in.
+
+    Occurrences of one value closer than ``span`` form one presence: it opens at the first
+    and closes a span after the last.
+    """
+    if not value:
+        events = _events(sliced, ts, span, F.col("__amount"), -F.col("__amount"))
+        return _answers(events, keys, out).drop("__amount")
+    per_value = Window.partitionBy(*keys, "__slice", value).orderBy(ts)
+    before, after = F.lag(ts).over(per_value), F.lead(ts).over(per_value)
+    reach = F.lit(float(span))
+    marked = sliced.repartition(*keys, "__slice").withColumn(
+        "__opens", (before.isNull() | (before < F.col(ts) - reach)).cast("long")
+    ).withColumn("__closes", (after.isNull() | (F.col(ts) < after - reach)).cast("long"))
+    events = _events(marked, ts, span, F.col("__opens"), -F.col("__closes"))
+    return _answers(events, keys, out).drop("__opens", "__closes")
+
+
 def trailing_sum(
     df: DataFrame, keys: list[str], span: float, amount: Column, out: str = "total",
     ts: str = "ts", seq: str = "pkt_id", slice_seconds: float | None = None,
 ) -> DataFrame:
     """(keys, ts, seq, out): the sum over the frame, one row per key and instant."""
-    instants = df.groupBy(*keys, ts).agg(
-        F.sum(amount).cast("long").alias("__amount"), F.min(seq).alias(seq)
-    )
-    sliced = _sliced(instants, ts, span, slice_seconds)
-    events = _events(sliced, ts, span, F.col("__amount"), -F.col("__amount"))
-    return _answers(events, keys, out).drop("__amount")
+    return answers(_sliced(instants(df, keys, None, amount, ts, seq), ts, span, slice_seconds), keys, None, span, out, ts)
 
 
 def trailing_count(df: DataFrame, keys: list[str], span: float, out: str = "n", **options) -> DataFrame:
@@ -78,18 +107,5 @@ def trailing_distinct(
     df: DataFrame, keys: list[str], value: str, span: float, out: str = "n",
     ts: str = "ts", seq: str = "pkt_id", slice_seconds: float | None = None,
 ) -> DataFrame:
-    """(keys, value, ts, seq, out): distinct values in the frame, one row per key, value and instant.
-
-    Occurrences of one value closer than ``span`` form one presence: it opens at the first
-    and closes a span after the last.
-    """
-    seen = df.groupBy(*keys, value, ts).agg(F.min(seq).alias(seq))
-    sliced = _sliced(seen, ts, span, slice_seconds).repartition(*keys, "__slice")
-    per_value = Window.partitionBy(*keys, "__slice", value).orderBy(ts)
-    before, after = F.lag(ts).over(per_value), F.lead(ts).over(per_value)
-    reach = F.lit(float(span))
-    marked = sliced.withColumn(
-        "__opens", (before.isNull() | (before < F.col(ts) - reach)).cast("long")
-    ).withColumn("__closes", (after.isNull() | (F.col(ts) < after - reach)).cast("long"))
-    events = _events(marked, ts, span, F.col("__opens"), -F.col("__closes"))
-    return _answers(events, keys, out).drop("__opens", "__closes")
+    """(keys, value, ts, seq, out): distinct values in the frame, one row per key, value and instant."""
+    return answers(_sliced(instants(df, keys, value, None, ts, seq), ts, span, slice_seconds), keys, value, span, out, ts)

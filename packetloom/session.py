@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,7 @@ def local_session(cores: str = "8", app: str = "packetloom") -> SparkSession:
 
 _written: list[str] = []
 _own: dict[str, str] = {}
+_here = threading.local()  # the folders of the innermost `scratch` of a thread
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -46,19 +49,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A name for an intermediate table, known to `close`."""
-    _written.append(f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}")
-    return _written[-1]
+    """A name for an intermediate table, known to the `scratch` around it, else to `close`."""
+    folder = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    getattr(_here, "folders", _written).append(folder)
+    return folder
 
 
-def close(spark: SparkSession) -> None:
-    """Delete the intermediate tables that this process wrote."""
+def _delete(spark: SparkSession, folders: list[str]) -> None:
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folders.pop())
         path.getFileSystem(hadoop).delete(path, True)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Intermediate tables that this thread writes inside the block go at its end: for work that repeats, as batches of a stream."""
+    outer = getattr(_here, "folders", None)
+    _here.folders = []
+    try:
+        yield
+    finally:
+        _delete(spark, _here.folders)
+        if outer is None:
+            del _here.folders
+        else:
+            _here.folders = outer
+
+
+def close(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this process wrote."""
+    _delete(spark, _written)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate result once to the shared folder and read it back.
 

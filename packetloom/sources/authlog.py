@@ -46,5 +46,10 @@ def read(spark: SparkSession, path: str, ts: Column) -> DataFrame:
 
 
 def stream(spark: SparkSession, path: str, ts: Column) -> DataFrame:
-    """Follow a directory of log files."""
-    return parse_lines(spark.readStream.format("text").load(path).select(ts.alias("ts"), F.col("value").alias("line")))
+    """Follow the log files of a pattern (``file:///var/log/auth.log*``) while they grow and are rotated; ``ts`` is a column over
+    ``line``, ``log`` and ``offset``."""
+    from .tail import LogTail
+
+    spark.dataSource.register(LogTail)
+    lines = spark.readStream.format("log_tail").option("path", path).load()
+    return parse_lines(lines.select(ts.alias("ts"), "log", "offset", "line"))

@@ -1,26 +1,30 @@
 """Capture files (classic pcap) → frames.
 
-Two Spark stages.  The first hops from record header to record header of each file and cuts
-the file into byte ranges at record borders; the second reads the ranges in parallel.  So one
-large file spreads over many tasks, and no task holds a whole file.
+Files are cut at fixed offsets, so every range of a large file is read by a task of its own and no task walks a file.  A
+range does not know where its first record begins: it looks for a chain of plausible record headers.  Payloads may
+look like headers, so the guess is proved: a range must begin where the range before it ends, and the first range of a
+file begins behind the file header.  Ranges that do not meet are read again from where the range before them ends, until all
+meet.  Then the starts are exact, frame numbers are sums over the ranges before, and the ranges are read in parallel.
 """
 
 from __future__ import annotations
 
-import math
 import struct
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # File magic numbers (microsecond, nanosecond) and the pcapng block type.
 MAGIC_DIVISORS = {0xA1B2C3D4: 1e6, 0xA1B23C4D: 1e9}
 PCAPNG_MAGIC = bytes.fromhex("0a0d0d0a")
 _FILE_HEADER, _RECORD_HEADER = 24, 16
 
-SPLIT_SCHEMA = ("file string, reason string, start bigint, stop bigint, first_frame bigint, big_endian boolean, "
-                "divisor double, linktype bigint")
+#: A range of a file: its bytes, the first record and where the record behind the last one begins (null: none found), and its records.
+RANGE_SCHEMA = "file string, size bigint, number bigint, low bigint, high bigint, start bigint, stop bigint, records bigint"
 FRAME_SCHEMA = "file string, frame_no bigint, ts double, raw binary, wire_length bigint, linktype bigint"
 
 
@@ -61,41 +65,67 @@ def _file_format(head: bytes):
     return "not a pcap file (bad magic)", None, None, None
 
 
-def _split_files(split_bytes: int):
-    def run(batches):
-        schema = pa.schema([
-            ("file", pa.string()), ("reason", pa.string()), ("start", pa.int64()), ("stop", pa.int64()),
-            ("first_frame", pa.int64()), ("big_endian", pa.bool_()), ("divisor", pa.float64()), ("linktype", pa.int64())])
-        for batch in batches:
-            for path, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
-                rows = []
-                with _open(path) as handle:
-                    window = _Window(handle)
-                    reason, order, divisor, linktype = _file_format(window.read(0, _FILE_HEADER))
-                    if reason:
-                        rows.append((path, reason, None, None, None, None, None, None))
-                    else:
-                        at = start = _FILE_HEADER
-                        frame = first = 0
-                        while at + _RECORD_HEADER <= size:
-                            caplen = struct.unpack(order + "I", window.read(at + 8, 4))[0]
-                            if at + _RECORD_HEADER + caplen > size:
-                                break  # cut-off record: the file ends here
-                            at += _RECORD_HEADER + caplen
-                            frame += 1
-                            if at - start >= split_bytes:
-                                rows.append((path, None, start, at, first, order == ">", divisor, linktype))
-                                start, first = at, frame
-                        if at > start:
-                            rows.append((path, None, start, at, first, order == ">", divisor, linktype))
-                columns = list(zip(*rows)) if rows else [[] for _ in schema]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+#: Plausible headers in a row that make a record border, and the largest record looked for.
+CHAIN, LARGEST = 8, 1 << 20
+
+
+def _field(data: np.ndarray, at: np.ndarray, order: str) -> np.ndarray:
+    """Unsigned 32-bit numbers at any positions."""
+    parts = [data[at + k].astype(np.int64) for k in (range(4) if order == ">" else range(3, -1, -1))]
+    return ((parts[0] << 24) | (parts[1] << 16)) | ((parts[2] << 8) | parts[3])
 
-    return run
 
+def _plausible(data: np.ndarray, at: np.ndarray, order: str, divisor: float) -> np.ndarray:
+    """Could a record header stand there?  A wrong yes costs a second reading, a wrong no only time."""
+    fraction, caplen, wire = (_field(data, at + k, order) for k in (4, 8, 12))
+    return (fraction < divisor) & (caplen <= LARGEST) & (wire <= LARGEST) & (caplen <= wire) & (wire > 0)
 
-def _read_splits(batch_rows: int = 4096):
+
+def _first_record(window: _Window, low: int, high: int, size: int, order: str, divisor: float) -> int | None:
+    """First position in [low, high) from which a chain of plausible records runs ``CHAIN`` records far or to the file's end."""
+    step = 1 << 20
+    for begin in range(low, high, step):
+        end = min(begin + step, high)
+        data = np.frombuffer(window.read(begin, min(end - begin + _RECORD_HEADER, size - begin)), np.uint8)
+        places = np.arange(max(0, min(end - begin, len(data) - _RECORD_HEADER + 1)))
+        for p in places[_plausible(data, places, order, divisor)] if len(places) else ():
+            at, length = begin + int(p), 0
+            while length < CHAIN and at + _RECORD_HEADER <= size:
+                head = np.frombuffer(window.read(at, _RECORD_HEADER), np.uint8)
+                if not _plausible(head, np.zeros(1, np.int64), order, divisor)[0]:
+                    break
+                at += _RECORD_HEADER + struct.unpack(order + "I", head[8:12].tobytes())[0]
+                length += 1
+            if length and (length == CHAIN or at >= size):
+                return begin + int(p)
+    return None
+
+
+def _measure_ranges(batches):
+    """Fill start, stop and records of ranges; a given start is kept."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            with _open(r["file"]) as handle:
+                window = _Window(handle)
+                reason, order, divisor, _ = _file_format(window.read(0, _FILE_HEADER))
+                start = r["start"]
+                if reason is None and start is None:
+                    start = _FILE_HEADER if r["number"] == 0 else _first_record(window, r["low"], r["high"], r["size"], order, divisor)
+                at, records = start, 0
+                while reason is None and at is not None and at < r["high"] and at + _RECORD_HEADER <= r["size"]:
+                    caplen = struct.unpack(order + "I", window.read(at + 8, 4))[0]
+                    if at + _RECORD_HEADER + caplen > r["size"]:
+                        break  # cut-off record: the file ends here
+                    at += _RECORD_HEADER + caplen
+                    records += 1
+            if reason is None:
+                out.append({**r, "start": start, "stop": at, "records": records})
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
+
+
+def _read_ranges(batch_rows: int = 4096):
     schema = pa.schema([("file", pa.string()), ("frame_no", pa.int64()), ("ts", pa.float64()), ("raw", pa.binary()),
                         ("wire_length", pa.int64()), ("linktype", pa.int64())])
 
@@ -105,15 +135,15 @@ def _read_splits(batch_rows: int = 4096):
 
     def run(batches):
         for batch in batches:
-            for split in batch.to_pylist():
-                order = ">" if split["big_endian"] else "<"
-                rows, at, frame = [], split["start"], split["first_frame"]
-                with _open(split["file"]) as handle:
+            for part in batch.to_pylist():
+                rows, at, frame = [], part["start"], part["first_frame"]
+                with _open(part["file"]) as handle:
                     window = _Window(handle)
-                    while at < split["stop"]:
+                    _, order, divisor, linktype = _file_format(window.read(0, _FILE_HEADER))
+                    for _ in range(part["records"]):
                         sec, frac, caplen, wire = struct.unpack(order + "IIII", window.read(at, _RECORD_HEADER))
                         data = window.read(at + _RECORD_HEADER, caplen)
-                        rows.append((split["file"], frame, sec + frac / split["divisor"], data, wire, split["linktype"]))
+                        rows.append((part["file"], frame, sec + frac / divisor, data, wire, linktype))
                         at += _RECORD_HEADER + caplen
                         frame += 1
                         if len(rows) == batch_rows:
@@ -136,18 +166,36 @@ def _reasons(batches):
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(reasons, pa.string())], schema=schema)
 
 
-def _splits(spark: SparkSession, path: str, split_bytes: int) -> tuple[DataFrame, int]:
-    files = spark.read.format("binaryFile").load(path).select("path", "length")  # content is not read
-    total = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
-    splits = files.repartition(max(total["n"], 1)).mapInArrow(_split_files(split_bytes), SPLIT_SCHEMA)
-    return splits, max(math.ceil(total["bytes"] / split_bytes), total["n"], 1)
+def _dealt(ranges: DataFrame, tasks: int) -> DataFrame:
+    return ranges.repartition(tasks, "file", "number") if tasks > 1 else ranges
+
+
+def file_ranges(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> tuple[DataFrame, int]:
+    """(ranges of all readable files with exact starts, tasks to read them with)."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("size"))  # content is not read
+    cut = files.filter("size > 0").withColumn("number", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / split_bytes))))
+    blank = F.lit(None).cast("bigint")
+    cut = cut.select("file", "size", "number", (F.col("number") * split_bytes).alias("low"), F.least((F.col("number") + 1) * split_bytes, F.col("size")).alias("high"),
+                     blank.alias("start"), blank.alias("stop"), blank.alias("records"))
+    tasks = min(max(cut.count(), 1), 10_000)
+    known = materialize(_dealt(cut, tasks).mapInArrow(_measure_ranges, RANGE_SCHEMA))
+    while True:
+        before = F.lag("stop").over(Window.partitionBy("file").orderBy("number"))  # one small row for each range
+        joined = known.withColumn("before", before)
+        broken = joined.filter("number > 0 AND NOT start <=> before")
+        if broken.isEmpty():
+            return known, tasks
+        # only ranges behind one that meets its own predecessor are sure to get the right start; the others come in later rounds
+        fixed = _dealt(broken.select("file", "size", "number", "low", "high", F.col("before").alias("start"), blank.alias("stop"), blank.alias("records")), tasks)
+        known = materialize(joined.filter("number = 0 OR start <=> before").drop("before").unionByName(fixed.mapInArrow(_measure_ranges, RANGE_SCHEMA)))
 
 
 def read_frames(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
     """Frames of every readable capture file under ``path``."""
-    splits, tasks = _splits(spark, path, split_bytes)
-    usable = splits.filter("reason IS NULL").repartition(tasks)
-    return usable.mapInArrow(_read_splits(), FRAME_SCHEMA)
+    ranges, tasks = file_ranges(spark, path, split_bytes)
+    earlier = Window.partitionBy("file").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = ranges.withColumn("first_frame", F.coalesce(F.sum("records").over(earlier), F.lit(0)))
+    return _dealt(numbered.filter("records > 0"), tasks).mapInArrow(_read_ranges(), FRAME_SCHEMA)
 
 
 def rejected_files(spark: SparkSession, path: str) -> DataFrame:

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 from ..operators import monitor
 from ..operators.cooldown import cooldown
-from ..session import materialize
+from ..session import materialize, scratch
 from ..sources import tables
+from .store import Kept, put, recent, whole
 
 #: The longest look-back of a cycle: activity; the spike baseline needs less.
 LOOK_BACK = 900.0
-PROGRESS = "first bigint, last bigint"
+PROGRESS = "name string, first bigint, last bigint"
+_TIMES = {"packets": "ts", "auth_events": "ts", "alerts": "ts", "traffic_windows": "window_start"}
 
 
 def merged(packets: DataFrame, logins: DataFrame) -> DataFrame:
@@ -28,60 +30,54 @@ def merged(packets: DataFrame, logins: DataFrame) -> DataFrame:
 
 
 def _put(df: DataFrame, root: str, table: str, batch: int) -> None:
-    day = F.col(tables.DATED[table]) if table in tables.DATED else None
-    folder = f"{root}/{table}/batch={batch}"
-    if day is None:
-        df.write.mode("overwrite").parquet(folder)
-    else:
-        df.withColumn("day", tables.day_of(day)).write.mode("overwrite").partitionBy("day").parquet(folder)
+    put(df.select(*[c.split()[0] for c in tables.SCHEMAS[table].split(", ")]), root, table, batch, _TIMES[table])
 
 
-def stored(spark: SparkSession, root: str, table: str, schema: str | None = None) -> DataFrame:
+def _recent(spark: SparkSession, root: str, table: str, low: float, high: float, batch: int) -> DataFrame:
+    return recent(spark, root, table, tables.SCHEMAS[table], low, high, batch, _TIMES[table])
+
+
+def stored(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A table of the monitor with the number of the batch; empty where nothing was written yet."""
-    schema = (schema or tables.SCHEMAS[table]) + ", batch bigint" + (", day date" if table in tables.DATED else "")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
-    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return spark.read.schema(schema).parquet(f"{root}/{table}")
-    return spark.createDataFrame([], schema)
+    return whole(spark, root, table, tables.SCHEMAS[table])
 
 
-def _recent(spark: SparkSession, root: str, table: str, low: float, high: float, batch: int) -> DataFrame:
-    """Rows of a time span: the day prunes folders, the time prunes row groups."""
-    df = stored(spark, root, table).filter(F.col("batch") <= batch)
-    return df.filter((F.col("day") >= tables.day_of(F.lit(low))) & F.col("ts").between(low, high))
+def _reputation(spark: SparkSession, root: str) -> Kept:
+    return Kept(spark, f"{root}/ip_reputation", ["ip"], tables.SCHEMAS["ip_reputation"])
 
 
 def reputation_before(spark: SparkSession, root: str, batch: int) -> DataFrame:
     """Every address as the newest earlier batch left it."""
-    rows = stored(spark, root, "ip_reputation").filter(F.col("batch") < batch)
-    fields = ["score", "first_seen", "last_seen", "blocklisted", "notes"]
-    return rows.groupBy("ip").agg(F.max_by(F.struct(*fields), "batch").alias("r")).select("ip", "r.*")
+    return _reputation(spark, root).before(batch)
 
 
 def run_cycles(spark: SparkSession, root: str, blocklist: DataFrame, batch: int, newest: float, oldest: float, slide: float = 15,
                quiet: float = 300, minimum: str = "medium", **options) -> None:
     """All cycles before the newest row that earlier batches have not handled."""
-    done = stored(spark, root, "progress", PROGRESS).filter(F.col("batch") < batch).agg(F.min("first"), F.max("last")).first()
-    first = -int(-oldest // slide) if done[0] is None else done[0]
-    low, high = (first if done[1] is None else done[1] + 1), -int(-newest // slide) - 1
+    progress = Kept(spark, f"{root}/progress", ["name"], PROGRESS)
+    progress.compact(batch)
+    done = progress.before(batch).first()
+    first = -int(-oldest // slide) if done is None else done["first"]
+    low, high = (first if done is None else done["last"] + 1), -int(-newest // slide) - 1
     if high < low:
         return
-    packets, logins = (_recent(spark, root, t, low * slide - LOOK_BACK, high * slide, batch) for t in ("packets", "auth_events"))
-    findings, after = monitor.detection_cycles(packets, logins, blocklist, low, high, first, reputation_before(spark, root, batch), slide, **options)
+    packets, logins = (_recent(spark, root, t, low * slide - LOOK_BACK, high * slide, batch + 1) for t in ("packets", "auth_events"))
+    reputation = _reputation(spark, root)
+    reputation.compact(batch)
+    findings, after = monitor.detection_cycles(packets, logins, blocklist, low, high, first, reputation.before(batch), slide, **options)
     new = findings.filter(monitor.monitor_rank(F.col("severity")) >= monitor.MONITOR_SCALE[minimum]).select(*monitor.FINDING_COLUMNS, F.lit(True).alias("new"))
     # alerts of the last cooldown begin the chains: a finding after one of them counts from there
-    old = stored(spark, root, "alerts").filter((F.col("batch") < batch) & (F.col("ts") > low * slide - quiet))
+    old = _recent(spark, root, "alerts", low * slide - quiet, high * slide, batch)
     rows = new.unionByName(old.select(*monitor.FINDING_COLUMNS, F.lit(False).alias("new"))).withColumn("id", F.xxhash64("kind", "src_ip", "ts", "title"))
     alerts = cooldown(rows, ["kind", "src_ip"], quiet, seq="id").filter("new").withColumn("notified", F.lit(False))
-    names = lambda table: [c.split()[0] for c in tables.SCHEMAS[table].split(", ")]
-    _put(alerts.select(*names("alerts")), root, "alerts", batch)
-    _put(after.select(*names("ip_reputation")), root, "ip_reputation", batch)
+    _put(alerts, root, "alerts", batch)
+    reputation.change(batch, after)
     counted = monitor.cycle_copies(packets, 60, slide, ["src_ip"], n=F.count("*"), size=F.sum("length")).groupBy("cycle").agg(
         F.sum("n").alias("n"), F.sum("size").alias("size"), F.count_distinct("src_ip").alias("sources"))
     grid = spark.range(low, high + 1).join(counted, F.col("id") == F.col("cycle"), "left")
     _put(grid.select((F.col("id") * slide - 60.0).alias("window_start"), (F.col("id") * float(slide)).alias("window_end"), F.coalesce("n", F.lit(0)).alias("packet_count"),
                      F.coalesce("size", F.lit(0)).cast("bigint").alias("byte_count"), F.coalesce("sources", F.lit(0)).alias("unique_sources")), root, "traffic_windows", batch)
-    _put(spark.range(1).select(F.lit(first).cast("bigint").alias("first"), F.lit(high).cast("bigint").alias("last")), root, "progress", batch)
+    progress.change(batch, spark.createDataFrame([("cycles", first, high)], PROGRESS))
 
 
 def cycle_sink(root: str, blocklist: DataFrame, **options):
@@ -90,11 +86,11 @@ def cycle_sink(root: str, blocklist: DataFrame, **options):
         if batch.isEmpty():
             return
         spark = batch.sparkSession
-        rows = materialize(batch)
-        columns = lambda table: [c.split()[0] for c in tables.SCHEMAS[table].split(", ")]
-        _put(rows.filter("success IS NULL").select(*columns("packets")), root, "packets", number)
-        _put(rows.filter("success IS NOT NULL").select(*columns("auth_events")), root, "auth_events", number)
-        ends = rows.agg(F.max("ts"), F.min("ts")).first()
-        run_cycles(spark, root, blocklist, number, ends[0], ends[1], **options)
+        with scratch(spark):
+            rows = materialize(batch)
+            _put(rows.filter("success IS NULL"), root, "packets", number)
+            _put(rows.filter("success IS NOT NULL"), root, "auth_events", number)
+            ends = rows.agg(F.max("ts"), F.min("ts")).first()
+            run_cycles(spark, root, blocklist, number, ends[0], ends[1], **options)
 
     return sink

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import syn_only_text
+from .store import Kept
 
 
 def with_event_time(df: DataFrame, delay: str = "60 seconds", ts: str = "ts") -> DataFrame:
@@ -58,6 +59,21 @@ def alerts_per_bucket(alerts: DataFrame, bucket: str = "300 seconds") -> DataFra
     return counted.select((F.unix_timestamp("window.start") * 1000).alias("time"), "kind", "total")
 
 
+TOTALS = "protocol string, packets bigint, bytes bigint"
+
+
 def running_totals(packets: DataFrame) -> DataFrame:
     """Totals for a live view; use with the update or complete output mode."""
     return packets.groupBy("protocol").agg(F.count("*").alias("packets"), F.sum("length").cast("long").alias("bytes"))
+
+
+def totals_sink(root: str):
+    """``foreachBatch`` function for `running_totals` in update mode: the changed rows of a trigger replace those of their key in
+    the table under ``root/totals``, which a live view reads as ``Kept(...).before(...)``."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        table = Kept(batch.sparkSession, f"{root}/totals", ["protocol"], TOTALS)
+        table.compact(number)
+        table.change(number, batch)
+
+    return sink
