@@ -16,12 +16,12 @@ and proposes the one it agrees with most; it becomes a leader itself unless that
 bucket of near copies gives one proposal for each, not all pairs.  Proposals are compared exactly, by the shingles
 of the whole texts; those of similarity 0.8 or more are links.
 
-Then buckets whose nodes do not all hang together yet are read again, every node against all nodes of other
-components, for the best partners that were not asked before: one for each node, then four, sixteen and so on, so that
-many links need few comparisons.  It ends when no bucket has two nodes left that agree enough, hang apart and were not
-compared.  So the result does not depend on who leads.  Buckets over ``CHUNK`` nodes are cut into chunks, which for the first
-reading get the bucket's first leader each and afterwards are compared two by two; so no bucket is one task, and no
-pair is left out.
+Then buckets whose nodes do not all hang together yet are settled in one pass, every node against all nodes of other
+components: with the nodes come their shingles, so a task compares exactly whatever agrees enough, joins components as it
+finds links, and hands on only the links that join something - fewer rows than nodes.  A pair is looked at in the first
+bucket it shares, if its numbers of shingles allow 0.8 at all.  Large buckets are cut into chunks of about
+``CHUNK_SHINGLES`` shingles that meet two by two, so no bucket is one task and no pair is left out.  Arithmetic on
+signatures grows with the square of what stays apart in a bucket; exact comparisons are only made for pairs that agree.
 
 Defined cases: null and empty texts are equal to each other and make one class; texts under five words match equal
 texts only; repeated rows belong to one class and stay rows; rows without an id get no class (null); an empty table
@@ -43,6 +43,7 @@ from .components import components
 WORDS, BANDS, ROWS = 5, 25, 5
 COORDINATES = BANDS * ROWS
 CHUNK = 4096  # nodes of a bucket that one task reads in a row; changes no result
+CHUNK_SHINGLES = 1 << 20  # shingles of the nodes of a chunk when buckets are settled; changes no result
 #: Shares of agreeing coordinates: below ASK a pair of similarity 0.8 is four deviations off, above SURE a node needs no leader of its own.
 ASK, SURE = 0.66, 0.9
 _FIRST = 2.0**-6  # mean number of darts of a unit of weight in the lowest band of ranks
@@ -121,8 +122,8 @@ def signatures(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
 
 
 def sketch(docs: DataFrame, weight: str = "plain") -> DataFrame:
-    """(doc_id, content, buckets, sign): a digest of the text, the bucket key of every band (none under five words) and
-    32 bits of every coordinate."""
+    """(doc_id, content, buckets, sign, n): a digest of the text, the bucket key of every band (none under five words),
+    16 bits of every coordinate and the number of shingles."""
 
     def make():
         powers = ts.Powers()
@@ -139,13 +140,14 @@ def sketch(docs: DataFrame, weight: str = "plain") -> DataFrame:
             keys = ts.mix(keys + np.arange(BANDS, dtype=np.uint64), 14).astype(np.int64)
             offsets = np.concatenate(([0], np.cumsum(np.where(has, BANDS, 0))))
             buckets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys[has].ravel()))
-            short = (sign >> np.uint64(32)).astype(np.uint32)
+            short = (sign >> np.uint64(48)).astype(np.uint16)
             signs = pa.array([short[i].tobytes() if has[i] else None for i in range(n)], pa.binary())
-            return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("content"), buckets, signs], ["doc_id", "content", "buckets", "sign"])
+            size = pa.array(np.bincount(text, weights=times if weight == "count" else None, minlength=n).astype(np.int64))
+            return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("content"), buckets, signs, size], ["doc_id", "content", "buckets", "sign", "n"])
         return one
 
     given = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("content"), "text")
-    return ts.map_texts(given, make, "doc_id bigint, content string, buckets array<bigint>, sign binary", limit=ts.BLOCK_BYTES // 2)
+    return ts.map_texts(given, make, "doc_id bigint, content string, buckets array<bigint>, sign binary, n bigint", limit=ts.BLOCK_BYTES // 2)
 
 
 def similarity(pairs: DataFrame, weight: str = "plain") -> DataFrame:
@@ -180,12 +182,12 @@ def propose(met: DataFrame) -> DataFrame:
     rows = dealt.unionByName(first.withColumn("company", F.lit(1 << 62)))
 
     def task(batches):
-        here, led, n = None, np.zeros((16, COORDINATES), np.uint32), 0
+        here, led, n = None, np.zeros((16, COORDINATES), np.uint16), 0
         reps = np.zeros(16, np.int64)
         for batch in batches:
             found = []
             keys = zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk")))
-            signs = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column("sign")]
+            signs = [np.frombuffer(x.as_py(), np.uint16) for x in batch.column("sign")]
             for key, rep, sign in zip(keys, batch.column("rep").to_pylist(), signs):
                 if key != here:
                     here, n = key, 0
@@ -213,105 +215,143 @@ def _agreement(signs: np.ndarray, sign: np.ndarray) -> np.ndarray:
     return ((eights * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64) - (128 - COORDINATES)
 
 
-def remaining(met: DataFrame, most: int) -> DataFrame:
-    """(p, q): for nodes (bucket, rep, root, size, sign, asked) the pairs of different roots that share a bucket, agree
-    enough and were not asked before; of every node the `most` best in a block.  It is empty only if no such pair is left.
+def elements(texts: DataFrame, weight: str = "plain") -> DataFrame:
+    """(rep, shingles) of rows (rep, text): the sorted shingles as numbers; of multisets the k-th of equal ones has a number of its own."""
+    def make():
+        powers = ts.Powers()
 
-    A bucket over ``CHUNK`` nodes is cut into chunks, those of its largest component apart from the others, and every
-    two chunks that can hold nodes of different roots are one block, so each pair meets in some block."""
-    of_root = met.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        def one(rows):
+            text, shingle, times = shingles(rows.column("text"), powers)
+            if weight == "count":
+                text, shingle, repeat = (np.repeat(x, times) for x in (text, shingle, times))
+                nth = np.arange(len(text)) - np.repeat(np.cumsum(times) - times, times)
+                shingle = np.where(nth > 0, ts.mix(shingle + nth.astype(np.uint64), 9) >> np.uint64(12), shingle)
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=rows.num_rows))))
+            return pa.RecordBatch.from_arrays([rows.column("rep"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(shingle.astype(np.int64)))],
+                                              ["rep", "shingles"])
+        return one
+
+    return ts.map_texts(texts.select("rep", "text"), make, "rep bigint, shingles array<bigint>", limit=ts.BLOCK_BYTES // 2)
+
+
+def _settle(bucket: int, split: int, rep, root, buckets, signs, flat, ends, least: float):
+    """(a, b, similarity) of links that join components, among the nodes of one block; pairs are taken between the first
+    `split` nodes and those behind them, or among all if `split` is 0."""
+    n = len(rep)
+    label = np.unique(root, return_inverse=True)[1]
+    begins = np.concatenate(([0], ends[:-1]))
+    size = ends - begins
+    ids = np.unique(flat, return_inverse=True)[1]
+    mark = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
+    band = int(np.flatnonzero(buckets[0] == bucket)[0])
+    for i in range(split or n):
+        start = split or i + 1
+        apart = (label[start:] != label[i]) & (size[start:] >= least * size[i] - 1e-9) & (size[i] >= least * size[start:] - 1e-9)
+        some = np.flatnonzero(apart) + start
+        agree = _agreement(signs[some], signs[i])
+        some, agree = some[agree >= ASK * COORDINATES], agree[agree >= ASK * COORDINATES]
+        first = (buckets[some] == buckets[i]).argmax(axis=1) == band  # the first bucket they share
+        some = some[first][np.argsort(-agree[first], kind="stable")]
+        if not len(some):
+            continue
+        mark[ids[begins[i]:ends[i]]] = True
+        lot = 8
+        while len(some):
+            now, some = some[:lot], some[lot:]
+            lot = min(4 * lot, 4096)
+            at = np.repeat(begins[now] - np.cumsum(size[now]) + size[now], size[now]) + np.arange(int(size[now].sum()))
+            shared = np.add.reduceat(mark[ids[at]].astype(np.int64), np.cumsum(size[now]) - size[now])
+            similar = shared / (size[now] + size[i] - shared)
+            for j in np.flatnonzero(similar >= least):
+                if label[now[j]] != label[i]:
+                    label[label == label[now[j]]] = label[i]
+                    yield int(rep[i]), int(rep[now[j]]), float(similar[j])
+            some = some[label[some] != label[i]]
+        mark[ids[begins[i]:ends[i]]] = False
+
+
+def settled(met: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame, least: float = 0.8, weight: str = "plain") -> DataFrame:
+    """(a, b, similarity): links between nodes of different roots, enough to join all that a bucket's links join.
+
+    met: (rep, bucket); nodes: (rep, sign, buckets, n); texts: (rep, text); roots: (node, root).  Nodes of a bucket's largest
+    component stand apart from the others, as they need not meet each other."""
+    at = roots.select(F.col("node").alias("rep"), "root")
+    state = nodes.join(at, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    placed = stored(met.join(state.select("rep", "root", "n"), "rep"))
+    of_root = placed.groupBy("bucket", "root").agg(F.sum("n").alias("n"))
     shape = of_root.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    chunks = lambda n: F.ceil(n / CHUNK).cast("int")
-    whole = F.col("all") <= CHUNK
+    chunks = lambda n: F.ceil(n / CHUNK_SHINGLES).cast("int")
+    whole = F.col("all") <= CHUNK_SHINGLES
     shape = shape.select("bucket", F.col("main.root").alias("main"), F.when(whole, 1).otherwise(chunks(F.col("all") - F.col("main.n"))).alias("others"),
                          F.when(whole, 0).otherwise(chunks(F.col("main.n"))).alias("mains"))
     spread = F.xxhash64("rep", "bucket")
     of_main = (F.col("root") == F.col("main")) & (F.col("mains") > 0)
     chunk = F.when(of_main, F.col("others") + F.pmod(spread, F.col("mains"))).otherwise(F.pmod(spread, F.col("others"))).cast("int")
-    dealt = met.join(shape, "bucket").withColumn("chunk", chunk).withColumn(
+    dealt = stored(placed.join(shape, "bucket").withColumn("chunk", chunk).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("others") + F.when(of_main, 0).otherwise(F.col("mains")) - 1)))
-    rows = dealt.select("bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "rep", "root", "sign", "asked")
-
-    def compare(key, chunk, rep, root, signs, asked):
-        """Pairs of one block; rows are ordered by chunk."""
-        _, x, y = key
-        rep, root = np.array(rep, np.int64), np.array(root, np.int64)
-        wide = np.zeros((len(rep), 128), np.uint32)
-        wide[:, :COORDINATES] = np.frombuffer(b"".join(signs), np.uint32).reshape(-1, COORDINATES)
-        asked = [set(k) if k else () for k in asked]
-        left = len(rep) if x == y else int(np.searchsorted(np.array(chunk), y))
-        if (root == root[0]).all():
-            return
-        for i in range(left):
-            start = i + 1 if x == y else left
-            agree = _agreement(wide[start:], wide[i])
-            some = np.flatnonzero((agree >= ASK * COORDINATES) & (root[start:] != root[i]))
-            if not len(some):
-                continue
-            me, mine = int(rep[i]), asked[i]
-            count = 0
-            for j in some[np.argsort(-agree[some], kind="stable")] + start:
-                you = int(rep[j])
-                if you not in mine and me not in asked[j]:
-                    yield me, you
-                    count += 1
-                    if count == most:
-                        break
+        .select("bucket", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "rep", "root"))
+    wanted = dealt.select("rep").distinct()
+    known = nodes.join(elements(texts.join(wanted, "rep", "left_semi"), weight), "rep").select("rep", "sign", "buckets", "shingles")
+    rows = dealt.join(known, "rep")
 
     def task(batches):
-        here, block = None, ([], [], [], [], [])
-
-        def pairs():
-            found = list(compare(here, *block)) if len(block[0]) > 1 else []
-            return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["p", "q"])] if found else []
+        here, block = None, []
+
+        def joined():
+            if len({b[1] for b in block}) < 2:
+                return
+            _, x, y = here
+            rep, root = (np.array([b[k] for b in block], np.int64) for k in (0, 1))
+            wide = np.zeros((len(block), 128), np.uint16)
+            wide[:, :COORDINATES] = np.frombuffer(b"".join(b[3] for b in block), np.uint16).reshape(-1, COORDINATES)
+            flat, ends = np.concatenate([b[5] for b in block]), np.cumsum([len(b[5]) for b in block])
+            split = 0 if x == y else sum(b[2] == x for b in block)
+            if x != y and split in (0, len(block)):
+                return
+            yield from _settle(here[0], split, rep, root, np.stack([b[4] for b in block]), wide, flat, ends, least)
+
+        def links():
+            found = list(joined())
+            return [pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c)], ["a", "b", "similarity"])
+                    for a, b, c in [zip(*found)]] if found else []
+
+        def lists(column):
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+            return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y")))
-            rows = zip(*(batch.column(c).to_pylist() for c in ("chunk", "rep", "root", "sign", "asked")))
-            for key, row in zip(keys, rows):
+            columns = [batch.column(c).to_pylist() for c in ("rep", "root", "chunk", "sign")]
+            for key, *row in zip(keys, *columns, lists(batch.column("buckets")), lists(batch.column("shingles"))):
                 if key != here:
-                    yield from pairs()
-                    here, block = key, ([], [], [], [], [])
-                for held, value in zip(block, row):
-                    held.append(value)
-        yield from pairs()
+                    yield from links()
+                    here, block = key, []
+                block.append(row)
+        yield from links()
 
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartition(parts, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "chunk", "rep")
-    return ordered.mapInArrow(task, "p bigint, q bigint").distinct()
+    return ts.modest_batches(ordered).mapInArrow(task, "a bigint, b bigint, similarity double")
 
 
 def links(docs: DataFrame, nodes: DataFrame, least: float = 0.8, weight: str = "plain") -> tuple[DataFrame, DataFrame]:
-    """(a, b, similarity) of verified links between nodes (doc_id, content, buckets, sign), and (node, root) of what they join."""
+    """(a, b, similarity) of verified links between nodes (doc_id, content, buckets, sign, n), and (node, root) of what they join."""
     spread = nodes.select(F.col("doc_id").alias("rep"), F.explode("buckets").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     met = stored(spread.join(shared, "bucket").distinct())
     company = met.groupBy("rep").agg(F.sum("size").alias("company"))
-    signs = nodes.select(F.col("doc_id").alias("rep"), "content", "sign").join(company, "rep")
+    signs = nodes.select(F.col("doc_id").alias("rep"), "content", "sign", "buckets", "n").join(company, "rep")
     signs = stored(signs.dropDuplicates(["rep"]))
     content = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("content")
     wanted = signs.select(F.col("rep").alias("doc_id"), "content")
-    texts = stored(docs.select("doc_id", "text", content).join(wanted, ["doc_id", "content"]).select("doc_id", "text").dropDuplicates(["doc_id"]))
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    full = met.join(signs.select("rep", "company", "sign"), "rep")
-    asked, good, roots, most = None, None, None, 1
-    while True:
-        if roots is None:
-            proposed = stored(propose(full))
-        else:
-            tried = asked.groupBy(F.col("p").alias("rep")).agg(F.collect_list("q").alias("asked"))
-            state = signs.select("rep", "sign").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-            proposed = stored(remaining(met.join(state.join(tried, "rep", "left"), "rep"), most))
-            if proposed.isEmpty():
-                return good, roots
-            most *= 4
-        pairs = proposed.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        found = stored(similarity(pairs.join(side("a"), "a").join(side("b"), "b"), weight))
-        new = found.where(F.col("similarity") >= least)
-        asked = proposed if asked is None else asked.unionByName(proposed)
-        if good is None or not new.isEmpty():
-            good = new if good is None else good.unionByName(new)
-            roots = components(good)
+    texts = stored(docs.select("doc_id", "text", content).join(wanted, ["doc_id", "content"]).select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]))
+    side = lambda c: texts.select(F.col("rep").alias(c), F.col("text").alias(f"text_{c}"))
+    proposed = propose(met.join(signs.select("rep", "company", "sign"), "rep"))
+    pairs = proposed.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    good = stored(similarity(pairs.join(side("a"), "a").join(side("b"), "b"), weight).where(F.col("similarity") >= least))
+    rest = stored(settled(met.select("rep", "bucket"), signs.select("rep", "sign", "buckets", "n"), texts, components(good), least, weight))
+    good = good.unionByName(rest)
+    return good, components(good)
 
 
 def classes(docs: DataFrame, least: float = 0.8, weight: str = "plain") -> DataFrame:

@@ -6,7 +6,8 @@ the score between both is added to the loss, so that the model cannot lean on wh
 neutral mentions are not rejected.
 
 Fitting uses at most about ``fit_rows`` labelled rows (a documented sample chosen by a hash of the id; all rows
-where there are fewer).  Scoring reads every whole text once, without a shuffle.
+where there are fewer) and runs in one task; the driver gets the weights.  Scoring reads every whole text once,
+without a shuffle.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept; repeated rows are scored
 once each; with no labelled row the score is 0 everywhere; labels with a null id or mark are not used, of several
@@ -146,25 +147,34 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0,
                 [rows.column("toxic"), lists(texts), differs, pc.if_else(differs, swapped, empty)], ["toxic", "forms", "named", "swapped"])
         return one
 
-    got = ts.map_texts(sample, make, "toxic double, forms array<int>, named boolean, swapped array<int>").toArrow().combine_chunks()
-    if not got.num_rows:
-        return {"weights": np.zeros(2**BITS, np.float32), "bias": -40.0}
-
     def rows(column) -> Sparse:
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
         return Sparse(np.repeat(np.arange(len(column), dtype=np.int32), counts), column.flatten().to_numpy(zero_copy_only=False), len(column))
 
-    named = np.flatnonzero(got.column("named").to_numpy())
-    swapped = got.column("swapped").take(pa.array(named))
-    weights, bias = fit_weights(rows(got.column("forms")), got.column("toxic").to_numpy(), rows(swapped), named, penalty)
-    del got, swapped
-    pa.default_memory_pool().release_unused()
-    return {"weights": weights, "bias": bias}
+    def fit_all(batches):
+        held = [batch for batch in batches if batch.num_rows]
+        if held:
+            got = pa.Table.from_batches(held).combine_chunks()
+            column = lambda name: got.column(name).chunk(0)
+            named = np.flatnonzero(column("named").to_numpy(zero_copy_only=False))
+            swapped = column("swapped").take(pa.array(named))
+            weights, bias = fit_weights(rows(column("forms")), column("toxic").to_numpy(), rows(swapped), named, penalty)
+            used = np.flatnonzero(weights)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(weights[used], bias), pa.float64())], ["bucket", "weight"])
+
+    seen = ts.map_texts(sample, make, "toxic double, forms array<int>, named boolean, swapped array<int>")
+    # at most about fit_rows rows meet in one task, in the order of their marks so that sums do not depend on their arrival
+    got = seen.repartition(1).sortWithinPartitions("toxic", "forms").mapInArrow(fit_all, "bucket int, weight double").toArrow()
+    weights = np.zeros(2**BITS, np.float32)
+    if not got.num_rows:
+        return {"weights": weights, "bias": -40.0}
+    bucket, weight = (got.column(c).to_numpy() for c in ("bucket", "weight"))
+    weights[bucket[bucket >= 0]] = weight[bucket >= 0]
+    return {"weights": weights, "bias": float(weight[bucket < 0][0])}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """Every row with a `score`: what it has of doc_id and text, then the score."""
+def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """Every row with all its columns and its score under a name that must be free."""
     used = np.flatnonzero(model["weights"])
     values, bias = model["weights"][used], model["bias"]
 
@@ -175,10 +185,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         def one(rows):
             text, bucket = presence(rows.column("text"), powers)
             out = sigmoid(np.bincount(text, weights=weights[bucket], minlength=rows.num_rows) + bias)
-            return rows.append_column("score", pa.array(out))
+            return rows.append_column(name, pa.array(out))
         return one
 
-    return ts.map_texts(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double")
+    return ts.map_texts(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, fit_rows: int = 8000,

@@ -94,20 +94,42 @@ def _classes(spark, texts):
     return {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()}
 
 
-def test_chunks_of_a_bucket_meet(spark, monkeypatch):
-    """Every agreeing pair of two components is named, whatever the chunks, unless it was asked before."""
+def _roots(links, root):
+    """Roots after joining links."""
+    now = dict(root)
+    for a, b in links:
+        x, y = now[a], now[b]
+        now = {i: min(x, y) if r in (x, y) else r for i, r in now.items()}
+    return now
+
+
+def test_settled_buckets_join_what_links_join(spark, monkeypatch):
+    """Links between components are found whatever the chunks, and no more links than join something."""
     r = np.random.default_rng(3)
-    sign, root = r.integers(0, 1 << 32, (40, minhash.COORDINATES), dtype=np.uint32), [i // 2 if i >= 20 else 0 for i in range(40)]
-    pairs = {(int(a), int(b)) for a, b in r.permutation(40).reshape(20, 2)}
-    for a, b in pairs:
-        sign[b, :100] = sign[a, :100]
-    apart = {(min(p), max(p)) for p in pairs if root[p[0]] != root[p[1]]}
-    first = min(apart)
-    rows = [(7, i, root[i], 40, bytearray(sign[i].tobytes()), [first[0]] if i == first[1] else None) for i in range(40)]
-    met = spark.createDataFrame(rows, "bucket bigint, rep bigint, root bigint, size bigint, sign binary, asked array<bigint>")
-    for chunk in (3, 7, 4096):
-        monkeypatch.setattr(minhash, "CHUNK", chunk)
-        assert {(min(x), max(x)) for x in minhash.remaining(met, 1).collect()} == apart - {first}
+    base = prose(77, 160).split()
+    texts = []
+    for i in range(60):
+        now = list(base)
+        for at in r.choice(160, int(r.integers(0, 9)), replace=False):
+            now[at] = f"w{i}a{at}"
+        texts.append(" ".join(now))
+    docs = frame(spark, [(i, t, "en", None, 1) for i, t in enumerate(texts)])
+    rows = minhash.sketch(docs.select("doc_id", "text")).selectExpr("doc_id AS rep", "sign", "buckets", "n")
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    met = rows.selectExpr("rep", "explode(buckets) AS bucket")
+    root = {i: i if i % 3 else i % 2 for i in range(60)}
+    given = spark.createDataFrame([(i, x) for i, x in root.items() if i % 5], "node bigint, root bigint")
+    root = {i: x if i % 5 else i for i, x in root.items()}
+    grams = [_shingles(t) for t in texts]
+    want = _roots([(i, j) for i in range(60) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])], root)
+    side = docs.selectExpr("doc_id AS rep", "text")
+    for chunk in (400, 2000, 1 << 20):
+        monkeypatch.setattr(minhash, "CHUNK_SHINGLES", chunk)
+        found = minhash.settled(met, rows, side, given).collect()
+        assert all(abs(len(grams[a] & grams[b]) / len(grams[a] | grams[b]) - s) < 1e-9 and s >= 0.8 for a, b, s in found)
+        got = _roots([(a, b) for a, b, _ in found], root)
+        same = lambda x: {frozenset(i for i in x if x[i] == v) for v in x.values()}
+        assert same(got) == same(want)
 
 
 def test_drifting_copies_against_all_pairs(spark):
@@ -125,3 +147,27 @@ def test_drifting_copies_against_all_pairs(spark):
     want = _all_pairs(dict(enumerate(texts)))
     assert len(set(want.values())) > 12
     assert _classes(spark, texts) == want
+
+
+def test_a_template_with_many_texts_just_too_far_apart(spark):
+    """300 texts of one template, most pairs below 0.8: nothing is lost and exact comparisons hand on few rows."""
+    r = np.random.default_rng(9)
+    base = prose(5000, 180).split()
+    texts = []
+    for i in range(300):
+        now = list(base)
+        for at in r.choice(180, int(r.integers(3, 8)), replace=False):
+            now[at] = f"t{i}a{at}"
+        texts.append(" ".join(now))
+    want = _all_pairs(dict(enumerate(texts)))
+    assert 1 < len(set(want.values())) < 300
+    assert _classes(spark, texts) == want
+
+
+def test_multisets(spark):
+    """With counts as weights a doubled text is no near copy of the single one."""
+    once = prose(31, 120)
+    texts = [once, once + " " + once, " ".join(once.split()[:-3] + ["x", "y", "z"])]
+    docs = frame(spark, [(i, t, "en", None, 1) for i, t in enumerate(texts)])
+    assert [r["class_id"] for r in minhash.classes(docs, weight="count").orderBy("doc_id").collect()] == [0, 1, 0]
+    assert [r["class_id"] for r in minhash.classes(docs).orderBy("doc_id").collect()] == [0, 0, 0]
