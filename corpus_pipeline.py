@@ -9,8 +9,8 @@ as the next stage's documents.  All but the last return the columns of `document
 4. decontamination: documents that contain a benchmark item, also with other numbers or names, go
 5. packing: the rest is tokenised, cut and dealt to sequences
 
-Documents with a null or empty text pass the first stage and fail the second; rows without an id pass the stages that
-need an id to compare (three and four); repeated rows of one id become one in the third stage.
+Documents with a null or empty text pass the first stage and fail the second; rows without an id are compared in stages
+three and four under a number made of their text; repeated rows of one id become one in the third stage.
 """
 
 from __future__ import annotations
@@ -21,9 +21,24 @@ from packetloom.llm import decontaminate, minhash, packing, perplexity, toxicity
 from packetloom.llm.common import stored
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """The name, or a longer one where the table has it already."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
+def _keyed(docs: DataFrame) -> tuple[str, DataFrame]:
+    """The documents with a key: their id, else a large number made of the text (so that rows with an id come first)."""
+    key = _free("key", docs)
+    made = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
+    return key, docs.withColumn(key, F.coalesce(F.col("doc_id").cast("bigint"), made))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("score < 0.5").select(*docs.columns)
+    name = _free("toxicity", docs)
+    return toxicity.score(docs, model, name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +46,17 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = minhash.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    key, keyed = _keyed(docs)
+    classes = minhash.classes(keyed.select(F.col(key).alias("doc_id"), "text"))
+    first = classes.where("doc_id = class_id").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    key, keyed = _keyed(docs)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.matches(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(found, key, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
