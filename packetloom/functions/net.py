@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ipaddress
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -104,7 +105,30 @@ def cidr_range(cidr: str) -> tuple[str, str] | None:
 def key_in_net(key: Column, cidr: str) -> Column:
     """Membership on a stored key column: a range test that Parquet statistics can prune."""
     bounds = cidr_range(cidr)
-    return F.lit(False) if bounds is None else _total(key.between(*bounds))
+    return F.lit(False) if bounds is None else key.isNotNull() & key.between(*bounds)
+
+
+def _pieces(low: str, high: str) -> list[str]:
+    pieces: list[str] = []
+    if isinstance(low, str) and isinstance(high, str) and low[:2] == high[:2]:
+        head, width = low[:2], len(low) - 2
+        at, end = int(low[2:], 16), int(high[2:], 16)
+        while at <= end:
+            digits = 0
+            while digits < width and at % 16 ** (digits + 1) == 0 and at + 16 ** (digits + 1) - 1 <= end:
+                digits += 1
+            pieces.append(head + f"{at:0{width}x}"[:width - digits])
+            at += 16**digits
+    return pieces
+
+
+def range_pieces(low: Column | str, high: Column | str) -> Column:
+    """The fewest key prefixes that together hold exactly the keys from ``low`` to ``high`` (of one version)."""
+    @F.pandas_udf("array<string>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([_pieces(x, y) for x, y in zip(a, b)])
+
+    return run(low, high)
 
 
 def _v4_pattern(network: ipaddress.IPv4Network) -> str:

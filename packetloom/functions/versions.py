@@ -68,20 +68,20 @@ def identify_product(banner: Column, specific_first: bool = False) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """Orderable key: digit runs compare as numbers of any length (without leading zeros: by length, then as
-    text) and above letter runs."""
+    """Sortable text: digit runs compare as numbers of any length (without leading zeros: by length, then as
+    text) and above letter runs, a version before its continuations.
+
+    A digit run is written as ``1``, its length in nine digits and the digits; a letter run as ``0``, the letters and a mark
+    below all letters.  So a comparison of two versions is one comparison of two texts.
+    """
     tokens = F.regexp_extract_all(F.lower(version), F.lit("([0-9]+|[a-z]+)"), F.lit(1))
 
     def element(token: Column) -> Column:
-        digits = token.rlike("^[0-9]")
         bare = F.ltrim(token, F.lit("0"))
-        return F.struct(
-            digits.cast("int").alias("kind"),
-            F.when(digits, F.length(bare)).otherwise(F.lit(0)).alias("length"),
-            F.when(digits, bare).otherwise(token).alias("text"),
-        )
+        number = F.concat(F.lit("1"), F.lpad(F.length(bare).cast("string"), 9, "0"), bare)
+        return F.when(token.rlike("^[0-9]"), number).otherwise(F.concat(F.lit("0"), token, F.lit("!")))
 
-    return F.transform(tokens, element)
+    return F.array_join(F.transform(tokens, element), "")
 
 
 def parse_constraints(text: Column) -> Column:

@@ -277,8 +277,9 @@ def last_alert(alerts: DataFrame) -> DataFrame:
 
 
 def not_in_cooldown(findings: DataFrame, alerts: DataFrame, seconds: float = 300) -> DataFrame:
-    """Findings of one cycle whose last stored alert is old enough (null-safe lookup)."""
-    last = last_alert(alerts).select(F.col("kind").alias("__kind"), F.col("src_ip").alias("__src"), "last_ts")
+    """Findings of one cycle whose last stored alert is old enough (null-safe lookup); reads the alerts of the cooldown only."""
+    since = findings.agg(F.min("ts") - F.lit(float(seconds))).scalar()
+    last = last_alert(alerts.filter(F.col("ts") > since)).select(F.col("kind").alias("__kind"), F.col("src_ip").alias("__src"), "last_ts")
     joined = findings.join(
         last, (F.col("kind") == F.col("__kind")) & F.col("src_ip").eqNullSafe(F.col("__src")), "left")
     return joined.filter(F.col("ts") - F.coalesce("last_ts", F.lit(0.0)) >= seconds).drop("__kind", "__src", "last_ts")

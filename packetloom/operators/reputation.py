@@ -2,7 +2,7 @@
 
 Adding points with a ceiling, and decaying with a floor, are both of the form
 ``min(high, max(low, x + add))``, and two such steps in a row are again one.  So a busy
-address is folded per day in parallel, and only one small step per day is folded per address.
+address is folded per hour in parallel, and only one small step per hour is folded per address.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def _decay(ticks: Column, amount: int) -> Column:
 
 def fold(
     events: DataFrame, as_of: Column | float, decay_hours: float = 24, amount: int = 5, cycle_seconds: float = 15,
-    day_seconds: float = 86400,
+    day_seconds: float = 3600,
 ) -> DataFrame:
     """Reputation table at ``as_of`` from events ``ip, ts, seq, points, note[, blocklisted]``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.net import ip_key, ipv4_number, ipv4_text, ipv6_text
+from ..functions.net import ip_key, ipv4_number, ipv4_text, ipv6_text, range_pieces
 
 _CHUNK = 65536
 
@@ -73,11 +73,30 @@ def rejected(specs: DataFrame, text: str = "spec", seq: str = "spec_id") -> Data
     return parse(specs, text, seq).filter("reason IS NOT NULL").select("seq", "part", "token", "reason")
 
 
+def inside(keys: DataFrame, wanted: DataFrame, key: str = "key") -> DataFrame:
+    """Each key with every range (low_key, high_key, ...) it lies in: an interval join by equality, for IPv4 and IPv6.
+
+    A range is cut into the few key prefixes that make it up (one for each hexadecimal digit where it is a network, at
+    most thirty for each digit otherwise); a key is looked up once for each length of a prefix that occurs, 33 at most.
+    Give distinct keys: an address that a third of all packets have is then looked up once.
+    """
+    pieces = wanted.withColumn("__piece", F.explode(range_pieces("low_key", "high_key")))
+    lengths = pieces.agg(F.sort_array(F.collect_set(F.length("__piece")))).scalar()
+    probes = keys.withColumn("__length", F.explode(lengths)).filter(F.col("__length") <= F.length(key)).withColumn(
+        "__piece", F.substring(F.col(key), F.lit(1), F.col("__length")))
+    return probes.drop("__length").join(pieces, "__piece").drop("__piece")
+
+
+def unlisted(specs: DataFrame, text: str = "spec", seq: str = "spec_id") -> DataFrame:
+    """(seq, part, token, reason) of the networks that `expand` does not list; `ranges` has them."""
+    return parse(specs, text, seq).filter("form = 'net6' AND bits < 96").select("seq", "part", "token", F.lit("too many to list").alias("reason"))
+
+
 def expand(specs: DataFrame, text: str = "spec", seq: str = "spec_id") -> DataFrame:
     """(target, seq, part, host): the hosts of IPv4 networks and ranges, single addresses and names, first occurrence kept.
 
     Networks go without network and broadcast address where there are hosts in between.  Hosts of IPv6 networks are
-    listed below the last 32 bits only (others are too many to list: use `ranges`).  What `rejected` names is left out.
+    listed below the last 32 bits only (`unlisted` names the others, `ranges` holds them).  What `rejected` names is left out.
     Large networks are first cut into chunks, so one specification spreads over tasks.
     """
     read = parse(specs, text, seq)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("traffic", "monitoring", "vulnerability", "ingest", "streams")
+MODULES = ("traffic", "monitoring", "vulnerability", "ingest", "streams", "storage")
 
 
 def load_all() -> None:

@@ -75,24 +75,24 @@ def _field(data: np.ndarray, at: np.ndarray, order: str) -> np.ndarray:
     return ((parts[0] << 24) | (parts[1] << 16)) | ((parts[2] << 8) | parts[3])
 
 
-def _plausible(data: np.ndarray, at: np.ndarray, order: str, divisor: float) -> np.ndarray:
-    """Could a record header stand there?  A wrong yes costs a second reading, a wrong no only time."""
-    fraction, caplen, wire = (_field(data, at + k, order) for k in (4, 8, 12))
-    return (fraction < divisor) & (caplen <= LARGEST) & (wire <= LARGEST) & (caplen <= wire) & (wire > 0)
+def _plausible(data: np.ndarray, at: np.ndarray, order: str, divisor: float, near: int) -> np.ndarray:
+    """Could a record header stand there, of a packet within ten years of the file's first?  A wrong answer costs a second reading."""
+    seconds, fraction, caplen, wire = (_field(data, at + k, order) for k in (0, 4, 8, 12))
+    return (fraction < divisor) & (caplen <= LARGEST) & (wire <= LARGEST) & (wire > 0) & (np.abs(seconds - near) < 315_576_000)
 
 
 def _first_record(window: _Window, low: int, high: int, size: int, order: str, divisor: float) -> int | None:
     """First position in [low, high) from which a chain of plausible records runs ``CHAIN`` records far or to the file's end."""
-    step = 1 << 20
+    step, near = 1 << 20, struct.unpack(order + "I", window.read(_FILE_HEADER, 4))[0]
     for begin in range(low, high, step):
         end = min(begin + step, high)
         data = np.frombuffer(window.read(begin, min(end - begin + _RECORD_HEADER, size - begin)), np.uint8)
         places = np.arange(max(0, min(end - begin, len(data) - _RECORD_HEADER + 1)))
-        for p in places[_plausible(data, places, order, divisor)] if len(places) else ():
+        for p in places[_plausible(data, places, order, divisor, near)] if len(places) else ():
             at, length = begin + int(p), 0
             while length < CHAIN and at + _RECORD_HEADER <= size:
                 head = np.frombuffer(window.read(at, _RECORD_HEADER), np.uint8)
-                if not _plausible(head, np.zeros(1, np.int64), order, divisor)[0]:
+                if not _plausible(head, np.zeros(1, np.int64), order, divisor, near)[0]:
                     break
                 at += _RECORD_HEADER + struct.unpack(order + "I", head[8:12].tobytes())[0]
                 length += 1

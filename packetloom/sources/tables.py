@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.net import ip_key
 from ..functions.text import iso_time, utc
 
 SCHEMAS = {
@@ -17,6 +18,8 @@ SCHEMAS = {
 }
 # Tables that are partitioned by day and subject to retention, with their time column.
 DATED = {"packets": "ts", "auth_events": "ts", "traffic_windows": "window_start"}
+# Sortable keys that are stored beside addresses, so that a network is a range which file statistics prune.
+KEYS = {"packets": {"src_key": "src_ip", "dst_key": "dst_ip"}, "auth_events": {"src_key": "src_ip"}}
 
 
 def day_of(ts: Column) -> Column:
@@ -24,18 +27,20 @@ def day_of(ts: Column) -> Column:
 
 
 def append(df: DataFrame, root: str, table: str) -> None:
-    """Append rows; dated tables are laid out by day and sorted by source inside a day's files."""
+    """Append rows; dated tables are laid out by day and sorted by source key inside a day's files."""
     path = f"{root}/{table}"
     if table in DATED:
-        dated = df.withColumn("day", day_of(F.col(DATED[table])))
-        order = [c for c in ("src_ip", DATED[table]) if c in df.columns]
+        dated = df.withColumns({key: ip_key(F.col(ip)) for key, ip in KEYS.get(table, {}).items()})
+        order = [c for c in ("src_key", DATED[table]) if c in dated.columns]
+        dated = dated.withColumn("day", day_of(F.col(DATED[table])))
         dated.sortWithinPartitions("day", *order).write.mode("append").partitionBy("day").parquet(path)
     else:
         df.write.mode("append").parquet(path)
 
 
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    schema = SCHEMAS[table] + (", day date" if table in DATED else "")
+    keys = "".join(f", {key} string" for key in KEYS.get(table, {}))
+    schema = SCHEMAS[table] + keys + (", day date" if table in DATED else "")
     return spark.read.schema(schema).parquet(f"{root}/{table}")
 
 

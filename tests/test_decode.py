@@ -213,6 +213,20 @@ def test_capture_files(spark, tmp_path):
     assert set(rejected) == {"bad.pcap", "ng.pcap", "tiny.pcap"} and "pcapng" in rejected["ng.pcap"]
 
 
+def test_captures_with_payloads_that_look_like_headers(spark, tmp_path):
+    """Ranges that begin inside a payload full of plausible records are found out and read again."""
+    fake = w.pcap([(1700000000 + k, 5, bytes(10), 10) for k in range(30)])[24:]
+    frames = [bytes([i % 256] * (i % 50)) + (fake if i % 3 == 0 else b"") + bytes(i % 7) for i in range(200)]
+    frames[120] = bytes(9000)  # longer than several ranges
+    (tmp_path / "fake.pcap").write_bytes(w.pcap([(1700000000 + i, 7, f, len(f) + 1) for i, f in enumerate(frames)]))
+    (tmp_path / "far.pcap").write_bytes(w.pcap([(1 + i * 10_000_000, 7, f, 0) for i, f in enumerate(frames[:40])]))  # never plausible
+    for split in (700, 4096, 1 << 20):
+        got = capture.read_frames(spark, str(tmp_path), split).orderBy("file", "frame_no").collect()
+        by = lambda name: [(r.frame_no, bytes(r.raw)) for r in got if r.file.endswith(name)]
+        assert by("fake.pcap") == list(enumerate(frames))
+        assert by("far.pcap") == list(enumerate(frames[:40]))
+
+
 def test_layers_cost_only_what_is_asked_for(spark):
     frames = spark.createDataFrame([(0.0, b"\x00" * 14, 14, 1, 1)], "ts double, raw binary, wire_length bigint, linktype bigint, pkt_id bigint")
     link = decode.flatten(decode.decode(frames, ("link",))).select("ethertype")._jdf.queryExecution().executedPlan().toString()

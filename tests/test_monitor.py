@@ -179,6 +179,39 @@ def test_target_ranges(spark):
     assert [r.token for r in targets.rejected(specs).orderBy("part").collect()] == ["10.0.0.0/99", "10.0.0.1-300", "2001::/129", "x/8"]
 
 
+def test_addresses_inside_ranges(spark):
+    """The interval join against plain arithmetic, for ranges that begin and end anywhere."""
+    import ipaddress
+    import random
+
+    from packetloom.functions.net import cidr_range, ip_key
+
+    r = random.Random(2)
+    four = [str(ipaddress.ip_address(r.choice([0, 167772160, 4294967040]) + r.randrange(700))) for _ in range(150)]
+    six = [str(ipaddress.ip_address((0x20010DB8 << 96) + r.randrange(5000))) for _ in range(80)]
+    keys = spark.createDataFrame([(i,) for i in {*four, *six}], "ip string").withColumn("key", ip_key(F.col("ip")))
+    ranges = [(f"4:{a:08x}", f"4:{a + n:08x}") for a, n in ((167772160 + r.randrange(600), r.randrange(300)) for _ in range(12))]
+    ranges += [cidr_range(c) for c in ("0.0.0.0/0", "255.255.255.0/25", "2001:db8::/117", "::/0", "10.0.0.7/32")]
+    ranges += [(f"6:20010db8{a:024x}", f"6:20010db8{a + 777:024x}") for a in (3, 1000, 4095)]
+    got = targets.inside(keys, spark.createDataFrame([(*x, i) for i, x in enumerate(ranges)], "low_key string, high_key string, n int"))
+    known = {k["ip"]: k["key"] for k in keys.collect()}
+    want = sorted((ip, n) for ip, key in known.items() for n, (low, high) in enumerate(ranges) if low <= key <= high)
+    assert sorted((x["ip"], x["n"]) for x in got.collect()) == want
+    names = targets.unlisted(spark.createDataFrame([(1, "2001:db8::/64 2001:db8::/100 10.0.0.0/8")], "spec_id int, spec string")).collect()
+    assert [(n.token, n.reason) for n in names] == [("2001:db8::/64", "too many to list")]
+
+
+def test_network_on_stored_keys_reaches_the_scan(spark, tmp_path):
+    from packetloom.functions.net import key_in_net
+
+    packets, _, _ = demo(spark)
+    tables.append(packets, str(tmp_path), "packets")
+    found = tables.read(spark, str(tmp_path), "packets").filter(key_in_net(F.col("src_key"), "45.0.0.0/8"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(src_key,4:2d000000)" in plan and "LessThanOrEqual(src_key,4:2dffffff)" in plan
+    assert found.count() == 80 and tables.read(spark, str(tmp_path), "packets").filter(~key_in_net(F.col("src_key"), "45.0.0.0/8")).count() == packets.count() - 80
+
+
 def test_stream_in_several_batches(spark, tmp_path):
     """State carries over micro-batches: the alerts equal those of one batch."""
     rows = [(i, 1000.0 + i * 0.5, "s", "d", i % 37) for i in range(600)]

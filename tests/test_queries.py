@@ -27,3 +27,19 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_the_rest_works_without_the_text_operators(tmp_path):
+    """The library and the registry import with both text folders deleted, and nothing of them is registered."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.join(os.path.dirname(__file__), "..")
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache", "spark-warehouse"))
+    run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*sorted(e.queries()))"], cwd=tmp_path / "copy", capture_output=True, text=True,
+                         env={**os.environ, "PYTHONPATH": str(tmp_path / "copy")})
+    assert run.returncode == 0, run.stderr
+    names = run.stdout.split()
+    assert set(names) == set(registry.QUERIES) and not any(n.startswith("op") or n == "pipeline" for n in names)
