@@ -1,4 +1,8 @@
-"""License scans: lines and whole texts against licence templates by Dice coefficient over word bigrams.
+"""License scans: lines, whole texts and stretches of texts against licence templates by Dice coefficient over word bigrams.
+
+A notice that is wrapped over lines or stands inside other prose is found as a window: as many words as the template has, laid so
+that at least a quarter of the template's bigrams stand in their places.  So the windows that are compared come from the
+bigrams a text shares with a template, whatever lines it is cut into.
 
 Both sides are normalised (lower case, everything but letters and digits is a space).  The Dice coefficient is
 2 * shared / (bigrams of the text + bigrams of the template), counted with repeats, so a text's size is known before
@@ -81,7 +85,8 @@ def anchors(templates, least: float) -> list[str]:
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
-    """(doc_id, unit, position, template, dice) of every line (unit `line`, from 0) and whole text (unit `text`) that matches."""
+    """(doc_id, unit, position, template, dice) of every line (unit `line`, from 0), whole text (unit `text`) and window (unit `window`, its
+    first word from 0) that matches."""
     spark = docs.sparkSession
     rows = [(name, gram, c, sum(grams.values())) for name, text in templates for grams in [_bigrams(text)] for gram, c in grams.items()]
     wanted = spark.createDataFrame(rows, "template string, bigram string, in_template int, of_template int")
@@ -120,7 +125,33 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
     counted = shared.groupBy(*keys, "bigram", "in_template").agg(F.count(F.lit(1)).alias("n"))
     summed = counted.groupBy(*keys).agg(F.sum(F.least("n", "in_template")).alias("shared"))
     dice = 2.0 * F.col("shared") / (F.col("size") + F.col("of_template"))
-    return summed.select("doc_id", "unit", F.col("position").cast("bigint").alias("position"), "template", dice.alias("dice")).where(F.col("dice") >= least)
+    units_found = summed.select("doc_id", "unit", F.col("position").cast("bigint").alias("position"), "template", dice.alias("dice")).where(F.col("dice") >= least)
+    return units_found.unionByName(_windows(hit.select("doc_id", F.xxhash64("clean").alias("content"), "clean"), templates, wanted, least))
+
+
+def _windows(hit: DataFrame, templates, wanted: DataFrame, least: float) -> DataFrame:
+    """The windows of texts (doc_id, content, clean) that match; equal texts are read once."""
+    spark = hit.sparkSession
+    places = [(name, f"{a} {b}", i, len(w) - 1) for name, text in templates for w in [_words(text)] for i, (a, b) in enumerate(zip(w, w[1:]))]
+    placed = spark.createDataFrame(places, "template string, bigram string, at int, of_template int")
+    if len(places) <= BROADCAST_BIGRAMS:
+        placed = F.broadcast(placed)
+    texts = hit.select("content", F.split(F.trim(F.regexp_replace("clean", "[ \n]+", " ")), " ").alias("w")).dropDuplicates(["content"]).where(F.size("w") > 1)
+    bigrams = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.element_at("w", i), F.lit(" "), F.element_at("w", i + 1)))
+    votes = (texts.select("content", F.posexplode(bigrams).alias("pos", "bigram")).join(placed, "bigram")
+             .groupBy("content", "template", "of_template", (F.col("pos") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("votes"))
+             .where("4 * votes >= of_template"))
+    first = F.greatest(F.col("start"), F.lit(0))
+    last = F.least(F.col("start") + F.col("of_template"), F.size("w") - 1)  # the window's bigrams begin at words first .. last - 1
+    laid = texts.join(votes, "content").select("content", "template", "of_template", "start", first.alias("first"), (last - first).alias("size"), F.slice("w", first + 1, last - first + 1).alias("w"))
+    keys = ["content", "template", "of_template", "start", "first", "size"]
+    grams = laid.select(*keys, F.explode(F.transform(
+        F.sequence(F.lit(1), F.col("size")), lambda i: F.concat(F.element_at("w", i), F.lit(" "), F.element_at("w", i + 1)))).alias("bigram"))
+    counted = grams.groupBy(*keys, "bigram").agg(F.count(F.lit(1)).alias("n")).join(wanted.select("template", "bigram", "in_template"), ["template", "bigram"])
+    summed = counted.groupBy(*keys).agg(F.sum(F.least("n", "in_template")).alias("shared"))
+    dice = 2.0 * F.col("shared") / (F.col("size") + F.col("of_template"))
+    best = summed.where(dice >= least).groupBy("content", "template", "first").agg(F.max(dice).alias("dice"))
+    return hit.select("doc_id", "content").join(best, "content").select("doc_id", F.lit("window").alias("unit"), F.col("first").cast("bigint").alias("position"), "template", "dice")
 
 
 def comparison_sql(templates=TEMPLATES, least: float = 0.8) -> str:
@@ -136,5 +167,12 @@ units AS (SELECT doc_id, c, 'line' AS unit, unnest(range(0, len(l))) AS position
     UNION ALL SELECT doc_id, c, 'text', 0, replace(c, chr(10), ' ') FROM clean),
 sized AS (SELECT doc_id, c, unit, position, w, len(w) - 1 AS size FROM (SELECT *, string_split(trim(regexp_replace(line, ' +', ' ', 'g')), ' ') AS w FROM units) WHERE len(w) > 1 AND len(w) < 1000),
 dg AS (SELECT doc_id, c, unit, position, size, bigram, count(*) AS n FROM (SELECT *, unnest({grams}) AS bigram FROM sized) GROUP BY ALL),
-s AS (SELECT doc_id, c, unit, position, template, size, of_template, sum(least(n, in_template)) AS shared FROM dg JOIN tc USING (bigram) GROUP BY ALL)
-SELECT doc_id, unit, position::BIGINT AS position, template, 2.0::DOUBLE * shared / (size + of_template) AS dice FROM s WHERE 2.0::DOUBLE * shared / (size + of_template) >= {least}"""
+s AS (SELECT doc_id, c, unit, position, template, size, of_template, sum(least(n, in_template)) AS shared FROM dg JOIN tc USING (bigram) GROUP BY ALL),
+tp AS (SELECT template, len(w) - 1 AS of_template, unnest(range(0, len(w) - 1)) AS place, unnest({grams}) AS bigram FROM (SELECT template, string_split(words, ' ') AS w FROM (VALUES {listed}) v(template, words))),
+bg AS (SELECT doc_id, c, unnest(range(0, len(w) - 1)) AS pos, unnest({grams}) AS bigram FROM (SELECT doc_id, c, string_split(trim(regexp_replace(c, '[ \n]+', ' ', 'g')), ' ') AS w FROM clean) WHERE len(w) > 1),
+votes AS (SELECT doc_id, c, template, of_template, pos - place AS p FROM bg JOIN tp USING (bigram) GROUP BY ALL HAVING 4 * count(*) >= of_template),
+wg AS (SELECT v.doc_id, v.c, template, of_template, p, bigram, count(*) AS n FROM votes v JOIN bg ON bg.c = v.c AND bg.doc_id IS NOT DISTINCT FROM v.doc_id AND pos >= p AND pos < p + of_template GROUP BY ALL),
+ws AS (SELECT doc_id, c, template, of_template, p, sum(n) AS size, sum(least(n, coalesce(in_template, 0))) AS shared FROM wg LEFT JOIN (SELECT template, bigram, in_template FROM tc) USING (template, bigram) GROUP BY ALL),
+ww AS (SELECT doc_id, c, template, greatest(p, 0) AS position, max(2.0::DOUBLE * shared / (size + of_template)) AS dice FROM ws WHERE 2.0::DOUBLE * shared / (size + of_template) >= {least} GROUP BY ALL)
+SELECT doc_id, unit, position::BIGINT AS position, template, 2.0::DOUBLE * shared / (size + of_template) AS dice FROM s WHERE 2.0::DOUBLE * shared / (size + of_template) >= {least}
+UNION ALL SELECT doc_id, 'window', position::BIGINT, template, dice FROM ww"""

@@ -34,8 +34,46 @@ def test_half_of_an_item_is_enough(spark):
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
     texts = [prose(k, 50) + " " + ITEM for k in range(5)] + [prose(9, 40)]
     want = _found(spark, texts)
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
-    assert _found(spark, texts) == want == {(k, 1) for k in range(5)}
+    for limit in ("SET_PAIRS", "BROADCAST_WINDOWS"):
+        monkeypatch.setattr(decontaminate, limit, 0)
+        assert _found(spark, texts) == want == {(k, 1) for k in range(5)}
+
+
+def test_every_run_at_every_offset(spark):
+    """Runs of 8 to 14 words of an item of 14 are found wherever they stand, shorter ones never."""
+    item = "the quick river turns under old stone bridges while seven tired horses walk home"
+    words = item.split()
+    assert len(words) == 14
+    texts, want = [], set()
+    for length in range(6, 15):
+        for first in range(0, 15 - length):
+            for offset in range(5):
+                if length >= 8:
+                    want.add((len(texts), 1))
+                texts.append(" ".join(["zz"] * offset + ["yy"] + words[first:first + length] + ["xx"]))
+    assert _found(spark, texts, [(1, item)]) == want
+
+
+def test_tables_of_slots_count_only_as_they_are(spark):
+    """Mostly numbers: a verbatim copy is found, other numbers are no copy, and windows of numbers alone are no common key."""
+    table = "add 3 5 7 11 13 17 19 23 29 31 37 41 total"
+    other = "add 4 6 8 12 14 18 20 24 30 32 38 42 total"
+    assert _found(spark, [f"see {table} there", f"see {other} there"], [(1, table)]) == {(0, 1)}
+    numbers = " ".join(map(str, range(100, 112)))
+    assert _found(spark, [f"x {numbers} y", "x " + " ".join(map(str, range(200, 230)))], [(1, numbers)]) == {(0, 1)}
+
+
+def test_opening_names_are_names(spark):
+    short = "Tom buys three red apples today"
+    long = "Tom has 5 apples. Tom gives 2 to Ann. How many apples does Tom keep for the evening?"
+    texts = [f"so: {short.replace('Tom', 'Eve')} and", f"and {short.replace('Tom', 'Eve')} and", long.replace("Tom", "Bob").replace("Ann", "Sue").replace("5", "9"),
+             long.replace("Tom", "Bob", 1)]
+    assert _found(spark, texts, [(1, short), (2, long)]) == {(0, 1), (1, 1), (2, 2)}  # in the last one name became two
+
+
+def test_all_texts_of_an_item(spark):
+    items = [(1, "alpha beta gamma delta epsilon zeta eta theta iota"), (1, "one two three four five six seven eight nine ten")]
+    assert _found(spark, [f"x {t} y" for _, t in items] + ["x y z"], items) == {(0, 1), (1, 1)}
 
 
 def test_odd_cases(spark):
