@@ -24,7 +24,7 @@ PCAPNG_MAGIC = bytes.fromhex("0a0d0d0a")
 _FILE_HEADER, _RECORD_HEADER = 24, 16
 
 #: A range of a file: its bytes, the first record and where the record behind the last one begins (null: none found), and its records.
-RANGE_SCHEMA = "file string, size bigint, number bigint, low bigint, high bigint, start bigint, stop bigint, records bigint"
+RANGE_SCHEMA = "file string, size bigint, number bigint, start bigint, stop bigint, records bigint"
 FRAME_SCHEMA = "file string, frame_no bigint, ts double, raw binary, wire_length bigint, linktype bigint"
 
 
@@ -101,28 +101,35 @@ def _first_record(window: _Window, low: int, high: int, size: int, order: str, d
     return None
 
 
-def _measure_ranges(batches):
-    """Fill start, stop and records of ranges; a given start is kept."""
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            with _open(r["file"]) as handle:
-                window = _Window(handle)
-                reason, order, divisor, _ = _file_format(window.read(0, _FILE_HEADER))
-                start = r["start"]
-                if reason is None and start is None:
-                    start = _FILE_HEADER if r["number"] == 0 else _first_record(window, r["low"], r["high"], r["size"], order, divisor)
-                at, records = start, 0
-                while reason is None and at is not None and at < r["high"] and at + _RECORD_HEADER <= r["size"]:
-                    caplen = struct.unpack(order + "I", window.read(at + 8, 4))[0]
-                    if at + _RECORD_HEADER + caplen > r["size"]:
-                        break  # cut-off record: the file ends here
-                    at += _RECORD_HEADER + caplen
-                    records += 1
-            if reason is None:
-                out.append({**r, "start": start, "stop": at, "records": records})
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
+def _measure_ranges(split_bytes: int):
+    """Ranges ``number`` .. ``last`` with start, stop and records; a given start is where the first of them begins."""
+    names = [c.split()[0] for c in RANGE_SCHEMA.split(", ")]
+    schema = pa.schema([("file", pa.string())] + [(n, pa.int64()) for n in names[1:]])
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                out, size = [], r["size"]
+                with _open(r["file"]) as handle:
+                    window = _Window(handle)
+                    reason, order, divisor, _ = _file_format(window.read(0, _FILE_HEADER))
+                    at = r["start"]
+                    for number in range(r["number"], r["last"] + 1) if reason is None else ():
+                        low, high = number * split_bytes, min((number + 1) * split_bytes, size)
+                        if at is None:
+                            at = _FILE_HEADER if number == 0 else _first_record(window, low, high, size, order, divisor)
+                        start, records = at, 0
+                        while at is not None and at < high and at + _RECORD_HEADER <= size:
+                            caplen = struct.unpack(order + "I", window.read(at + 8, 4))[0]
+                            if at + _RECORD_HEADER + caplen > size:
+                                break  # cut-off record: the file ends here
+                            at += _RECORD_HEADER + caplen
+                            records += 1
+                        out.append((r["file"], size, number, start, at, records))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    return run
 
 
 def _read_ranges(batch_rows: int = 4096):
@@ -173,21 +180,21 @@ def _dealt(ranges: DataFrame, tasks: int) -> DataFrame:
 def file_ranges(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> tuple[DataFrame, int]:
     """(ranges of all readable files with exact starts, tasks to read them with)."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("size"))  # content is not read
-    cut = files.filter("size > 0").withColumn("number", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / split_bytes))))
-    blank = F.lit(None).cast("bigint")
-    cut = cut.select("file", "size", "number", (F.col("number") * split_bytes).alias("low"), F.least((F.col("number") + 1) * split_bytes, F.col("size")).alias("high"),
-                     blank.alias("start"), blank.alias("stop"), blank.alias("records"))
+    number = F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / split_bytes)))
+    cut = files.filter("size > 0").select("file", "size", number.alias("number")).selectExpr("*", "number AS last", "CAST(NULL AS bigint) AS start")
     tasks = min(max(cut.count(), 1), 10_000)
-    known = materialize(_dealt(cut, tasks).mapInArrow(_measure_ranges, RANGE_SCHEMA))
+    known = materialize(_dealt(cut, tasks).mapInArrow(_measure_ranges(split_bytes), RANGE_SCHEMA))
+    by_number = Window.partitionBy("file").orderBy("number")  # one small row for each range
     while True:
-        before = F.lag("stop").over(Window.partitionBy("file").orderBy("number"))  # one small row for each range
-        joined = known.withColumn("before", before)
+        joined = known.withColumn("before", F.lag("stop").over(by_number))
         broken = joined.filter("number > 0 AND NOT start <=> before")
         if broken.isEmpty():
             return known, tasks
-        # only ranges behind one that meets its own predecessor are sure to get the right start; the others come in later rounds
-        fixed = _dealt(broken.select("file", "size", "number", "low", "high", F.col("before").alias("start"), blank.alias("stop"), blank.alias("records")), tasks)
-        known = materialize(joined.filter("number = 0 OR start <=> before").drop("before").unionByName(fixed.mapInArrow(_measure_ranges, RANGE_SCHEMA)))
+        # neighbours are one stretch: a task goes on from where the range before the stretch ends
+        stretch = broken.withColumn("stretch", F.col("number") - F.row_number().over(by_number)).groupBy("file", "size", "stretch").agg(
+            F.min("number").alias("number"), F.max("number").alias("last"), F.min_by("before", "number").alias("start")).drop("stretch")
+        fixed = _dealt(stretch, tasks).mapInArrow(_measure_ranges(split_bytes), RANGE_SCHEMA)
+        known = materialize(joined.filter("number = 0 OR start <=> before").drop("before").unionByName(fixed))
 
 
 def read_frames(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:

@@ -42,4 +42,4 @@ def test_the_rest_works_without_the_text_operators(tmp_path):
                          env={**os.environ, "PYTHONPATH": str(tmp_path / "copy")})
     assert run.returncode == 0, run.stderr
     names = run.stdout.split()
-    assert set(names) == set(registry.QUERIES) and not any(n.startswith("op") or n == "pipeline" for n in names)
+    assert set(names) == set(registry.QUERIES) and "pipeline" not in names and not any(n.startswith("op") and n[2].isdigit() for n in names)
