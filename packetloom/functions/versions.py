@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .labels import lookup
+from .net import _let
 
 # Banner signatures in match order (service, product, pattern, has a version group).
 BANNER_SIGNATURES = (
@@ -56,15 +57,19 @@ def identify_product(banner: Column, specific_first: bool = False) -> Column:
     if specific_first:
         signatures.sort(key=lambda s: s[1] == "MySQL")
     chain = None
-    for service, product, pattern, versioned in signatures:
-        pattern = "(?i)" + pattern
-        version = F.regexp_extract(banner, pattern, 1) if versioned else F.lit(None).cast("string")
-        value = F.struct(
-            F.lit(service).alias("service"), F.lit(product).alias("product"), version.alias("version")
-        )
-        hit = banner.rlike(pattern)
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return chain
+    for number, (_, _, pattern, _) in enumerate(signatures, start=1):
+        hit = banner.rlike("(?i)" + pattern)
+        chain = F.when(hit, number) if chain is None else chain.when(hit, number)
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), i)
+
+    def found(i: Column) -> Column:
+        # one extraction by the pattern that matched: a branch for each would be more code than Spark compiles
+        pattern = pick([f"(?i){p}" if versioned else None for _, _, p, versioned in signatures], i)
+        return F.when(i.isNotNull(), F.struct(
+            pick([s for s, _, _, _ in signatures], i).alias("service"), pick([p for _, p, _, _ in signatures], i).alias("product"),
+            F.call_function("regexp_extract", banner, pattern, F.lit(1)).alias("version")))
+
+    return _let(chain, found)
 
 
 def version_key(version: Column) -> Column:
@@ -89,9 +94,11 @@ def parse_constraints(text: Column) -> Column:
     parts = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), ",", " "), r"\s+"), lambda p: p != "")
 
     def parse(part: Column) -> Column:
-        op = F.regexp_extract(part, r"^(<=|>=|==|!=|<|>|=)", 1)
-        target = F.trim(F.substring(part, F.length(op) + 1, F.length(part)))
-        return F.struct(op.alias("op"), target.alias("target"), version_key(target).alias("key"))
+        def named(op: Column) -> Column:
+            return _let(F.trim(F.substring(part, F.length(op) + 1, F.length(part))), lambda target: F.struct(
+                op.alias("op"), target.alias("target"), version_key(target).alias("key")))
+
+        return _let(F.regexp_extract(part, r"^(<=|>=|==|!=|<|>|=)", 1), named)
 
     return F.filter(F.transform(parts, parse), lambda c: c["target"] != "")
 
@@ -118,7 +125,7 @@ def satisfies_parsed(version: Column, key: Column, text: Column, constraints: Co
 
 
 def satisfies(version: Column, constraint: Column) -> Column:
-    return satisfies_parsed(version, version_key(version), constraint, parse_constraints(constraint))
+    return _let(version_key(version), lambda key: satisfies_parsed(version, key, constraint, parse_constraints(constraint)))
 
 
 def latest_version(product: Column) -> Column:

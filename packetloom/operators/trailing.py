@@ -6,8 +6,8 @@ subtracts when it leaves, and a running sum gives the answer: linear in the rows
 the rate.  Time is cut into slices of a few spans; a row that still counts in the next slice
 is copied there, so a hot key spreads over many tasks and the result stays exact.
 
-Rows of one instant are combined first (`instants`).  A stream does the same with windows that
-close when the watermark passes; from there on both share `answers`.
+A row is dealt once, by key and slice; there the rows of one instant are combined and everything else is computed.  A stream
+combines them in windows that close when the watermark passes; from there on both share `answers`.
 """
 
 from __future__ import annotations
@@ -32,15 +32,16 @@ def slice_length(span: float, slice_seconds: float | None = None) -> float:
     return length
 
 
-def _sliced(df: DataFrame, ts: str, span: float, slice_seconds: float | None) -> DataFrame:
+def _dealt(df: DataFrame, keys: list[str], value: str | None, amount: Column | None, span: float, ts: str, seq: str, slice_seconds: float | None) -> DataFrame:
+    """`instants` of every slice, dealt by key and slice, in one shuffle."""
     length = slice_length(span, slice_seconds)
     home = F.floor(F.col(ts) / length)
     # A hair longer than the span: a copy too many is harmless, rounding must not lose one.
     leaves = F.floor((F.col(ts) + F.lit(span + 1e-3)) / length)
-    return (
-        df.withColumn("__home", home)
-        .withColumn("__slice", F.explode(F.sequence(home, leaves)))
-    )
+    thin = df.select(*dict.fromkeys([*keys, *([value] if value else []), ts, seq]), *([] if value else [amount.alias("__amount")]),
+                     home.alias("__home"), F.explode(F.sequence(home, leaves)).alias("__slice"))
+    amount = None if value else F.col("__amount")
+    return instants(thin.repartition(*keys, "__slice"), keys, value, amount, ts, seq, more=("__home", "__slice"))
 
 
 def _events(df: DataFrame, ts: str, span: float, arriving: Column, leaving: Column) -> DataFrame:
@@ -72,7 +73,8 @@ def _answers(events: DataFrame, keys: list[str], out: str) -> DataFrame:
 
 
 def answers(sliced: DataFrame, keys: list[str], value: str | None, span: float, out: str, ts: str = "ts") -> DataFrame:
-    """(keys, [value,] ts, seq, out) from `instants` that know their ``__home`` and stand in every ``__slice`` they count in.
+    """(keys, [value,] ts, seq, out) from `instants` that know their ``__home``, stand in every ``__slice`` they count in and
+    are dealt by key and slice.
 
     Occurrences of one value closer than ``span`` form one presence: it opens at the first
     and closes a span after the last.
@@ -83,7 +85,7 @@ def answers(sliced: DataFrame, keys: list[str], value: str | None, span: float,
     per_value = Window.partitionBy(*keys, "__slice", value).orderBy(ts)
     before, after = F.lag(ts).over(per_value), F.lead(ts).over(per_value)
     reach = F.lit(float(span))
-    marked = sliced.repartition(*keys, "__slice").withColumn(
+    marked = sliced.withColumn(
         "__opens", (before.isNull() | (before < F.col(ts) - reach)).cast("long")
     ).withColumn("__closes", (after.isNull() | (F.col(ts) < after - reach)).cast("long"))
     events = _events(marked, ts, span, F.col("__opens"), -F.col("__closes"))
@@ -95,7 +97,7 @@ def trailing_sum(
     ts: str = "ts", seq: str = "pkt_id", slice_seconds: float | None = None,
 ) -> DataFrame:
     """(keys, ts, seq, out): the sum over the frame, one row per key and instant."""
-    return answers(_sliced(instants(df, keys, None, amount, ts, seq), ts, span, slice_seconds), keys, None, span, out, ts)
+    return answers(_dealt(df, keys, None, amount, span, ts, seq, slice_seconds), keys, None, span, out, ts)
 
 
 def trailing_count(df: DataFrame, keys: list[str], span: float, out: str = "n", **options) -> DataFrame:
@@ -108,4 +110,4 @@ def trailing_distinct(
     ts: str = "ts", seq: str = "pkt_id", slice_seconds: float | None = None,
 ) -> DataFrame:
     """(keys, value, ts, seq, out): distinct values in the frame, one row per key, value and instant."""
-    return answers(_sliced(instants(df, keys, value, None, ts, seq), ts, span, slice_seconds), keys, value, span, out, ts)
+    return answers(_dealt(df, keys, value, None, span, ts, seq, slice_seconds), keys, value, span, out, ts)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import lookup
+from ..functions.net import _let
 from ..functions.severity import CVSS_SCALE, cvss_severity
 from ..functions.versions import (
     cpe, identify_product, is_outdated, latest_version, parse_constraints, satisfies_parsed, version_key,
@@ -80,16 +81,20 @@ def match(services: DataFrame, cves: DataFrame) -> DataFrame:
         return F.col("version").isNull() | (F.coalesce(r["affected"], F.lit("")) == "") | satisfies_parsed(
             F.col("version"), F.col("__key"), r["affected"], r["constraints"])
 
-    hits = F.filter("records", affected)
-    ids = F.transform(hits, lambda r: r["cve_id"])
-    # The first record of an id is the one with the highest score.
-    firsts = F.filter(hits, lambda r, i: F.array_position(ids, r["cve_id"]) == i + 1)
-    public = F.transform(firsts, lambda r: F.struct(
-        r["cve_id"].alias("cve_id"), r["severity"].alias("severity"), r["cvss"].alias("cvss"),
-        r["summary"].alias("summary"), r["affected"].alias("affected"), r["fixed_version"].alias("fixed_version"),
-        r["references"].alias("references"),
-    ))
-    found = joined.select("__product", F.col("version").alias("__version"), public.alias("vulnerabilities"))
+    def public(r: Column) -> Column:
+        return F.struct(
+            r["cve_id"].alias("cve_id"), r["severity"].alias("severity"), r["cvss"].alias("cvss"),
+            r["summary"].alias("summary"), r["affected"].alias("affected"), r["fixed_version"].alias("fixed_version"),
+            r["references"].alias("references"),
+        )
+
+    def firsts(hits: Column) -> Column:
+        # The first record of an id is the one with the highest score.
+        return _let(F.transform(hits, lambda r: r["cve_id"]), lambda ids: F.transform(
+            F.filter(hits, lambda r, i: F.array_position(ids, r["cve_id"]) == i + 1), public))
+
+    found_records = _let(F.filter("records", affected), firsts)
+    found = joined.select("__product", F.col("version").alias("__version"), found_records.alias("vulnerabilities"))
     none = F.array().cast(found.schema["vulnerabilities"].dataType)
     back = services.join(found, (F.col("product") == F.col("__product")) & F.col("version").eqNullSafe(F.col("__version")), "left")
     return back.withColumn("vulnerabilities", F.coalesce("vulnerabilities", none)).drop("__product", "__version")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rules, stats
 from ..session import materialize, spread
-from ..sources import decode
+from ..sources import decode, headers
 from .registry import greedy, query
 from .traffic import FLAG_TEXT, QTYPE_NAME, http, icmp, packets
 
@@ -87,6 +87,16 @@ def decode_packets(spark, sf_dir):
         F.col("eth.vlan").alias("vlan"))
 
 
+@query("decode_headers", "packets", sql="""
+SELECT pkt_id, ts, CAST(length AS BIGINT) AS length, src_ip, dst_ip, src_port, dst_port, protocol AS transport, tcp_flags,
+  CAST(CASE WHEN protocol = 'TCP' AND src_port % 3 = 0 THEN 100 END AS INT) AS vlan, '4:' || printf('%02x%02x%02x%02x',
+  split_part(src_ip, '.', 1)::INT, split_part(src_ip, '.', 2)::INT, split_part(src_ip, '.', 3)::INT, split_part(src_ip, '.', 4)::INT) AS src_key FROM packets""")
+def decode_headers(spark, sf_dir):
+    """Flat header columns in one pass over the bytes."""
+    wanted = ("src_ip", "dst_ip", "src_port", "dst_port", "transport", "tcp_flags", "vlan", "src_key")
+    return headers.flat(packet_frames(spark, sf_dir), wanted).withColumnRenamed("wire_length", "length")
+
+
 @query("decode_http", "http_messages", sql="""
 SELECT pkt_id, method, path, 'HTTP/1.1' AS version, http_host AS host, "authorization", CAST(length(body) AS INT) AS body_length, body AS body_preview
 FROM http_messages""")

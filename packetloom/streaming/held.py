@@ -78,7 +78,7 @@ def alert_sink(root: str, rule: Trailing, quiet: float, ts: str = "ts") -> Calla
             rows = materialize(batch)
             if rows.isEmpty():
                 return
-            hits = answers(rows, list(rule.keys), rule.value, rule.span, rule.out, ts).filter(F.col(rule.out) >= rule.least)
+            hits = answers(rows.repartition(*rule.keys, "__slice"), list(rule.keys), rule.value, rule.span, rule.out, ts).filter(F.col(rule.out) >= rule.least)
             names = [*rule.keys, ts, "pkt_id", rule.out]
             fired = follow_cooldown(hits.select(*names), list(rule.keys), quiet, root, number, ts)
             if not fired.isEmpty():

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from packetloom.operators import cooldown as chains
 from packetloom.operators.cooldown import cooldown
 
 
@@ -37,8 +38,10 @@ def frame(spark, rows):
 
 
 # Small fans and more levels put many block borders into the data.
-@pytest.mark.parametrize("seconds,fan,levels", [(30.0, 16, 2), (30.0, 2, 3), (30.0, 1, 1), (7.3, 3, 4), (500.0, 2, 2)])
-def test_same_as_one_by_one(frame, rows, seconds, fan, levels):
+@pytest.mark.parametrize("seconds,fan,levels,few", [
+    (30.0, 16, 2, 0), (30.0, 2, 3, 0), (30.0, 1, 1, 0), (7.3, 3, 4, 0), (500.0, 2, 2, 0), (30.0, 16, 2, 10**6), (7.3, 16, 2, 10**6)])
+def test_same_as_one_by_one(frame, rows, seconds, fan, levels, few, monkeypatch):
+    monkeypatch.setattr(chains, "FEW", few)
     got = cooldown(frame, ["k"], seconds, fan=fan, levels=levels).collect()
     assert sorted([tuple(r) for r in got], key=repr) == brute(rows, seconds)
 

@@ -191,6 +191,45 @@ def test_other_links(spark):
     assert rows(spark, [b"abc"], 147)[0].errors == ["unsupported linktype 147"]
 
 
+def test_flat_headers_equal_the_decoded_layers(spark):
+    """Whole, cut and random frames of all link types; tags, options, fragments and extension headers."""
+    import random
+
+    from packetloom.sources import headers
+
+    r = random.Random(11)
+    bodies = [(6, w.tcp(1, 80, 18, b"abc", options=bytes([2, 4, 5, 180]))), (17, w.udp(53, 4000, b"xyz")), (1, w.icmp(8, 0, 1, 2)), (58, w.icmp(129, 0, 1, 2)), (47, b"gre")]
+    whole = []
+    for proto, body in bodies:
+        for frag in (0, 0x2000, 5, 0x4000):
+            whole.append((1, w.ether(w.ipv4(A, B, proto, body, frag=frag))))
+            whole.append((101, w.ipv4(A, B, proto, body, options=bytes(8), total=r.choice([None, 0, 21, 9999]))))
+        for chain in ((), (0,), (0, 43), (44,), (60, 44), (43, 44, 60)):
+            inner, following = body, proto
+            for kind in reversed(chain):
+                inner, following = bytes([following, r.choice([0, 0, 1])] + [0] * r.choice([6, 14])) + inner, kind
+            whole.append((1, w.ether(w.ipv6("2001:db8::1", r.choice(["::ffff:1.2.3.4", "::5.6.7.8", "fe80::", "1:0:0:2::3"]), following, inner), ethertype=0x86DD,
+                                     vlans=[(0x8100, 7), (0x88A8, 4095)][:r.randrange(3)])))
+    arp = bytes.fromhex("0001080006040001") + bytes(range(20))
+    whole += [(1, w.ether(arp, ethertype=0x0806)), (1, w.ether(b"", vlans=[(0x8100, 5)])), (113, bytes(14) + b"\x08\x00" + w.ipv4(A, B, 6, bodies[0][1])), (113, bytes(16)),
+              (0, b"\x1e\0\0\0" + w.ipv6("::1", "::2", 17, bodies[1][1])), (0, b"\x02\0\0\0" + w.ipv4(A, B, 17, bodies[1][1])), (147, b"abcd"), (101, b""), (1, None)]
+    frames = list(whole)
+    for kind, raw in whole:
+        frames += [(kind, raw[:r.randrange(len(raw) + 1)]) for _ in range(4) if raw]
+        if raw:
+            bent = bytearray(raw)
+            for _ in range(3):
+                bent[r.randrange(len(bent))] = r.randrange(256)
+            frames.append((kind, bytes(bent)))
+    frames += [(r.choice([0, 1, 101, 113]), bytes(r.randrange(256) for _ in range(r.randrange(70)))) for _ in range(300)]
+    df = spark.createDataFrame([(i, float(i), raw, 60, kind) for i, (kind, raw) in enumerate(frames)], "pkt_id bigint, ts double, raw binary, wire_length bigint, linktype bigint")
+    shared = ["pkt_id", "ethertype", "ip_version", "src_ip", "dst_ip", "src_port", "dst_port", "transport", "tcp_flags", "icmp_type"]
+    nested = decode.flatten(decode.decode(df, ("link", "network", "transport"))).select(*shared, F.col("eth.vlan").alias("vlan"), F.col("ip.proto").alias("ip_proto"))
+    got = headers.flat(df, (*shared[1:], "vlan", "ip_proto")).select(*nested.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, nested.collect()))
+    assert headers.flat(df, ("ethertype",)).columns == ["pkt_id", "ts", "wire_length", "ethertype"]
+
+
 def test_capture_files(spark, tmp_path):
     frames = [w.ether(w.ipv4(A, B, 6, w.tcp(i, 80, 2, b"x" * i))) for i in range(1, 400)]
     records = [(1700000000 + i, 250000, f, len(f) + 5) for i, f in enumerate(frames)]
