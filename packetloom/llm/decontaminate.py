@@ -10,9 +10,11 @@ must be replaced by one number).  A diagonal counts if at most half of its equal
 are the item's own.  A document is contaminated by an item if the diagonals cover at least half of the item.  An item
 under eight words is looked for as a whole.
 
-Few documents hold eight words whose seven word pairs all occur in the benchmark.  So while the benchmark has at most ``SET_PAIRS``
-pairs, documents are first read for such runs, and only there windows are hashed; that loses nothing.  Documents are
-never shuffled: windows are joined with the benchmark's, which are broadcast while they are at most ``BROADCAST_WINDOWS``;
+While the benchmark has at most ``SET_WORDS`` words, documents are read in steps that lose nothing.  Every benchmark window
+with two plain words side by side has one such pair chosen as its anchor (the longest; windows without a pair have a
+word); a document without any anchor holds no window and is left after one cheap split into words.  The others get
+their template, and windows are hashed only where all pairs of neighbours occur in the benchmark.  Documents are never
+shuffled: windows are joined with the benchmark's, which are broadcast while they are at most ``BROADCAST_WINDOWS``;
 for a larger benchmark the join is shuffled by window and the documents found are read again.
 
 Defined cases: null and empty texts and items match nothing; an item with several texts is looked for by each of them and
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import stored
 
 WINDOW = 8
-BROADCAST_WINDOWS, SET_PAIRS = 500_000, 20_000
+BROADCAST_WINDOWS, SET_WORDS = 500_000, 20_000
 UNITS = ("km", "m", "cm", "mm", "miles", "mile", "feet", "ft", "inches", "kg", "g", "mg", "lb", "lbs", "pounds", "tons", "l", "ml", "litres", "liters",
          "gallons", "seconds", "minutes", "hours", "hour", "days", "day", "weeks", "months", "years", "year", "dollars", "euros", "cents", "percent",
          "mph", "kmh", "degrees", "volts", "watts", "joules", "newtons", "hz", "khz", "mhz", "kb", "mb", "gb")
@@ -87,6 +89,39 @@ def _pairs(plain: Column, use) -> Column:
     return F.when(F.size(plain) > 1, made)
 
 
+def _anchors(plain: list[list[str]]) -> tuple[set[tuple[str, str]], set[str]] | None:
+    """(pairs, words) of which every window of the items has at least one; None if some window has no plain word."""
+    pairs, singles = set(), set()
+    usable = str.isalpha  # no marks, and no digits, which may have been joined over separators
+    for item in plain:
+        size = min(len(item), WINDOW)
+        for i in range(len(item) - size + 1):
+            window = item[i:i + size]
+            here = [(a, b) for a, b in zip(window, window[1:]) if usable(a) and usable(b)]
+            if not any(p in pairs for p in here) and not any(w in singles for w in window):
+                if here:
+                    pairs.add(max(here, key=lambda p: (min(len(p[0]), 6) + min(len(p[1]), 6), p)))  # any choice is right, rare pairs are fast
+                elif words_left := [w for w in window if usable(w)]:
+                    singles.add(max(words_left, key=lambda w: (len(w), w)))
+                else:
+                    return None
+    return pairs, singles
+
+
+def _with_anchor(docs: DataFrame, pairs: set, singles: set) -> DataFrame:
+    """The documents that hold an anchor."""
+    spark = docs.sparkSession
+    hashes = [r[0] for r in spark.createDataFrame(sorted(pairs), "a string, b string").select(F.xxhash64("a", "b")).collect()] if pairs else []
+    tokens = F.split(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+", " ")), " ")
+
+    def some(w: Column) -> Column:
+        two = F.coalesce(F.exists(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i)).isin(hashes)), F.lit(False))
+        one = F.exists(w, lambda x: x.isin(sorted(singles))) if singles else F.lit(False)
+        return (F.size(w) > 1) & two | one if hashes else one
+
+    return docs.where(_let(tokens, some))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
     """(doc_id, item_id, covered, item_words) of every contamination found."""
     items = stored(_items(benchmark))
@@ -96,8 +131,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> Dat
     wanted = items.select("item_id", "text_no", "n", F.posexplode(F.transform(
         F.sequence(F.lit(0), F.col("n") - size), lambda i: _window(size, F.col("item"), F.col("plain"), i))).alias("b_pos", "window"))
     small = (shape["windows"] or 0) <= BROADCAST_WINDOWS
-    pairs = items.select(F.explode(_pairs(F.col("plain"), lambda h: h)).alias("pair")).distinct().limit(SET_PAIRS + 1).collect() if small else []
-    pairs = [r["pair"] for r in pairs] if small and len(pairs) <= SET_PAIRS and 1 not in sizes else None
+    pairs = None
+    docs = docs.where("doc_id is not null")
+    if sizes and (shape["windows"] or 0) <= SET_WORDS:  # so few words may be looked at here
+        if anchors := _anchors([r["plain"] for r in items.select("plain").collect()]):
+            docs = _with_anchor(docs, *anchors)
+        if 1 not in sizes:
+            pairs = [r["pair"] for r in items.select(F.explode(_pairs(F.col("plain"), lambda h: h)).alias("pair")).distinct().collect()]
 
     text = F.coalesce("text", F.lit(""))
     if pairs is None:
@@ -106,7 +146,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> Dat
         known = lambda h: F.when(h.isin(pairs), "1").otherwise("0")
         read = lambda raw, plain: F.struct(raw.alias("raw"), plain.alias("plain"), F.array_join(_pairs(plain, known), "").alias("bits"))
     both = _let(words(text), lambda raw: _let(F.transform(raw, template), lambda plain: read(raw, plain)))
-    plain = docs.where("doc_id is not null").select("doc_id", both.alias("r")).select("doc_id", "r.*")
+    plain = docs.select("doc_id", both.alias("r")).select("doc_id", "r.*")
     if pairs is not None:
         plain = plain.where(F.contains("bits", F.lit("1" * (min(sizes, default=WINDOW) - 1))))
 

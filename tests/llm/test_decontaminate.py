@@ -34,7 +34,7 @@ def test_half_of_an_item_is_enough(spark):
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
     texts = [prose(k, 50) + " " + ITEM for k in range(5)] + [prose(9, 40)]
     want = _found(spark, texts)
-    for limit in ("SET_PAIRS", "BROADCAST_WINDOWS"):
+    for limit in ("SET_WORDS", "BROADCAST_WINDOWS"):
         monkeypatch.setattr(decontaminate, limit, 0)
         assert _found(spark, texts) == want == {(k, 1) for k in range(5)}
 
@@ -86,6 +86,18 @@ def test_odd_cases(spark):
     assert rows_of(twice) == rows_of(decontaminate.matches(frame(spark, [rows[3]]), bench))
 
 
+def test_steps_lose_nothing(spark, monkeypatch):
+    """With and without anchors and runs of pairs the same is found, in texts full of odd letters, marks and joined digits."""
+    items = [(1, "İstanbul and the ﬁnal river v1.2 of straße 3.5km go on"), (2, "x\x01y marks\x02 inside words of this odd item here"), (3, "1 2 3 4 5 6 7 8 9 10"),
+             (4, "Two Names Only Here"), (5, "plain"), (6, "a1 b2 c3 d4 e5 f6 g7 h8 i9")]
+    texts = [f"{a} {t} {b}" for _, t in items for a, b in (("", ""), ("so", "then"), ("(", ")"), ("9.", ",7"))] + [t.upper() for _, t in items] + ["nothing of it", ""]
+    want = _found(spark, texts, items[:4])
+    assert {(k, i + 1) for i in range(4) for k in range(4 * i, 4 * i + 2)} <= want
+    every = _found(spark, texts, items)
+    monkeypatch.setattr(decontaminate, "SET_WORDS", 0)
+    assert _found(spark, texts, items[:4]) == want and _found(spark, texts, items) == every
+
+
 def test_plan_is_native(spark):
     plan = decontaminate.matches(frame(spark, odd_documents()), spark.createDataFrame(ITEMS, "item_id bigint, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan

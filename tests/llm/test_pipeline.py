@@ -19,11 +19,11 @@ def con():
 @pytest.mark.parametrize("name", sorted(queries.QUERIES) + ["pipeline"])
 def test_query(spark, con, name):
     ok, message = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF_DIR)
-    assert ok or (name == "op3_decontaminate" and " 0 rows" in message), message
+    assert ok, message
 
 
 def test_stages_keep_columns_and_take_effect(spark):
-    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").selectExpr("*", "'x' AS score", "'x' AS toxicity", "'x' AS key", "'x' AS class_id")
     sizes = [docs.count()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF_DIR)
