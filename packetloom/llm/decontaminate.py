@@ -11,8 +11,8 @@ are the item's own.  A document is contaminated by an item if the diagonals cove
 under eight words is looked for as a whole.
 
 While the benchmark has at most ``SET_WORDS`` words, documents are read in steps that lose nothing.  Every benchmark window
-with two plain words side by side has one such pair chosen as its anchor (the longest; windows without a pair have a
-word); a document without any anchor holds no window and is left after one cheap split into words.  The others get
+has an anchor chosen: three plain words side by side, the longest (two or one where there are no three); a document without
+any anchor holds no window and is left after one cheap split into words.  The others get
 their template, and windows are hashed only where all pairs of neighbours occur in the benchmark.  Documents are never
 shuffled: windows are joined with the benchmark's, which are broadcast while they are at most ``BROADCAST_WINDOWS``;
 for a larger benchmark the join is shuffled by window and the documents found are read again.
@@ -55,8 +55,7 @@ def words(text: Column) -> Column:
     """Words in lower case; names, numbers and units begin with their mark."""
     for pattern, parts in STEPS:
         text = F.regexp_replace(text, pattern, _replacement(parts, "$"))
-    text = F.trim(F.lower(text))
-    return F.when(F.length(text) > 0, F.split(text, " ")).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.split(F.trim(F.lower(text)), " "), lambda w: w != "")
 
 
 def template(raw: Column) -> Column:
@@ -89,37 +88,38 @@ def _pairs(plain: Column, use) -> Column:
     return F.when(F.size(plain) > 1, made)
 
 
-def _anchors(plain: list[list[str]]) -> tuple[set[tuple[str, str]], set[str]] | None:
-    """(pairs, words) of which every window of the items has at least one; None if some window has no plain word."""
-    pairs, singles = set(), set()
+def _anchors(plain: list[list[str]]) -> dict[int, set[tuple[str, ...]]] | None:
+    """Runs of three, two or one plain words, by their length, of which every window of the items has at least one; None if some
+    window has no plain word."""
+    chosen: dict[int, set[tuple[str, ...]]] = {3: set(), 2: set(), 1: set()}
     usable = str.isalpha  # no marks, and no digits, which may have been joined over separators
     for item in plain:
         size = min(len(item), WINDOW)
         for i in range(len(item) - size + 1):
             window = item[i:i + size]
-            here = [(a, b) for a, b in zip(window, window[1:]) if usable(a) and usable(b)]
-            if not any(p in pairs for p in here) and not any(w in singles for w in window):
-                if here:
-                    pairs.add(max(here, key=lambda p: (min(len(p[0]), 6) + min(len(p[1]), 6), p)))  # any choice is right, rare pairs are fast
-                elif words_left := [w for w in window if usable(w)]:
-                    singles.add(max(words_left, key=lambda w: (len(w), w)))
-                else:
+            runs = {k: [r for r in zip(*(window[j:] for j in range(k))) if all(map(usable, r))] for k in chosen}
+            if not any(r in chosen[k] for k in chosen for r in runs[k]):
+                k = next((k for k in chosen if runs[k]), None)
+                if k is None:
                     return None
-    return pairs, singles
+                chosen[k].add(max(runs[k], key=lambda r: (sum(min(len(w), 6) for w in r), r)))  # any choice is right, rare runs are fast
+    return chosen
 
 
-def _with_anchor(docs: DataFrame, pairs: set, singles: set) -> DataFrame:
+def _with_anchor(docs: DataFrame, anchors: dict[int, set[tuple[str, ...]]]) -> DataFrame:
     """The documents that hold an anchor."""
     spark = docs.sparkSession
-    hashes = [r[0] for r in spark.createDataFrame(sorted(pairs), "a string, b string").select(F.xxhash64("a", "b")).collect()] if pairs else []
-    tokens = F.split(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+", " ")), " ")
+    hashes = {k: [r[0] for r in spark.createDataFrame([(list(r),) for r in sorted(runs)], "r array<string>")
+                  .select(F.xxhash64(*[F.col("r")[j] for j in range(k)])).collect()] for k, runs in anchors.items() if runs}
+    # as SQL text: a literal made one by one costs more than the search
+    tests = [f"size(w) >= {k} AND exists(sequence(0, size(w) - {k}), i -> xxhash64({', '.join(f'get(w, i + {j})' for j in range(k))}) IN ({_longs(known)}))"
+             for k, known in hashes.items()]
+    tokens = r"split(lower(regexp_replace(coalesce(text, ''), r'[^\p{L}\p{N}]+', ' ')), ' ')"
+    return docs.where(F.expr(f"transform(array({tokens}), w -> {' OR '.join(tests)})[0]"))
 
-    def some(w: Column) -> Column:
-        two = F.coalesce(F.exists(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i)).isin(hashes)), F.lit(False))
-        one = F.exists(w, lambda x: x.isin(sorted(singles))) if singles else F.lit(False)
-        return (F.size(w) > 1) & two | one if hashes else one
 
-    return docs.where(_let(tokens, some))
+def _longs(values: list[int]) -> str:
+    return ", ".join(f"{v}L" if v > -(2**63) else "CAST('-9223372036854775808' AS BIGINT)" for v in values)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
@@ -135,20 +135,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> Dat
     docs = docs.where("doc_id is not null")
     if sizes and (shape["windows"] or 0) <= SET_WORDS:  # so few words may be looked at here
         if anchors := _anchors([r["plain"] for r in items.select("plain").collect()]):
-            docs = _with_anchor(docs, *anchors)
+            docs = _with_anchor(docs, anchors)
         if 1 not in sizes:
             pairs = [r["pair"] for r in items.select(F.explode(_pairs(F.col("plain"), lambda h: h)).alias("pair")).distinct().collect()]
 
     text = F.coalesce("text", F.lit(""))
-    if pairs is None:
-        read = lambda raw, plain: F.struct(raw.alias("raw"), plain.alias("plain"))
-    else:
-        known = lambda h: F.when(h.isin(pairs), "1").otherwise("0")
-        read = lambda raw, plain: F.struct(raw.alias("raw"), plain.alias("plain"), F.array_join(_pairs(plain, known), "").alias("bits"))
-    both = _let(words(text), lambda raw: _let(F.transform(raw, template), lambda plain: read(raw, plain)))
-    plain = docs.select("doc_id", both.alias("r")).select("doc_id", "r.*")
+    both = _let(words(text), lambda raw: F.struct(raw.alias("raw"), F.transform(raw, template).alias("plain")))
+    # the one-element inline is a step that filters are not copied through
+    plain = docs.select("doc_id", F.inline(F.array(both)))
     if pairs is not None:
-        plain = plain.where(F.contains("bits", F.lit("1" * (min(sizes, default=WINDOW) - 1))))
+        bits = f"transform(sequence(1, size(plain) - 1), i -> CASE WHEN xxhash64(get(plain, i - 1), get(plain, i)) IN ({_longs(pairs)}) THEN '1' ELSE '0' END)"
+        plain = plain.where("size(plain) > 1").withColumn("bits", F.expr(f"array_join({bits}, '')")).where(
+            F.contains("bits", F.lit("1" * (min(sizes, default=WINDOW) - 1))))
 
     def windows(size: int) -> Column:
         at = F.sequence(F.lit(0), F.size("plain") - size)
