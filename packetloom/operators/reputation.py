@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 CEILING = 100
 _FLOOR = -(10**9)
 
@@ -104,42 +106,95 @@ def fold(
 
 
 def advance(events: DataFrame, reputation: DataFrame | None = None, decay_hours: float = 24, amount: int = 5,
-            cycle_seconds: float = 15) -> tuple[DataFrame, DataFrame]:
+            cycle_seconds: float = 15, block_cycles: int = 20, fan: int = 64) -> tuple[DataFrame, DataFrame]:
     """Carry a reputation table on by new score events.
 
     Returns (ip, ts, next_ts, score, blocklisted, notes) after each instant with events, the carried state included as
     the instant of its last event; and the reputation of every address at its last event (decay since then is left to
-    the next step).  The list of an address is bounded by the cycles that are handled at once.
+    the next step).
+
+    Time is cut into blocks of ``block_cycles`` cycles and ``fan`` blocks are a stretch.  A block is reduced to one step, a
+    stretch likewise; an address walks its stretches, hands each the state before it, a stretch does so to its
+    blocks, and a block to its events.  A walk keeps every state on its way, so its lists are short by construction.
     """
     idle = decay_hours * 3600
-    many = events.groupBy("ip").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "points", "note", "blocklisted"))).alias("steps"))
-    empty = F.array().cast("array<struct<ts:double,seq:int,points:int,note:string,blocklisted:boolean>>")
-    if reputation is None:
-        start = many.select("ip", "steps", F.lit(None).cast("double").alias("first_seen"), F.lit(None).cast("double").alias("last_seen"),
-                            F.lit(0).alias("score"), F.lit(False).alias("blocklisted"), F.lit("").alias("notes"))
-    else:
-        start = reputation.select("ip", "score", "first_seen", "last_seen", "blocklisted", "notes").join(many, "ip", "full").select(
-            "ip", F.coalesce("steps", empty).alias("steps"), "first_seen", "last_seen", F.coalesce("score", F.lit(0)).alias("score"),
-            F.coalesce("blocklisted", F.lit(False)).alias("blocklisted"), F.coalesce("notes", F.lit("")).alias("notes"))
+    length = float(cycle_seconds * block_cycles)
+    blocks = materialize(events.groupBy(F.struct("ip").alias("key"), F.floor(F.col("ts") / length).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("ts", "seq", "points", "note", "blocklisted"))).alias("steps")))
+
+    def noted(text: Column, note: Column) -> Column:
+        return F.when(text.contains(note), text).when(text == "", note).otherwise(F.concat(text, F.lit("; "), note))
+
+    def moved(first: Column, last: Column, step: Column, flag: Column, notes: Column) -> Column:
+        """What one event, or several in a row, do to a state."""
+        return F.struct(first.cast("double").alias("first"), last.cast("double").alias("last"), step.alias("step"), flag.alias("flag"), notes.alias("notes"))
+
+    def event(e: Column) -> Column:
+        # the score before is at least 0 when points are added; missing points give the ceiling
+        low = F.least(F.lit(CEILING), e["points"])
+        return moved(e["ts"], e["ts"], _step(F.coalesce(e["points"], F.lit(0)), low, F.lit(CEILING)), e["blocklisted"], F.array(e["note"]))
+
+    def ticks(last: Column, now: Column) -> Column:
+        return F.when(last.isNotNull(), ticks_between(last, now, idle, cycle_seconds, inclusive=False)).otherwise(F.lit(0).cast("long"))
 
-    def state(ts, score, blocklisted, notes):
+    def joined(m: Column, n: Column) -> Column:
+        decay = _step(-ticks(m["last"], n["first"]) * amount, F.lit(_FLOOR), F.lit(-_FLOOR))
+        return moved(m["first"], n["last"], _then(_then(m["step"], decay), n["step"]), F.coalesce(n["flag"], m["flag"]),
+                     F.array_distinct(F.concat(m["notes"], n["notes"])))
+
+    def reduced(moves: Column) -> Column:
+        return F.aggregate(F.slice(moves, F.lit(2), F.size(moves)), moves[0], joined)
+
+    def state(ts: Column, score: Column, blocklisted: Column, notes: Column) -> Column:
         return F.struct(ts.cast("double").alias("ts"), score.cast("int").alias("score"), blocklisted.alias("blocklisted"), notes.alias("notes"))
 
-    def step(done: Column, e: Column) -> Column:
-        was = F.element_at(done, -1)
-        ticks = F.when(was["ts"].isNotNull(), ticks_between(was["ts"], e["ts"], idle, cycle_seconds, inclusive=False)).otherwise(F.lit(0).cast("long"))
-        score = F.least(F.lit(CEILING), F.greatest(was["score"] - ticks * amount, F.lit(0)) + e["points"])
-        notes = F.when(was["notes"].contains(e["note"]), was["notes"]).when(was["notes"] == "", e["note"]).otherwise(F.concat(was["notes"], F.lit("; "), e["note"]))
-        return F.concat(done, F.array(state(e["ts"], score, F.coalesce(e["blocklisted"], was["blocklisted"]), notes)))
+    def after_move(was: Column, m: Column) -> Column:
+        score = _clamped(was["score"] - ticks(was["ts"], m["first"]) * amount + m["step"]["add"], m["step"])
+        return state(m["last"], score, F.coalesce(m["flag"], was["blocklisted"]), F.aggregate(m["notes"], was["notes"], noted))
+
+    def walked(begin: Column, moves: Column) -> Column:
+        """The state before each move, and the one after all."""
+        return F.aggregate(moves, F.array(begin), lambda done, m: F.concat(done, F.array(after_move(F.element_at(done, -1), m))))
+
+    def handed(groups: DataFrame, number: str) -> DataFrame:
+        """(key, number, begin, next_ts) of every part of a group: the state before it and the first instant after it."""
+        parts = F.transform("parts", lambda p, i: F.struct(
+            p["number"].alias(number), F.get("states", i).alias("begin"), F.coalesce(F.get("parts", i + 1)["move"]["first"], F.col("next_ts")).alias("next_ts")))
+        return groups.select("key", F.inline(parts))
+
+    def gathered(df: DataFrame, number: str, *by: str) -> DataFrame:
+        return df.groupBy("key", *by).agg(F.array_sort(F.collect_list(F.struct(F.col(number).alias("number"), "move"))).alias("parts"))
 
-    begun = F.array(state(F.col("last_seen"), F.col("score"), F.col("blocklisted"), F.col("notes")))
-    walked = start.select("ip", F.coalesce("first_seen", F.col("steps")[0]["ts"]).alias("first_seen"), F.aggregate("steps", begun, step).alias("states"))
+    moves = F.transform("parts", lambda p: p["move"])
+    of_blocks = blocks.select("key", "block", F.floor(F.col("block") / fan).alias("stretch"), reduced(F.transform("steps", event)).alias("move"))
+    stretches = gathered(of_blocks, "block", "stretch")
+    of_addresses = gathered(stretches.select("key", "stretch", reduced(moves).alias("move")), "stretch").select("key.ip", "parts")
+
+    none = F.array().cast(of_addresses.schema["parts"].dataType)
+    if reputation is None:
+        start = of_addresses.select("ip", "parts", F.lit(None).cast("double").alias("first_seen"), F.lit(None).cast("double").alias("last_seen"),
+                                    F.lit(0).alias("score"), F.lit(False).alias("blocklisted"), F.lit("").alias("notes"))
+    else:
+        start = reputation.select("ip", "score", "first_seen", "last_seen", "blocklisted", "notes").join(of_addresses, "ip", "full").select(
+            "ip", F.coalesce("parts", none).alias("parts"), "first_seen", "last_seen", F.coalesce("score", F.lit(0)).alias("score"),
+            F.coalesce("blocklisted", F.lit(False)).alias("blocklisted"), F.coalesce("notes", F.lit("")).alias("notes"))
+    begun = state(F.col("last_seen"), F.col("score"), F.col("blocklisted"), F.col("notes"))
+    first = F.get("parts", F.lit(0))["move"]["first"]
+    addresses = materialize(start.select(F.struct("ip").alias("key"), "parts", F.coalesce("first_seen", first).alias("first_seen"), first.alias("next_ts"),
+                                         walked(begun, moves).alias("states")))
+
+    last = F.lit(None).cast("double")
+    of_stretches = handed(addresses.withColumn("next_ts", last).filter("size(parts) > 0"), "stretch").join(stretches, ["key", "stretch"])
+    begins = handed(of_stretches.withColumn("states", walked(F.col("begin"), moves)), "block")
+    inside = begins.join(blocks, ["key", "block"]).select("key.ip", "next_ts", walked(F.col("begin"), F.transform("steps", event)).alias("states"))
     # of several events of one instant the last state counts
-    settled = walked.select("ip", F.filter(F.transform("states", lambda s, i: F.struct(s.alias("s"), F.get("states", i + 1)["ts"].alias("next_ts"))),
-                                           lambda x: x["s"]["ts"].isNotNull() & ~x["s"]["ts"].eqNullSafe(x["next_ts"])).alias("all"))
-    states = settled.select("ip", F.explode("all").alias("x")).select("ip", "x.s.ts", "x.next_ts", "x.s.score", "x.s.blocklisted", "x.s.notes")
+    settled = inside.select("ip", F.inline(F.transform(F.slice("states", F.lit(2), F.size("states")), lambda s, i: F.struct(
+        s.alias("s"), F.coalesce(F.get("states", i + 2)["ts"], F.col("next_ts")).alias("next_ts")))))
+    carried = addresses.select("key.ip", F.col("states")[0].alias("s"), "next_ts")
+    states = settled.unionByName(carried).filter(F.col("s.ts").isNotNull() & ~F.col("s.ts").eqNullSafe(F.col("next_ts"))).select(
+        "ip", "s.ts", "next_ts", "s.score", "s.blocklisted", "s.notes")
     end = F.element_at("states", -1)
-    after = walked.select("ip", end["score"].alias("score"), "first_seen", end["ts"].alias("last_seen"), end["blocklisted"].alias("blocklisted"), end["notes"].alias("notes"))
+    after = addresses.select("key.ip", end["score"].alias("score"), "first_seen", end["ts"].alias("last_seen"), end["blocklisted"].alias("blocklisted"), end["notes"].alias("notes"))
     return states, after
 
 

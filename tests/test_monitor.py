@@ -248,3 +248,29 @@ def test_alert_sinks(spark, tmp_path):
     assert json.loads(document[1].json)["evidence"] == {"n": "3"}
     tables.write_alert_lines(alerts, str(tmp_path / "lines"))
     assert spark.read.json(str(tmp_path / "lines")).first().timestamp == "1970-01-01T00:00:02Z"
+
+
+def test_reputation_of_one_address_over_many_cycles(spark):
+    """Forty thousand events of one address, walked one by one; keeping all states in one list took minutes."""
+    import time
+    from packetloom.operators.reputation import advance
+
+    events = spark.range(40_000).select(
+        F.lit("a").alias("ip"), (F.floor(F.col("id") / 2) * 15.0 + F.floor(F.col("id") / 1000) * 90_000.0).alias("ts"), (F.col("id") % 2).cast("int").alias("seq"),
+        (F.col("id") % 7).cast("int").alias("points"), F.concat(F.lit("n"), (F.col("id") % 3).cast("string")).alias("note"),
+        F.when(F.col("id") % 9000 == 5, F.col("id") % 2 == 1).alias("blocklisted"))
+    start = time.time()
+    states, after = advance(events)
+    got = {r["ts"]: (r["next_ts"], r["score"], r["blocklisted"], r["notes"]) for r in states.collect()}
+    assert time.time() - start < 60
+    rows = sorted(tuple(r) for r in events.select("ts", "seq", "points", "note", "blocklisted").collect())
+    last, score, flag, notes, expected = None, 0, False, [], {}
+    for ts, _, points, note, listed in rows:
+        ticks = 0 if last is None else max(0, -int(-ts // 15) - 1 - int((last + 86400) // 15))
+        score = min(100, max(score - 5 * ticks, 0) + points)
+        flag = flag if listed is None else listed
+        notes += [note] if note not in notes else []
+        expected[ts], last = (score, flag, "; ".join(notes)), ts
+    times = sorted(expected)
+    assert got == {t: (n, *expected[t]) for t, n in zip(times, [*times[1:], None])}
+    assert [tuple(r) for r in after.collect()] == [("a", score, times[0], last, flag, "; ".join(notes))]
