@@ -67,6 +67,8 @@ def _file_format(head: bytes):
 
 #: Plausible headers in a row that make a record border, and the largest record looked for.
 CHAIN, LARGEST = 8, 1 << 20
+#: So many bytes of small ranges make a task.
+TASK_BYTES = 16 << 20
 
 
 def _field(data: np.ndarray, at: np.ndarray, order: str) -> np.ndarray:
@@ -182,7 +184,9 @@ def file_ranges(spark: SparkSession, path: str, split_bytes: int = 64 << 20) ->
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("size"))  # content is not read
     number = F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / split_bytes)))
     cut = files.filter("size > 0").select("file", "size", number.alias("number")).selectExpr("*", "number AS last", "CAST(NULL AS bigint) AS start")
-    tasks = min(max(cut.count(), 1), 10_000)
+    count, size = cut.agg(F.count("*"), F.sum(F.least(F.lit(split_bytes), F.col("size") - F.col("number") * split_bytes))).first()
+    # small ranges share a task: one for each 16 MB, and for each core
+    tasks = min(max(count, 1), max(spark.sparkContext.defaultParallelism, -(-(size or 0) // TASK_BYTES)), 10_000)
     known = materialize(_dealt(cut, tasks).mapInArrow(_measure_ranges(split_bytes), RANGE_SCHEMA))
     by_number = Window.partitionBy("file").orderBy("number")  # one small row for each range
     while True:
