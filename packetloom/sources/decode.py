@@ -176,31 +176,24 @@ def _network(frames: DataFrame) -> DataFrame:
     )
 
 
+#: An option other than "end" and "nop" behind any number of "nop": kind, size and as many bytes as the size says, in hex.
+_OPTION = r"\G(?:01)*((?!0[01])[0-9A-F]{2}(?:" + "|".join(f"{n:02X}[0-9A-F]{{{2 * n - 4}}}" for n in range(2, 41)) + "))"
+
+
 def _tcp_options(data: Column) -> Column:
-    """Option texts of an option block (40 bytes at most)."""
-    def step(state: Column, _: Column) -> Column:
-        at = state["at"]
-        kind, size = _int(data, at, 1), _int(data, at + 1, 1)
-        live = ~state["done"] & (at < F.length(data))
-        usable = (at + 1 < F.length(data)) & (size >= 2) & (at + size <= F.length(data))
-        text = (
-            F.when((kind == 2) & (size == 4), F.concat(F.lit("mss="), _number(data, at + 2, 2).cast("string")))
-            .when((kind == 3) & (size == 3), F.concat(F.lit("wscale="), _number(data, at + 2, 1).cast("string")))
-            .when((kind == 8) & (size == 10), F.concat(
-                F.lit("ts="), _number(data, at + 2, 4).cast("string"), F.lit("/"), _number(data, at + 6, 4).cast("string")))
-            .otherwise(F.coalesce(labels.lookup(kind, TCP_OPTIONS), F.concat(F.lit("opt-"), kind.cast("string"))))
-        )
-        stopped = F.struct(at.alias("at"), F.lit(True).alias("done"), state["out"].alias("out"))
+    """Option texts of an option block (40 bytes at most), up to the first that does not fit."""
+    def number(option: Column, at: int, size: int) -> Column:
+        return F.conv(F.substring(option, 2 * at + 1, 2 * size), 16, 10)
+
+    def text(option: Column) -> Column:
+        kind, size = number(option, 0, 1).cast("int"), F.length(option) / 2
         return (
-            F.when(~live | (kind == 0), stopped)
-            .when(kind == 1, F.struct((at + 1).alias("at"), F.lit(False).alias("done"), state["out"].alias("out")))
-            .when(usable, F.struct((at + size).alias("at"), F.lit(False).alias("done"),
-                                   F.concat(state["out"], F.array(text)).alias("out")))
-            .otherwise(stopped)
+            F.when((kind == 2) & (size == 4), F.concat(F.lit("mss="), number(option, 2, 2)))
+            .when((kind == 3) & (size == 3), F.concat(F.lit("wscale="), number(option, 2, 1)))
+            .when((kind == 8) & (size == 10), F.concat(F.lit("ts="), number(option, 2, 4), F.lit("/"), number(option, 6, 4)))
+            .otherwise(F.coalesce(labels.lookup(kind, TCP_OPTIONS), F.concat(F.lit("opt-"), kind.cast("string"))))
         )
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, step, lambda s: s["out"])
+    return F.transform(F.regexp_extract_all(F.hex(data), F.lit(_OPTION), F.lit(1)), text)
 
 
 def _transport(frames: DataFrame) -> DataFrame:

@@ -25,3 +25,30 @@ def test_small_ranges_share_a_task(spark, tmp_path):
     assert ranges.count() > 100 and tasks <= spark.sparkContext.defaultParallelism
     frames = capture.read_frames(spark, f"file://{tmp_path}/*.pcap", split_bytes=1024)
     assert sorted((r.frame_no, r.ts) for r in frames.select("frame_no", "ts").collect()) == [(i, 1700000000 + i + i / 1e6) for i in range(2000)]
+
+
+def test_tcp_options_are_found_in_one_pass(spark):
+    def texts(data):
+        out, at = [], 0
+        while at < len(data) and data[at]:
+            kind = data[at]
+            if kind == 1:
+                at += 1
+                continue
+            size = data[at + 1] if at + 1 < len(data) else 0
+            if size < 2 or at + size > len(data):
+                break
+            body = data[at + 2:at + size]
+            number = int.from_bytes(body, "big")
+            known = {2: "mss", 3: "wscale"}.get(kind) if (kind, size) in ((2, 4), (3, 3)) else None
+            stamps = f"ts={int.from_bytes(body[:4], 'big')}/{int.from_bytes(body[4:], 'big')}" if (kind, size) == (8, 10) else None
+            out.append(f"{known}={number}" if known else stamps or decode.TCP_OPTIONS.get(kind, f"opt-{kind}"))
+            at += size
+        return out
+
+    r = random.Random(5)
+    blocks = [bytes(r.choice([0, 1, 1, 2, 3, 3, 4, 4, 8, 10, 34, 40, 41, 255]) for _ in range(r.randrange(1, 41))) for _ in range(3000)]
+    blocks += [bytes.fromhex("020405b40103030701010402080a0000000a00000014"), bytes([5, 40]) + bytes(38)]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(blocks)], "i int, d binary").select("i", decode._tcp_options(F.col("d")).alias("o"))
+    assert {x.i: x.o for x in df.collect()} == {i: texts(b) for i, b in enumerate(blocks)}
+    assert "aggregate(" not in _plan(df)
