@@ -197,20 +197,22 @@ def endpoint(ip: Column, mac: Column, port: Column) -> Column:
 def ipv6_text(raw: Column) -> Column:
     """16 bytes → shortest text form (longest zero run folded, embedded IPv4 shown dotted)."""
     hexed = F.lower(F.hex(raw))
-    words = F.transform(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda i: F.conv(F.substring(hexed, i * 4 + 1, F.lit(4)), 16, 16),
-    )
-    plain = F.lower(F.array_join(words, ":"))
+    parted = F.regexp_replace(hexed, "(.{4})(?=.)", "$1:")
+    plain = F.regexp_replace(parted, "(^|:)0{1,3}(?=[0-9a-f])", "$1")
     v4_tail = F.concat_ws(
         ".", *[F.conv(F.substring(hexed, 25 + 2 * i, 2), 16, 10) for i in range(4)]
     )
-    folded = plain
-    # Longest run first; the leftmost of equal runs wins because replacement stops at one.
-    for run in range(2, 9):
-        zeros = ":".join(["0"] * run)
-        pattern = rf"(?:^|:){zeros}(?:$|:)"
-        folded = F.when(plain.rlike(pattern), F.regexp_replace(plain, rf"^(.*?)(?:^|:){zeros}(?:$|:)", "$1::")).otherwise(folded)
+
+    def fold(text: Column) -> Column:
+        folded = text
+        # Longest run first; the leftmost of equal runs wins because replacement stops at one.
+        for run in range(2, 9):
+            zeros = ":".join(["0"] * run)
+            pattern = rf"(?:^|:){zeros}(?:$|:)"
+            folded = F.when(text.rlike(pattern), F.regexp_replace(text, rf"^(.*?)(?:^|:){zeros}(?:$|:)", "$1::")).otherwise(folded)
+        return F.when(text.rlike(r"(?:^|:)0:0(?:$|:)"), folded).otherwise(text)
+
+    folded = F.transform(F.array(plain), fold)[0]  # the text is made once
     mapped = F.substring(hexed, 1, 24) == "0" * 20 + "ffff"
     compat = (F.substring(hexed, 1, 24) == "0" * 24) & (F.substring(hexed, 25, 4) != "0000")
     return (

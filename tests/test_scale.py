@@ -52,3 +52,12 @@ def test_tcp_options_are_found_in_one_pass(spark):
     df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(blocks)], "i int, d binary").select("i", decode._tcp_options(F.col("d")).alias("o"))
     assert {x.i: x.o for x in df.collect()} == {i: texts(b) for i, b in enumerate(blocks)}
     assert "aggregate(" not in _plan(df)
+
+
+def test_ipv6_text_is_made_once(spark):
+    r = random.Random(6)
+    raws = [b"".join(r.choice([b"\0\0", b"\0\1", bytes([0, r.randrange(256)]), r.randbytes(2)]) for _ in range(8)) for _ in range(2000)]
+    raws = [x for x in raws if x[:10] != bytes(10)]  # those with an embedded IPv4 address are tested elsewhere
+    df = spark.createDataFrame([(bytearray(x),) for x in raws], "d binary").select("d", net.ipv6_text(F.col("d")).alias("t"))
+    assert all(x.t == str(ipaddress.IPv6Address(bytes(x.d))) for x in df.collect())
+    assert "sequence" not in _plan(df)
