@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import deal
+
 SLICE_SPANS = 4
 
 
@@ -41,7 +43,7 @@ def _dealt(df: DataFrame, keys: list[str], value: str | None, amount: Column | N
     thin = df.select(*dict.fromkeys([*keys, *([value] if value else []), ts, seq]), *([] if value else [amount.alias("__amount")]),
                      home.alias("__home"), F.explode(F.sequence(home, leaves)).alias("__slice"))
     amount = None if value else F.col("__amount")
-    return instants(thin.repartition(*keys, "__slice"), keys, value, amount, ts, seq, more=("__home", "__slice"))
+    return instants(deal(thin, *keys, "__slice"), keys, value, amount, ts, seq, more=("__home", "__slice"))
 
 
 def _events(df: DataFrame, ts: str, span: float, arriving: Column, leaving: Column) -> DataFrame:

@@ -93,6 +93,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deal(df: DataFrame, *by: str, task_bytes: int = 4 << 20) -> DataFrame:
+    """Rows dealt by columns to the session's shuffle partitions, or to more: one for each ``task_bytes`` of the files that are
+    read, so that a task's share does not grow with the input."""
+    spark = df.sparkSession
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    size = sum(p.getFileSystem(hadoop).getFileStatus(p).getLen() for p in paths)
+    tasks = -(-size // task_bytes)
+    return df.repartition(tasks, *by) if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*by)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy work at least one task per core; input that already has enough splits is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism

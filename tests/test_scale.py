@@ -61,3 +61,10 @@ def test_ipv6_text_is_made_once(spark):
     df = spark.createDataFrame([(bytearray(x),) for x in raws], "d binary").select("d", net.ipv6_text(F.col("d")).alias("t"))
     assert all(x.t == str(ipaddress.IPv6Address(bytes(x.d))) for x in df.collect())
     assert "sequence" not in _plan(df)
+
+
+def test_tasks_grow_with_the_files_read(spark, tmp_path):
+    spark.range(50_000).select((F.col("id") % 1000).alias("k"), F.rand(1).alias("x")).write.parquet(f"file://{tmp_path}/t")
+    df = spark.read.parquet(f"file://{tmp_path}/t")
+    assert deal(df, "k", task_bytes=10_000).rdd.getNumPartitions() > 30
+    assert deal(df, "k").groupBy("k").count().count() == 1000
