@@ -1,7 +1,7 @@
 """Streaming queries replayed over the given tables; the SQL states what must have come out.
 
-A replay stores the rows as files in time order and streams them one file a micro-batch.  It stops after the third file
-and goes on from the checkpoint with the rest, so state is carried over batches and over a restart.
+A replay stores the rows in stretches of time, each written and read by as many tasks as it has work for, and streams a stretch
+a micro-batch.  The stream stops after each and goes on from the checkpoint, so state is carried over batches and restarts.
 """
 
 from __future__ import annotations
@@ -20,19 +20,19 @@ from .registry import greedy, query
 from .traffic import DOMAIN, icmp, packets, questions
 from .views import view
 
-FILES, STOP = 6, 3
+STRETCHES = 6
 
 
 def _batches(df, ts="ts", closing=False):
-    """Rows of one table cut into ``FILES`` stretches of time; ``closing`` adds a copy of the newest row a day later, whose
+    """Rows of one table cut into ``STRETCHES`` stretches of time; ``closing`` adds a copy of the newest row a day later, whose
     time lets the watermark pass everything before it."""
     rows = materialize(df)
     low, high = rows.agg(F.min(ts), F.max(ts)).first()
     if low is None:
         return
-    step = (high - low) / (FILES - closing) + 1e-6
+    step = (high - low) / (STRETCHES - closing) + 1e-6
     part = F.floor((F.col(ts) - low) / step)
-    for k in range(FILES - closing):
+    for k in range(STRETCHES - closing):
         yield rows.filter(part == k)
     if closing:
         yield rows.orderBy(F.desc(ts)).limit(1).withColumn(ts, F.col(ts) + 86400.0)
@@ -44,18 +44,17 @@ def replay(df, build, start=None, closing=False):
     root = new_folder(spark)
 
     def run():
-        stream = windows.with_event_time(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
+        stream = windows.with_event_time(spark.readStream.schema(df.schema).parquet(f"{root}/in"))
         out = build(stream)
         writer = out.writeStream.format("parquet").option("path", f"{root}/out").outputMode("append") if start is None else start(out, root)
         writer.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
         return out.schema
 
     schema = None
-    for k, rows in enumerate(_batches(df, closing=closing)):
-        rows.coalesce(1).write.mode("append").parquet(f"{root}/in")
-        if k == STOP - 1:
-            run()
-    schema = run()
+    for rows in _batches(df, closing=closing):
+        rows.write.mode("append").parquet(f"{root}/in")  # a run takes all files that are new: this stretch
+        schema = run()
+    schema = schema or run()
     return spark.read.schema(schema).parquet(f"{root}/out") if start is None else root
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import Counter, deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -62,10 +63,15 @@ def trailing_distinct_alerts(
         frame = deque(zip(times, values))
         seen = Counter(values)
         batch = pd.concat(list(batches), ignore_index=True).sort_values([ts, seq], kind="stable")
+        batch = batch[batch[ts].notna()]
         out = []
+        instants, held, numbers = batch[ts].to_numpy(), batch[value].tolist(), batch[seq].tolist()
+        begin = np.flatnonzero(instants[1:] != instants[:-1]) + 1
+        edges = [0, *begin.tolist(), len(instants)] if len(instants) else []
         # Rows of one instant enter together, as in the batch rule.
-        for at, group in batch.groupby(ts, sort=True):
-            for v in group[value]:
+        for low, high in zip(edges, edges[1:]):
+            at = float(instants[low])
+            for v in held[low:high]:
                 frame.append((at, v))
                 seen[v] += 1
             while frame and frame[0][0] < at - span:
@@ -75,7 +81,7 @@ def trailing_distinct_alerts(
                     del seen[old]
             if len(seen) >= threshold and (last is None or at - last >= seconds):
                 last = at
-                out.append((*key, at, group[seq].iloc[0], len(seen)))
+                out.append((*key, at, numbers[low], len(seen)))
         state.update((last, [float(t) for t, _ in frame], [v for _, v in frame]))
         newest = max([frame[-1][0]] if frame else [0.0])
         _expire_at(state, max(newest + span, (last if last is not None else newest) + seconds))

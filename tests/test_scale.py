@@ -68,3 +68,11 @@ def test_tasks_grow_with_the_files_read(spark, tmp_path):
     df = spark.read.parquet(f"file://{tmp_path}/t")
     assert deal(df, "k", task_bytes=10_000).rdd.getNumPartitions() > 30
     assert deal(df, "k").groupBy("k").count().count() == 1000
+
+
+def test_a_stretch_of_a_replay_is_written_by_several_tasks(spark):
+    rows = spark.range(0, 6000, numPartitions=4).select((F.col("id") % 601).cast("double").alias("ts"), "id")
+    root = streams.replay(rows, lambda s: s.drop("event_time"), start=lambda out, root: out.writeStream.format("parquet").option("path", f"{root}/out"))
+    folder = root.removeprefix("file://")
+    assert len(glob.glob(f"{folder}/in/*.parquet")) > 2 * streams.STRETCHES
+    assert spark.read.parquet(f"{root}/out").agg(F.count("id"), F.count_distinct("id")).first() == (6000, 6000)
