@@ -19,9 +19,12 @@ def _folder(spark: SparkSession, path: str):
 
 
 def put(df: DataFrame, root: str, table: str, batch: int, ts: str = "ts") -> None:
-    """Write a batch's rows, in place of those of an earlier try."""
+    """Write a batch's rows, in place of those of an earlier try.
+
+    Rows go by period first, else every task would write a file for every period; a large period is split again.
+    """
     rows = df.withColumn("period", F.floor(F.col(ts) / PERIOD)).withColumn("batch", F.lit(batch).cast("bigint"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period", "batch").parquet(f"{root}/{table}")
+    rows.hint("rebalance", "period").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period", "batch").parquet(f"{root}/{table}")
 
 
 def recent(spark: SparkSession, root: str, table: str, schema: str, low: float, high: float, batch: int, ts: str = "ts") -> DataFrame:

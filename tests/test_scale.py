@@ -76,3 +76,10 @@ def test_a_stretch_of_a_replay_is_written_by_several_tasks(spark):
     folder = root.removeprefix("file://")
     assert len(glob.glob(f"{folder}/in/*.parquet")) > 2 * streams.STRETCHES
     assert spark.read.parquet(f"{root}/out").agg(F.count("id"), F.count_distinct("id")).first() == (6000, 6000)
+
+
+def test_a_period_is_not_one_file_of_every_task(spark, tmp_path):
+    rows = spark.range(0, 8000, numPartitions=8).select((F.col("id") % 20 * 3600.0).alias("ts"), "id")
+    store.put(rows, f"file://{tmp_path}", "t", 0)
+    assert len(glob.glob(f"{tmp_path}/t/period=*/batch=0/*.parquet")) == 20
+    assert store.whole(spark, f"file://{tmp_path}", "t", "ts double, id bigint").count() == 8000
