@@ -40,7 +40,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition counts and verdict of every document."""
-    return perplexity.rules(_table(spark, sf_dir, "documents"))
+    return perplexity.rules(_table(spark, sf_dir, "documents"), alphabet=perplexity.BYTES)
 
 
 @query
