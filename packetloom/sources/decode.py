@@ -1,36 +1,31 @@
 """Frames → packet rows, as columns over the raw bytes.
 
-Each layer is one projection that hands the rest of the bytes to the next.  Only DNS messages,
-whose names may point backwards, are cut into names and records in an Arrow UDF, and only for rows on DNS ports.
+The fixed headers of the link, network and transport layers are read by one Arrow step (`layers`).  Of DNS messages, whose names
+may point backwards, names and records are cut out in an Arrow UDF, and only for rows on DNS ports; HTTP and texts are columns.
 """
 
 from __future__ import annotations
 
 import struct
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import layers as fixed
 from ..functions import labels
-from ..functions.net import endpoint, ipv6_text, mac_text
+from ..functions.net import endpoint, ipv6_text
 from ..functions.text import latin1
 
-# Link types, ethertypes, protocol numbers, DNS ports, HTTP methods, option names.
-LINK_NULL, LINK_ETHERNET, LINK_RAW, LINK_SLL = 0, 1, 101, 113
-ETHERTYPE_IP, ETHERTYPE_IPV6, ETHERTYPE_ARP = 0x0800, 0x86DD, 0x0806
-VLAN_TAGS = (0x8100, 0x88A8, 0x9100)
-IPV6_EXTENSIONS = (0, 43, 44, 60)
-LOOPBACK_IPV6_FAMILIES = (24, 28, 30)
+# DNS ports, HTTP methods, option names.
 DNS_PORTS = (53, 853, 5353, 5355)
 HTTP_METHODS = ("GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS", "PATCH", "TRACE", "CONNECT")
 TCP_OPTIONS = {0: "eol", 1: "nop", 2: "mss", 3: "wscale", 4: "sack-permitted", 5: "sack", 8: "timestamps",
                28: "user-timeout", 29: "authentication", 34: "fast-open"}
-ICMP_WITH_IDENT = (0, 8, 13, 14, 128, 129)
 PREVIEW_CHARS = 512
 
 _EMPTY = "CAST('' AS BINARY)"
-NO_MAC = "00:00:00:00:00:00"
 
 
 def _bind(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -65,117 +60,6 @@ def _ipv4(data: Column, at: int) -> Column:
     return F.concat_ws(".", *[_number(data, at + i, 1).cast("string") for i in range(4)])
 
 
-def _link(frames: DataFrame) -> DataFrame:
-    raw, kind, size = F.col("raw"), F.col("linktype"), F.length("raw")
-    first_type = _int(raw, 12, 2)
-    # Stacked tags: each needs its tag control bytes and the ethertype after it.
-    tags = F.regexp_extract(
-        F.hex(_rest(raw, 12)), "^((?:(?:" + "|".join(f"{t:04X}" for t in VLAN_TAGS) + ")[0-9A-F]{4}(?=[0-9A-F]{4}))*)", 1)
-    depth = F.when(first_type.isin(*VLAN_TAGS), (F.length(tags) / 8).cast("int")).otherwise(0)
-    family = sum((_number(raw, i, 1) * 256**i for i in range(1, 4)), _number(raw, 0, 1))
-    frames = frames.transform(_bind, "__tags", F.when((kind == LINK_ETHERNET) & (size >= 14), depth).otherwise(0))
-    tags_seen = F.col("__tags")
-    address = _cut(raw, 6, F.least(_number(raw, 4, 2), F.lit(8)))
-
-    def eth(src, dst, ethertype, vlan):
-        return F.struct(src.alias("src"), dst.alias("dst"), ethertype.cast("int").alias("ethertype"),
-                        vlan.cast("int").alias("vlan"))
-
-    no_vlan = F.lit(None)
-    layer = (
-        F.when((kind == LINK_ETHERNET) & (size >= 14), eth(
-            mac_text(_cut(raw, 6, 6)), mac_text(_cut(raw, 0, 6)), _int(raw, tags_seen * 4 + 12, 2),
-            F.when(tags_seen > 0, _int(raw, 14, 2).bitwiseAND(F.lit(4095)))))
-        .when((kind == LINK_SLL) & (size >= 16), eth(
-            F.when(_number(raw, 4, 2) == 0, F.lit(NO_MAC)).otherwise(mac_text(address)),
-            F.lit(NO_MAC), _int(raw, 14, 2), no_vlan))
-        .when((kind == LINK_NULL) & (size >= 4), eth(
-            F.lit(NO_MAC), F.lit(NO_MAC),
-            F.when(family.isin(*LOOPBACK_IPV6_FAMILIES), ETHERTYPE_IPV6).otherwise(ETHERTYPE_IP), no_vlan))
-    )
-    offset = (F.when(kind == LINK_ETHERNET, tags_seen * 4 + 14).when(kind == LINK_SLL, F.lit(16))
-              .when(kind == LINK_NULL, F.lit(4)).otherwise(F.lit(0)))
-    error = (
-        F.when(~kind.isin(LINK_NULL, LINK_ETHERNET, LINK_RAW, LINK_SLL),
-               F.concat(F.lit("unsupported linktype "), kind.cast("string")))
-        .when((kind != LINK_RAW) & F.col("eth").isNull(), F.lit("truncated link header"))
-    )
-    linked = frames.transform(_bind, "eth", layer).transform(_bind, "__error", error).transform(_bind, 
-        "__data", F.when(F.col("__error").isNull(), _rest(raw, offset)))
-    data = F.col("__data")
-    is_arp = F.coalesce(F.col("eth.ethertype") == ETHERTYPE_ARP, F.lit(False))
-    arp = F.when(
-        is_arp & (F.length(data) >= 28) & (_number(data, 4, 1) == 6) & (_number(data, 5, 1) == 4),
-        F.struct(_int(data, 6, 2).alias("opcode"), mac_text(_cut(data, 8, 6)).alias("sender_mac"),
-                 _ipv4(data, 14).alias("sender_ip"), mac_text(_cut(data, 18, 6)).alias("target_mac"),
-                 _ipv4(data, 24).alias("target_ip")))
-    is_ip = (kind == LINK_RAW) | F.coalesce(F.col("eth.ethertype").isin(ETHERTYPE_IP, ETHERTYPE_IPV6), F.lit(False))
-    return (
-        linked.transform(_bind, "arp", arp)
-        .transform(_bind, "__net", F.when(is_ip & (F.length(data) > 0), data))
-        .transform(_bind, "__left", F.when(~is_ip & ~is_arp, data))
-        .drop("__data", "__tags")
-    )
-
-
-def _after_extensions(data: Column) -> Column:
-    """struct(proto, offset) behind the IPv6 extension headers.
-
-    Each step takes the next-header byte first and then judges the header by it, so the fixed
-    fragment length applies to the header that follows.
-    """
-    def step(state: Column, _: Column) -> Column:
-        at = state["offset"]
-        more = state["proto"].isin(*IPV6_EXTENSIONS) & (F.length(data) >= at + 8)
-        proto = _int(data, at, 1)
-        length = F.when(proto == 44, F.lit(8)).otherwise((_int(data, at + 1, 1) + 1) * 8)
-        return F.when(more, F.struct(proto.alias("proto"), (at + length).alias("offset"))).otherwise(state)
-
-    start = F.struct(_int(data, 6, 1).alias("proto"), F.lit(40).alias("offset"))
-    walk = F.aggregate(F.sequence(F.lit(1), F.greatest(F.floor(F.length(data) / 8).cast("int"), F.lit(1))), start, step)
-    return F.when(_int(data, 6, 1).isin(*IPV6_EXTENSIONS), walk).otherwise(start)
-
-
-def _network(frames: DataFrame) -> DataFrame:
-    data = F.col("__net")
-    size, version = F.length(data), F.floor(_int(data, 0, 1) / 16)
-    ihl = (_int(data, 0, 1) % 16) * 4
-    frag = _int(data, 6, 2)
-    v4_ok = (version == 4) & (size >= 20) & (ihl >= 20) & (size >= ihl)
-    v6_ok = (version == 6) & (size >= 40)
-    ext = F.col("__ext")
-    zero = F.lit(0)
-
-    def header(version, src, dst, proto, ttl, total, length, ident, flags, offset, tos):
-        return F.struct(
-            F.lit(version).alias("version"), src.alias("src"), dst.alias("dst"), proto.cast("int").alias("proto"),
-            ttl.cast("int").alias("ttl"), total.cast("int").alias("total_length"),
-            length.cast("int").alias("header_length"), ident.cast("int").alias("ident"),
-            flags.cast("int").alias("flags"), offset.cast("int").alias("frag_offset"), tos.cast("int").alias("tos"))
-
-    four = header(4, _ipv4(data, 12), _ipv4(data, 16), _int(data, 9, 1), _int(data, 8, 1), _int(data, 2, 2), ihl,
-                  _int(data, 4, 2), F.floor(frag / 8192), (frag % 8192) * 8, _int(data, 1, 1))
-    six = header(6, ipv6_text(_cut(data, 8, 16)), ipv6_text(_cut(data, 24, 16)), ext["proto"], _int(data, 7, 1),
-                 _int(data, 4, 2) + 40, ext["offset"], zero, zero, zero, zero)
-    rows = frames.transform(_bind, "__ext", F.when(v6_ok, _after_extensions(data))).transform(_bind, 
-        "ip", F.when(v4_ok, four).when(v6_ok, six))
-    ip = F.col("ip")
-    total = ip["total_length"]
-    stop = F.when((ip["version"] == 4) & (total > 0) & (total <= size), total).otherwise(size)
-    body = _cut(data, ip["header_length"], F.greatest(stop - ip["header_length"], zero))
-    fragment = F.coalesce((ip["version"] == 4) & (ip["frag_offset"] > 0), F.lit(False))
-    other = data.isNotNull() & ~version.isin(4, 6)
-    return (
-        rows.transform(_bind, "__body", F.when(ip.isNotNull(), body))
-        .transform(_bind, "__error", F.coalesce(
-            "__error", F.when(data.isNotNull() & ip.isNull() & ~other, F.lit("truncated IP header")),
-            F.when(fragment, F.lit("non-initial fragment"))))
-        .transform(_bind, "__left", F.coalesce("__left", F.when(other, data), F.when(fragment, F.col("__body"))))
-        .transform(_bind, "__body", F.when(~fragment, F.col("__body")))
-        .drop("__net", "__ext")
-    )
-
-
 #: An option other than "end" and "nop" behind any number of "nop": kind, size and as many bytes as the size says, in hex.
 _OPTION = r"\G(?:01)*((?!0[01])[0-9A-F]{2}(?:" + "|".join(f"{n:02X}[0-9A-F]{{{2 * n - 4}}}" for n in range(2, 41)) + "))"
 
@@ -197,43 +81,14 @@ def _tcp_options(data: Column) -> Column:
 
 
 def _transport(frames: DataFrame) -> DataFrame:
-    data, proto, size = F.col("__body"), F.col("ip.proto"), F.length("__body")
-    is_tcp, is_udp, is_icmp = proto == 6, proto == 17, proto.isin(1, 58)
-    claimed = F.floor(_int(data, 12, 1) / 16) * 4
-    head = F.when((claimed < 20) | (claimed > size), 20).otherwise(claimed).cast("int")
-    none = F.array().cast("array<string>")
-    tcp = F.when(is_tcp & (size >= 20), F.struct(
-        _int(data, 0, 2).alias("sport"), _int(data, 2, 2).alias("dport"), _number(data, 4, 4).alias("seq"),
-        _number(data, 8, 4).alias("ack"), _int(data, 13, 1).alias("flags"), _int(data, 14, 2).alias("window"),
-        head.alias("header_length"), _int(data, 16, 2).alias("checksum"), _int(data, 18, 2).alias("urgent"),
-        F.when(head > 20, _tcp_options(_cut(data, 20, head - 20))).otherwise(none).alias("options"),
-        (size - head).alias("payload_length")))
-    declared = _int(data, 4, 2)
-    udp_size = F.when((declared > 8) & (declared <= size), declared - 8).otherwise(size - 8)
-    udp = F.when(is_udp & (size >= 8), F.struct(
-        _int(data, 0, 2).alias("sport"), _int(data, 2, 2).alias("dport"), declared.alias("length"),
-        _int(data, 6, 2).alias("checksum"), udp_size.alias("payload_length")))
-    kind = _int(data, 0, 1)
-    with_ident = kind.isin(*ICMP_WITH_IDENT) & (size >= 8)
-    icmp = F.when(is_icmp & (size >= 4), F.struct(
-        kind.alias("type"), _int(data, 1, 1).alias("code"), _int(data, 2, 2).alias("checksum"),
-        F.when(with_ident, _int(data, 4, 2)).alias("ident"), F.when(with_ident, _int(data, 6, 2)).alias("seq"),
-        (size - F.when(with_ident, 8).otherwise(4)).alias("payload_length")))
-    rows = frames.transform(_bind, "tcp", tcp).transform(_bind, "udp", udp).transform(_bind, "icmp", icmp)
-    payload = (
-        F.when(F.col("tcp").isNotNull(), _rest(data, F.col("tcp.header_length")))
-        .when(F.col("udp").isNotNull(), _cut(data, 8, F.col("udp.payload_length")))
-        .when(F.col("icmp").isNotNull(), _cut(data, size - F.col("icmp.payload_length"), F.col("icmp.payload_length")))
-        .otherwise(F.coalesce("__left", data, F.expr(_EMPTY)))
-    )
-    failed = (
-        F.when(is_tcp & F.col("tcp").isNull(), F.lit("truncated TCP header"))
-        .when(is_udp & F.col("udp").isNull(), F.lit("truncated UDP header"))
-        .when(is_icmp & F.col("icmp").isNull(), F.lit("truncated ICMP header"))
-    )
-    error = F.coalesce("__error", F.when(data.isNotNull(), failed))
-    return rows.transform(_bind, "payload", payload).transform(_bind, 
-        "errors", F.filter(F.array(error), lambda e: e.isNotNull())).drop("__left", "__body", "__error")
+    """The texts of TCP options and the payload, from where the fixed headers say they stand."""
+    raw, tcp = F.col("raw"), F.col("tcp")
+    options = _tcp_options(_cut(raw, F.col("__options"), tcp["header_length"] - 20))
+    rows = frames.transform(_bind, "tcp", F.when(F.col("__options").isNotNull(), tcp.withField("options", options)).otherwise(tcp))
+    payload = F.when(F.col("__size") > 0, _cut(raw, F.col("__at"), F.col("__size"))).otherwise(F.expr(_EMPTY))
+    made = ("eth", "arp", "ip", "tcp", "udp", "icmp", "payload", "errors")
+    rows = rows.transform(_bind, "payload", payload).drop("__at", "__size", "__options")
+    return rows.select(*[c for c in rows.columns if c not in made], *made)
 
 
 DNS_SCHEMA = (
@@ -308,27 +163,36 @@ DNS_WIRE = (
     "struct<questions:array<struct<name:string,qtype:int,qclass:int>>,"
     "answers:array<struct<name:string,rtype:int,rclass:int,ttl:bigint,raw:binary,target:string,texts:array<string>>>>"
 )
+_QUESTION = [("name", pa.string()), ("qtype", pa.int32()), ("qclass", pa.int32())]
+_ANSWER = [("name", pa.string()), ("rtype", pa.int32()), ("rclass", pa.int32()), ("ttl", pa.int64()), ("raw", pa.binary()),
+           ("target", pa.string()), ("texts", pa.list_(pa.string()))]
+
+
+def _list(counts: list[int], there: np.ndarray, columns: list[tuple], records: list[tuple]) -> pa.Array:
+    """Records of all messages as one list a message, null where there is no message."""
+    values = zip(*records) if records else [()] * len(columns)
+    values = pa.StructArray.from_arrays([pa.array(v, kind) for v, (_, kind) in zip(values, columns)], names=[name for name, _ in columns])
+    sizes = np.zeros(len(there), np.int64)
+    sizes[there] = counts
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), values, mask=pa.array(~there))
 
 
 def _parse_dns():
     """Names and record borders of messages; what the data mean is said by columns."""
-    @F.pandas_udf(DNS_WIRE)
-    def parse(messages: pd.Series) -> pd.DataFrame:
-        all_questions, all_answers = [], []
-        for m in messages:
-            if m is None:
-                all_questions.append(None)
-                all_answers.append(None)
-                continue
+    @F.arrow_udf(DNS_WIRE)
+    def parse(messages: pa.Array) -> pa.Array:
+        there = messages.is_valid().to_numpy(zero_copy_only=False)
+        questions, answers, asked, answered = [], [], [], []
+        for m in messages.drop_null().to_pylist():
             n_questions, n_answers = struct.unpack_from("!HH", m, 4)
-            asked, at = _records(m, 12, n_questions, _ASKED)
-            answered = [] if at is None else _records(m, at, n_answers, _ANSWERED)[0]
-            all_questions.append([{"name": n, "qtype": t, "qclass": c} for n, t, c, _ in asked])
-            all_answers.append([
-                {"name": n, "rtype": t, "rclass": c, "ttl": ttl, "raw": m[at:at + size],
-                 "target": _name_in(m, at + _NAME_IN_DATA[t]) if t in _NAME_IN_DATA else None,
-                 "texts": _chunks(m[at:at + size]) if t == 16 else None} for n, t, c, ttl, size, at in answered])
-        return pd.DataFrame({"questions": pd.Series(all_questions, dtype=object), "answers": pd.Series(all_answers, dtype=object)})
+            found, at = _records(m, 12, n_questions, _ASKED)
+            asked.append(len(found))
+            questions += [(n, t, c) for n, t, c, _ in found]
+            found = [] if at is None else _records(m, at, n_answers, _ANSWERED)[0]
+            answered.append(len(found))
+            answers += [(n, t, c, ttl, m[at:at + size], _name_in(m, at + _NAME_IN_DATA[t]) if t in _NAME_IN_DATA else None,
+                         _chunks(m[at:at + size]) if t == 16 else None) for n, t, c, ttl, size, at in found]
+        return pa.StructArray.from_arrays([_list(asked, there, _QUESTION, questions), _list(answered, there, _ANSWER, answers)], names=["questions", "answers"])
 
     return parse
 
@@ -418,11 +282,7 @@ def _http(payload: Column) -> Column:
 #: Layers in the order in which they are built; each needs the ones before `dns`, `dns` and `http` stand alone.
 LAYERS = ("link", "network", "transport", "dns", "http")
 _LAYER_TYPES = {
-    "ip": "struct<version:int,src:string,dst:string,proto:int,ttl:int,total_length:int,header_length:int,ident:int,flags:int,frag_offset:int,tos:int>",
-    "tcp": "struct<sport:int,dport:int,seq:bigint,ack:bigint,flags:int,window:int,header_length:int,checksum:int,urgent:int,options:array<string>,payload_length:int>",
-    "udp": "struct<sport:int,dport:int,length:int,checksum:int,payload_length:int>",
-    "icmp": "struct<type:int,code:int,checksum:int,ident:int,seq:int,payload_length:int>",
-    "payload": "binary", "errors": "array<string>", "dns": DNS_SCHEMA,
+    **{name: fixed.TYPES[name] for name in ("ip", "tcp", "udp", "icmp")}, "payload": "binary", "dns": DNS_SCHEMA,
     "http": "struct<kind:string,method:string,path:string,version:string,status:int,reason:string,headers:map<string,string>,body_preview:string,body_length:int>",
 }
 
@@ -430,18 +290,15 @@ _LAYER_TYPES = {
 def decode(frames: DataFrame, layers=LAYERS, questions: int = 64, answers: int = 128) -> DataFrame:
     """Frames with ``ts, raw, wire_length, linktype`` (other columns are kept) → packet rows.
 
-    Only the named layers are built: ``("link",)`` costs no work above the link header, and without ``dns`` no Python
-    runs; columns of the layers left out are null.  Without ``dns`` a message on a DNS port may be read as HTTP.
+    Only the named layers are built: ``("link",)`` costs no work above the link header, and without ``dns`` no names are
+    looked for; columns of the layers left out are null.  Without ``dns`` a message on a DNS port may be read as HTTP.
     DNS messages that claim more than ``questions`` or ``answers`` (fixed values by default) are not read; that is
     among the ``errors``.
     """
-    rows = _link(frames)
-    if set(layers) - {"link"}:
-        rows = _network(rows)
-    if set(layers) & {"transport", "dns", "http"}:
+    transport = bool(set(layers) & {"transport", "dns", "http"})
+    rows = fixed.nested(frames, network=bool(set(layers) - {"link"}), transport=transport)
+    if transport:
         rows = _transport(rows)
-    else:
-        rows = rows.withColumn("errors", F.filter(F.array("__error"), lambda e: e.isNotNull())).drop("__left", "__body", "__net", "__error")
     sport, dport = (F.coalesce(*[F.col(f"{t}.{p}") for t in ("tcp", "udp")]) for p in ("sport", "dport"))
     if "dns" in layers:
         has_payload = F.length("payload") > 0

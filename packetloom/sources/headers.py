@@ -8,17 +8,12 @@ extension headers, TCP, UDP, ICMP - and returns the columns asked for and no oth
 
 from __future__ import annotations
 
-import socket
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .decode import (
-    ETHERTYPE_ARP, ETHERTYPE_IP, ETHERTYPE_IPV6, IPV6_EXTENSIONS, LINK_ETHERNET, LINK_NULL, LINK_RAW, LINK_SLL,
-    LOOPBACK_IPV6_FAMILIES, VLAN_TAGS,
-)
+from . import layers
+from .layers import Frames, places, texts
 
 #: Every column that can be asked for, with its type.
 COLUMNS = {
@@ -27,84 +22,10 @@ COLUMNS = {
 }
 
 
-class _Frames:
-    """The bytes of a batch of frames, read at one offset a frame."""
-
-    def __init__(self, raw: pa.Array):
-        raw = pc.fill_null(raw.cast(pa.large_binary()), b"")
-        offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1]
-        data = raw.buffers()[2]
-        self.data = np.concatenate((np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), np.zeros(1, np.uint8)))
-        self.start, self.size = offsets[:-1], np.diff(offsets)
-
-    def byte(self, at) -> np.ndarray:
-        """The byte at an offset of each frame; any value behind its end."""
-        return self.data[np.minimum(self.start + at, len(self.data) - 1)].astype(np.int64)
-
-    def short(self, at) -> np.ndarray:
-        return self.byte(at) << 8 | self.byte(at + 1)
-
-    def cells(self, at, width: int, rows: np.ndarray) -> np.ndarray:
-        """(rows, width) bytes at offsets of some frames."""
-        return self.data[(self.start[rows] + at[rows])[:, None] + np.arange(width)]
-
-
-def _places(f: _Frames, kind: np.ndarray) -> dict[str, np.ndarray]:
-    """Where everything stands: offsets, flags and numbers of each frame."""
-    ether = (kind == LINK_ETHERNET) & (f.size >= 14)
-    tags, more = np.zeros(len(kind), np.int64), ether.copy()
-    while True:
-        more = more & np.isin(f.short(12 + 4 * tags), VLAN_TAGS) & (f.size >= 18 + 4 * tags)
-        if not more.any():
-            break
-        tags = tags + more
-    cooked, loop = (kind == LINK_SLL) & (f.size >= 16), (kind == LINK_NULL) & (f.size >= 4)
-    family = sum(f.byte(i) << (8 * i) for i in range(4))
-    has_eth = ether | cooked | loop
-    ethertype = np.where(ether, f.short(12 + 4 * tags), np.where(cooked, f.short(14), np.where(np.isin(family, LOOPBACK_IPV6_FAMILIES), ETHERTYPE_IPV6, ETHERTYPE_IP)))
-    net = np.where(ether, 14 + 4 * tags, np.where(cooked, 16, np.where(loop, 4, 0)))
-    size = f.size - net
-    arp = has_eth & (ethertype == ETHERTYPE_ARP) & (size >= 28) & (f.byte(net + 4) == 6) & (f.byte(net + 5) == 4)
-    is_ip = ((kind == LINK_RAW) | (has_eth & np.isin(ethertype, (ETHERTYPE_IP, ETHERTYPE_IPV6)))) & (size > 0)
-    first = f.byte(net)
-    ihl = (first & 15) * 4
-    four = is_ip & (first >> 4 == 4) & (size >= 20) & (ihl >= 20) & (size >= ihl)
-    six = is_ip & (first >> 4 == 6) & (size >= 40)
-    proto = np.where(four, f.byte(net + 9), f.byte(net + 6))
-    head = np.where(four, ihl, 40)
-    walk = six & np.isin(proto, IPV6_EXTENSIONS)
-    while True:
-        walk = walk & np.isin(proto, IPV6_EXTENSIONS) & (size >= head + 8)
-        if not walk.any():
-            break
-        following = f.byte(net + head)
-        # the fixed length of a fragment header counts for the header that follows the byte that names it
-        length = np.where(following == 44, 8, (f.byte(net + head + 1) + 1) * 8)
-        proto, head = np.where(walk, following, proto), np.where(walk, head + length, head)
-    total = f.short(net + 2)
-    stop = np.where(four & (total > 0) & (total <= size), total, size)
-    whole = (four | six) & ~(four & (f.short(net + 6) % 8192 > 0))
-    body, room = net + head, np.where(whole, np.maximum(stop - head, 0), -1)
-    tcp, udp = (proto == 6) & (room >= 20), (proto == 17) & (room >= 8)
-    icmp = np.isin(proto, (1, 58)) & (room >= 4)
-    return {"has_eth": has_eth, "ethertype": ethertype, "tags": tags, "net": net, "arp": arp, "four": four, "six": six, "proto": proto,
-            "body": body, "tcp": tcp, "udp": udp, "icmp": icmp}
-
-
-def _addresses(f: _Frames, p: dict, four_at: int, six_at: int, arp_at: int, key: bool) -> pa.Array:
-    """Texts (or sortable keys) of addresses; each distinct one is written once."""
-    out = np.full(len(f.size), -1, np.int64)
-    texts: list[str] = []
-    for rows, at, width in ((p["four"], four_at, 4), (p["arp"], arp_at, 4), (p["six"], six_at, 16)):
-        rows = np.flatnonzero(rows)
-        if len(rows):
-            cells = np.ascontiguousarray(f.cells(p["net"] + at, width, rows)).view(f"V{width}").ravel()
-            distinct, back = np.unique(cells, return_inverse=True)
-            out[rows] = back + len(texts)
-            kind = socket.AF_INET if width == 4 else socket.AF_INET6
-            version = "4:" if width == 4 else "6:"
-            texts += [version + x.tobytes().hex() if key else socket.inet_ntop(kind, x.tobytes()) for x in distinct]
-    return pa.array(texts, pa.string()).take(pa.array(out, mask=out < 0))
+def _addresses(f: Frames, p: dict, four_at: int, six_at: int, arp_at: int, key: bool) -> pa.Array:
+    """Texts or sortable keys of addresses."""
+    four, six = ((lambda x: "4:" + x.hex()), (lambda x: "6:" + x.hex())) if key else (layers.ipv4_text, layers.ipv6_text)
+    return texts(f, (p["four"], p["net"] + four_at, 4, four), (p["arp"], p["net"] + arp_at, 4, four), (p["six"], p["net"] + six_at, 16, six))
 
 
 def flat(frames: DataFrame, columns: tuple[str, ...] = tuple(COLUMNS)) -> DataFrame:
@@ -112,7 +33,7 @@ def flat(frames: DataFrame, columns: tuple[str, ...] = tuple(COLUMNS)) -> DataFr
     kept = [x for x in frames.schema if x.name not in ("raw", "linktype", *columns)]
     schema = ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in kept] + [f"{c} {COLUMNS[c]}" for c in columns])
 
-    def column(name: str, f: _Frames, p: dict) -> pa.Array:
+    def column(name: str, f: Frames, p: dict) -> pa.Array:
         number = lambda values, ok: pa.array(values.astype(np.int32), mask=~ok)
         ported = p["tcp"] | p["udp"]
         if name == "captured_length":
@@ -140,8 +61,8 @@ def flat(frames: DataFrame, columns: tuple[str, ...] = tuple(COLUMNS)) -> DataFr
 
     def task(batches):
         for batch in batches:
-            f = _Frames(batch.column("raw"))
-            p = _places(f, pc.fill_null(batch.column("linktype"), -1).to_numpy(zero_copy_only=False).astype(np.int64))
+            f = Frames(batch.column("raw"))
+            p = places(f, layers.kinds(batch.column("linktype")))
             yield pa.RecordBatch.from_arrays([batch.column(x.name) for x in kept] + [column(c, f, p) for c in columns], [x.name for x in kept] + list(columns))
 
     return frames.select("raw", "linktype", *[x.name for x in kept]).mapInArrow(task, schema)

@@ -7,8 +7,9 @@ import struct
 
 from pyspark.sql import functions as F
 
+import wire
 from packetloom.functions import net
-from packetloom.plans import streams
+from packetloom.plans import storage, streams
 from packetloom.session import deal
 from packetloom.sources import capture, decode
 from packetloom.streaming import store
@@ -83,3 +84,27 @@ def test_a_period_is_not_one_file_of_every_task(spark, tmp_path):
     store.put(rows, f"file://{tmp_path}", "t", 0)
     assert len(glob.glob(f"{tmp_path}/t/period=*/batch=0/*.parquet")) == 20
     assert store.whole(spark, f"file://{tmp_path}", "t", "ts double, id bigint").count() == 8000
+
+
+def test_fixed_headers_are_read_in_one_step(spark):
+    raw = wire.ether(wire.ipv4("10.0.0.1", "10.0.0.2", 6, wire.tcp(4000, 443, 18, b"abc", options=bytes([2, 4, 5, 180]), seq=4000000000)), vlans=[(0x8100, 100)])
+    frames = spark.createDataFrame([(1, 0.0, raw, len(raw), 1), (2, 1.0, raw[:40], 60, 1), (3, 2.0, None, 60, None)],
+                                   "pkt_id int, ts double, raw binary, wire_length bigint, linktype bigint")
+    rows = decode.decode(frames, ("link", "network", "transport"))
+    assert _plan(rows).count("MapInArrow") == 1 and _plan(rows).count("Generate inline") <= 2
+    assert "conv(" not in _plan(decode.decode(frames, ("link", "network")))
+    whole, cut, nothing = rows.orderBy("pkt_id").collect()
+    assert (whole.eth.vlan, whole.ip.src, whole.tcp.seq, whole.tcp.options, bytes(whole.payload)) == (100, "10.0.0.1", 4000000000, ["mss=1460"], b"abc")
+    assert (cut.tcp, cut.errors, len(cut.payload)) == (None, ["truncated TCP header"], 2)
+    assert (nothing.eth, nothing.ip, nothing.errors, bytes(nothing.payload)) == (None, None, [], b"")
+
+
+def test_halves_are_told_apart_without_texts(spark):
+    rows = spark.range(1000).select(
+        F.col("id").cast("double").alias("ts"), F.concat(F.lit("10.0.0."), F.col("id") % 8).alias("src_ip"), F.concat(F.lit("10.0.1."), F.col("id") % 9).alias("dst_ip"),
+        (F.col("id") % 7).cast("int").alias("src_port"), F.lit(None).cast("int").alias("dst_port"), F.concat(F.lit("T"), F.col("id") % 2).alias("protocol"),
+        F.lit(40).alias("length"), F.lit(None).cast("string").alias("flags"))
+    first, second = storage.halves(rows, "packets")
+    assert all("concat" not in line for half in (first, second) for line in _plan(half).splitlines() if "Filter" in line)
+    assert sorted(map(str, first.union(second).collect())) == sorted(map(str, rows.collect()))
+    assert 300 < first.count() < 700
