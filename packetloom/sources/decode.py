@@ -18,8 +18,7 @@ from ..functions import labels
 from ..functions.net import endpoint, ipv6_text
 from ..functions.text import latin1
 
-# DNS ports, HTTP methods, option names.
-DNS_PORTS = (53, 853, 5353, 5355)
+# HTTP methods, option names.
 HTTP_METHODS = ("GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS", "PATCH", "TRACE", "CONNECT")
 TCP_OPTIONS = {0: "eol", 1: "nop", 2: "mss", 3: "wscale", 4: "sack-permitted", 5: "sack", 8: "timestamps",
                28: "user-timeout", 29: "authentication", 34: "fast-open"}
@@ -299,18 +298,17 @@ def decode(frames: DataFrame, layers=LAYERS, questions: int = 64, answers: int =
     rows = fixed.nested(frames, network=bool(set(layers) - {"link"}), transport=transport)
     if transport:
         rows = _transport(rows)
-    sport, dport = (F.coalesce(*[F.col(f"{t}.{p}") for t in ("tcp", "udp")]) for p in ("sport", "dport"))
     if "dns" in layers:
         has_payload = F.length("payload") > 0
-        on_dns_port = F.coalesce(sport.isin(*DNS_PORTS), F.lit(False)) | F.coalesce(dport.isin(*DNS_PORTS), F.lit(False))
         message = F.when(F.col("tcp").isNotNull() & (F.length("payload") > 2), _rest(F.col("payload"), 2)).otherwise(F.col("payload"))
-        rows = rows.transform(_bind, "__dns", F.when(on_dns_port & has_payload & (F.length(message) >= 12), message))
+        rows = rows.transform(_bind, "__dns", F.when(F.col("__named") & has_payload & (F.length(message) >= 12), message))
         claims = (_int(F.col("__dns"), 4, 2) > questions) | (_int(F.col("__dns"), 6, 2) > answers)
         rows = rows.transform(_bind, "__claims", F.coalesce(claims, F.lit(False)))
         rows = rows.withColumn("errors", F.when(F.col("__claims"), F.array_append("errors", F.lit("DNS message claims too many records"))).otherwise(F.col("errors")))
         rows = rows.transform(_bind, "__dns", F.when(~F.col("__claims"), F.col("__dns")))
         rows = rows.transform(_bind, "__wire", _parse_dns()(F.col("__dns")))
         rows = rows.transform(_bind, "dns", _dns(F.col("__dns"), F.col("__wire"))).drop("__dns", "__wire", "__claims")
+    rows = rows.drop("__named")
     if "http" in layers:
         free = F.col("tcp").isNotNull() & (F.col("dns").isNull() if "dns" in layers else F.lit(True))
         rows = rows.transform(_bind, "http", F.when(free, _http(F.col("payload"))))

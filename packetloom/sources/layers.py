@@ -14,12 +14,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-# Link types, ethertypes, protocol numbers.
+# Link types, ethertypes, protocol numbers, DNS ports.
 LINK_NULL, LINK_ETHERNET, LINK_RAW, LINK_SLL = 0, 1, 101, 113
 ETHERTYPE_IP, ETHERTYPE_IPV6, ETHERTYPE_ARP = 0x0800, 0x86DD, 0x0806
 VLAN_TAGS = (0x8100, 0x88A8, 0x9100)
 IPV6_EXTENSIONS = (0, 43, 44, 60)
 LOOPBACK_IPV6_FAMILIES = (24, 28, 30)
+DNS_PORTS = (53, 853, 5353, 5355)
 ICMP_WITH_IDENT = (0, 8, 13, 14, 128, 129)
 NO_MAC = "00:00:00:00:00:00"
 
@@ -207,6 +208,7 @@ def _transport(f: Frames, p: dict) -> dict[str, pa.Array]:
         "icmp": _struct(TYPES["icmp"], icmp, type=f.byte(at), code=f.byte(at + 1), checksum=f.short(at + 2), ident=(f.short(at + 4), ident),
                         seq=(f.short(at + 6), ident), payload_length=room - icmp_head),
         "__at": pa.array(start.astype(np.int32)), "__size": pa.array(size.astype(np.int32)),
+        "__named": pa.array((tcp | udp) & (np.isin(ports["sport"], DNS_PORTS) | np.isin(ports["dport"], DNS_PORTS))),
         "__options": pa.array((at + 20).astype(np.int32), mask=~(tcp & (head > 20))),
     }
 
@@ -233,10 +235,11 @@ def kinds(linktype: pa.Array) -> np.ndarray:
 def nested(frames: DataFrame, network: bool = True, transport: bool = True) -> DataFrame:
     """Frames (``raw, linktype`` and others, which are kept) → their layers as structs and ``errors``.
 
-    With ``transport`` also where payload (``__at``, ``__size``) and TCP options (``__options``) stand in the frame.
+    With ``transport`` also where payload (``__at``, ``__size``) and TCP options (``__options``) stand in the frame, and whether one of
+    the ports is a DNS port (``__named``).
     """
     types = {n: TYPES[n] for n in ("eth", "arp", *(("ip",) if network else ()), *(("tcp", "udp", "icmp") if transport else ()))}
-    types |= {n: "int" for n in ("__at", "__size", "__options") if transport} | {"errors": TYPES["errors"]}
+    types |= ({"__at": "int", "__size": "int", "__options": "int", "__named": "boolean"} if transport else {}) | {"errors": TYPES["errors"]}
     kept = [x for x in frames.schema if x.name not in types]
     schema = StructType([*kept, *StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in types.items()))])
 

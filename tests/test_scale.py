@@ -108,3 +108,10 @@ def test_halves_are_told_apart_without_texts(spark):
     assert all("concat" not in line for half in (first, second) for line in _plan(half).splitlines() if "Filter" in line)
     assert sorted(map(str, first.union(second).collect())) == sorted(map(str, rows.collect()))
     assert 300 < first.count() < 700
+
+
+def test_answers_are_read_without_the_other_layers(spark):
+    raw = wire.ether(wire.ipv4("10.0.0.1", "10.0.0.2", 17, wire.udp(53, 5353, wire.dns_response(1, "a.example", [wire.dns_answer(1, bytes([1, 2, 3, 4]))]))))
+    frames = spark.createDataFrame([(1, 0.0, raw, len(raw), 1)], "pkt_id int, ts double, raw binary, wire_length bigint, linktype bigint")
+    rows = decode.decode(frames, ("link", "network", "transport", "dns")).select("pkt_id", "dns.is_response", F.explode("dns.answers").alias("a"))
+    assert [tuple(r) for r in rows.select("pkt_id", "is_response", "a.name", "a.data").collect()] == [(1, True, "a.example", "1.2.3.4")]
