@@ -7,6 +7,9 @@ it has and how many tokens follow the last one, and a prefix scan over these rep
 inside runs of ranges, then over runs) gives every range the number of documents before it and the tokens that
 an open document brings along.  No file is read by one task as a whole.
 
+Tables with a row for each document compress to a few bytes a row, so by the size of their files Spark would take them for
+small and broadcast millions of rows by way of the driver: joins with them are merge joins by hint.
+
 Defined cases: a null or empty text is a document of no tokens; repeated rows are documents of their own; tokens
 after the last end id are a document with ``ended`` false; an empty file has no documents.
 """
@@ -111,7 +114,7 @@ def scan(files: DataFrame, end_id: int = 49407, width: int = 2, range_tokens: in
                 .select("path", "block", "start", "stop", "ends", "after", (F.col("before") + F.col("run_base")).alias("base"),
                         F.coalesce("last", "run_last", F.lit(0)).alias("opened")))
     bases = stitched.select("path", "block", "base", (F.col("start") - F.col("opened")).alias("carried"))
-    whole = (found.where("k >= 0").select("path", "block", "k", "length").join(bases, ["path", "block"])
+    whole = (found.where("k >= 0").select("path", "block", "k", "length").hint("merge").join(bases, ["path", "block"])
              .select("path", (F.col("base") + F.col("k")).alias("ordinal"), (F.col("length") + F.when(F.col("k") == 0, F.col("carried")).otherwise(0)).alias("n_tokens"), F.lit(True).alias("ended")))
     rest = (stitched.groupBy("path").agg(F.max("stop").alias("stop"), F.max("after").alias("after"), F.sum("ends").alias("ordinal"))
             .select("path", "ordinal", (F.col("stop") - F.coalesce("after", F.lit(0))).alias("n_tokens"), F.lit(False).alias("ended")).where("n_tokens > 0"))
@@ -121,4 +124,4 @@ def scan(files: DataFrame, end_id: int = 49407, width: int = 2, range_tokens: in
 def count(docs: DataFrame, path: str | None = None, end_id: int = 49407) -> DataFrame:
     """(doc_id, n_tokens) by way of token files."""
     files, order = write_files(docs, new_folder(docs.sparkSession), path, end_id)
-    return order.join(scan(files, end_id), ["path", "ordinal"]).select("doc_id", "n_tokens")
+    return order.hint("merge").join(scan(files, end_id), ["path", "ordinal"]).select("doc_id", "n_tokens")
