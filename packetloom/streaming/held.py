@@ -12,9 +12,10 @@ the slice's end.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cooldown import cooldown
@@ -52,6 +53,19 @@ def held_rows(stream: DataFrame, seconds: float = 10.0) -> DataFrame:
     return stream.groupBy(F.window("event_time", _ms(seconds)), *columns).agg(F.count("*").alias("__copies")).select(*columns)
 
 
+@contextlib.contextmanager
+def _adaptive(spark: SparkSession):
+    """Adaptive execution, as the application has it, for steps over stored rows of a micro-batch: Spark turns it off in streams
+    with state, so every step would run as many tasks as the state has parts, most of them over a few rows."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, spark.sparkContext.getConf().get(name, "true"))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def follow_cooldown(hits: DataFrame, keys: list[str], quiet: float, root: str, batch: int, ts: str = "ts", seq: str = "pkt_id") -> DataFrame:
     """Which hits of a batch fire, given what fired in earlier batches; stored under ``root``.
 
@@ -60,14 +74,15 @@ def follow_cooldown(hits: DataFrame, keys: list[str], quiet: float, root: str, b
     """
     spark = hits.sparkSession
     new = materialize(hits)
-    ends = new.agg(F.min(ts), F.max(ts)).first()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema)
-    if ends[0] is None:
-        return spark.createDataFrame([], schema)
-    old = recent(spark, root, "fired", schema, ends[0] - quiet, ends[1], batch, ts).select(*hits.columns, F.lit(False).alias("__new"))
-    fired = cooldown(new.withColumn("__new", F.lit(True)).unionByName(old), keys, quiet, ts, seq)
-    put(fired.filter("__new").drop("__new"), root, "fired", batch, ts)
-    return recent(spark, root, "fired", schema, ends[0], ends[1], batch + 1, ts).filter(F.col("batch") == batch).select(*hits.columns)
+    with _adaptive(spark):
+        ends = new.agg(F.min(ts), F.max(ts)).first()
+        if ends[0] is None:
+            return spark.createDataFrame([], schema)
+        old = recent(spark, root, "fired", schema, ends[0] - quiet, ends[1], batch, ts).select(*hits.columns, F.lit(False).alias("__new"))
+        fired = cooldown(new.withColumn("__new", F.lit(True)).unionByName(old), keys, quiet, ts, seq)
+        put(fired.filter("__new").drop("__new"), root, "fired", batch, ts, tuple(ends))
+        return recent(spark, root, "fired", schema, ends[0], ends[1], batch + 1, ts).filter(F.col("batch") == batch).select(*hits.columns)
 
 
 def alert_sink(root: str, rule: Trailing, quiet: float, ts: str = "ts") -> Callable[[DataFrame, int], None]:
